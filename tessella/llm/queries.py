@@ -7,13 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, decontam, simhash
+from tessella.llm import bpe, decontam, simhash, sstable
+from tessella.llm.store import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole document in sorted-string-table shards, read back."""
+    path = fresh_path(spark, "sstable")
+    manifest = sstable.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    entries = sstable.read(manifest, path)
+    return entries.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of every whole document and the components of those within four bits."""
     found = simhash.components(_table(spark, sf_dir, "documents"))
@@ -39,6 +48,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
+    "op6_sstable": op6_sstable,
     "op7_simhash": op7_simhash,
     "op9_decontaminate": op9_decontaminate,
 }
