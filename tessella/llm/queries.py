@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, decontam, simhash, sstable
+from tessella.llm import bpe, decontam, simhash, sstable, warc
 from tessella.llm.store import fresh_path
 
 
@@ -34,6 +34,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record for every page, read back from the archives."""
+    path = fresh_path(spark, "warc")
+    manifest = warc.write(_table(spark, sf_dir, "pages"), path)
+    records = warc.read(manifest, path, payloads=False)
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole document, decoded again."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -47,9 +55,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op4_bpe": op4_bpe,
     "op6_sstable": op6_sstable,
     "op7_simhash": op7_simhash,
     "op9_decontaminate": op9_decontaminate,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc": """
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+                     min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+              FROM pages)""",
+}
