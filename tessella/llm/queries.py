@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, decontam, simhash, sstable, warc
+from tessella.llm import bpe, decontam, maintext, simhash, sstable, warc
 from tessella.llm.store import fresh_path
 
 
@@ -54,12 +54,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return maintext.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op4_bpe": op4_bpe,
     "op6_sstable": op6_sstable,
     "op7_simhash": op7_simhash,
     "op9_decontaminate": op9_decontaminate,
+    "op10_maintext": op10_maintext,
 }
 SQL: dict[str, str] = {
     "op1_warc": """
