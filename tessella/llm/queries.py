@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, decontam, maintext, simhash, sstable, warc
+from tessella.llm import bpe, decontam, maintext, media, simhash, sstable, warc
 from tessella.llm.store import fresh_path
 
 
@@ -42,11 +42,20 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document stored as a progressive JPEG, read back, and its tensor's features."""
+    found = media.round_trips(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole document, decoded again."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    decoded = bpe.decode(ids, path)
+    decoded = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True)
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
@@ -61,6 +70,7 @@ def op10_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_media": op3_media,
     "op4_bpe": op4_bpe,
     "op6_sstable": op6_sstable,
     "op7_simhash": op7_simhash,
