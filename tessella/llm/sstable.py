@@ -2,7 +2,7 @@
 
 A shard holds documents by ascending key in blocks. Layout, little-endian::
 
-    block*      zlib of entries; an entry is
+    block*      entries; an entry is
                 varint shared, varint rest, varint size, key[shared:], value
                 (the key shares its first bytes with the entry before; the
                 first entry of a block, a restart, shares none)
@@ -12,7 +12,7 @@ A shard holds documents by ascending key in blocks. Layout, little-endian::
 
 Keys are big-endian with the sign bit flipped, so byte order is number order; a
 null key is the empty key, which sorts first; a key that repeats gets one entry
-a row. A value is the ids as varints. ``lookup`` asks the Bloom filter, finds
+a row. A value is the width of an id in bytes and the ids. ``lookup`` asks the Bloom filter, finds
 the block by binary search of the sparse index, and reads that one block.
 
 Shards are cut by key ranges that depend on the keys alone. Each is written
@@ -28,9 +28,9 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import os
 import struct
 import uuid
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,6 +42,7 @@ import pyarrow.fs
 import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from tessella.llm.store import commit, ranged, written
 
@@ -50,7 +51,7 @@ BLOCK_BYTES = 1 << 16
 BITS_A_KEY = 10
 PROBES = 7
 _FOOTER = struct.Struct("<QQQQ8s")
-_CACHE = 400_000  # words whose ids a Python worker keeps
+_CACHE = 1_000_000  # words whose ids a Python worker keeps
 
 MANIFEST = "shard int, path string, entries long, ids long, bytes long, sha256 string"
 
@@ -87,27 +88,13 @@ def _read_varint(raw: bytes, at: int) -> tuple[int, int]:
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
-    """Ids as varints."""
-    ids = ids.astype(np.int64)
-    groups = 1 + (ids >= 1 << 7) + (ids >= 1 << 14) + (ids >= 1 << 21) + (ids >= 1 << 28)
-    ends = np.cumsum(groups)
-    starts = ends - groups
-    out = np.zeros(int(ends[-1]) if len(ids) else 0, np.uint8)
-    for k in range(int(groups.max(initial=0))):
-        has = groups > k
-        out[starts[has] + k] = (ids[has] >> (7 * k) & 0x7F) | np.where(groups[has] > k + 1, 0x80, 0)
-    return out.tobytes()
+    """Ids as 16-bit or, if one needs more, 32-bit little-endian numbers after a byte that holds the width."""
+    wide = len(ids) and int(ids.max()) > 0xFFFF
+    return b"\x04" + ids.astype("<u4").tobytes() if wide else b"\x02" + ids.astype("<u2").tobytes()
 
 
 def unpack_ids(packed: bytes) -> np.ndarray:
-    raw = np.frombuffer(packed, np.uint8)
-    ends = np.flatnonzero(raw < 0x80)
-    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-    out = np.zeros(len(ends), np.uint32)
-    for k in range(int((ends - starts).max(initial=-1)) + 1):
-        has = starts + k <= ends
-        out[has] |= (raw[starts[has] + k].astype(np.uint32) & 0x7F) << np.uint32(7 * k)
-    return out
+    return np.frombuffer(packed, "<u4" if packed[0] == 4 else "<u2", offset=1).astype("<u4", copy=False)
 
 
 def _probes(key: bytes, bits: int) -> list[int]:
@@ -154,9 +141,9 @@ class ShardWriter:
 
     def _end_block(self) -> None:
         if self.block:
-            packed = zlib.compress(b"".join(self.block), 1)
-            self.index.append((self.first, self.at, len(packed)))
-            self._put(packed)
+            raw = b"".join(self.block)
+            self.index.append((self.first, self.at, len(raw)))
+            self._put(raw)
             self.block, self.block_size = [], 0
 
     def close(self) -> None:
@@ -197,7 +184,7 @@ class ShardReader:
     def block(self, i: int) -> Iterator[tuple[bytes, bytes]]:
         place, length = self.places[i]
         self.f.seek(place)
-        raw = zlib.decompress(self.f.read(length))
+        raw = self.f.read(length)
         at, key = 0, b""
         while at < len(raw):
             shared, at = _read_varint(raw, at)
@@ -229,47 +216,65 @@ class ShardReader:
 # ---------------------------------------------------------------- encoding
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str) -> Tokenizer:
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
-
-
 class Encoder:
     """Texts to ids by the tokenizers library, each distinct pre-token encoded once while it is remembered.
 
-    ``pattern`` must cut as the tokenizer's own pre-tokenizer does, so that a
-    piece encoded alone has the ids it has in its text.
+    ``pattern`` must cut as the tokenizer's byte-level pre-tokenizer does. The
+    library is given the pieces cut, many at a time, and its ids are dealt to
+    the pieces by the bytes that each id stands for.
     """
 
     def __init__(self, path: str, pattern: str):
-        self.tokenizer = _tokenizer(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer.post_processor = None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.widths[i] = len(token)  # a byte is one character here
         self.find = regex.compile(pattern).findall
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = defaultdict(count().__next__)
-        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def _learn(self, words: list[str]) -> None:
+        pieces = [words[i:i + 1000] for i in range(0, len(words), 1000)]
+        found = self.tokenizer.encode_batch_fast(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32)
+        word_ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))
+        ends = np.searchsorted(np.cumsum(self.widths[ids]), word_ends) + 1
+        if len(words) and (ends[-1] != len(ids) or (np.cumsum(self.widths[ids])[ends - 1] != word_ends).any()):
+            raise ValueError("the tokenizer's ids do not cover the pieces byte for byte")
+        starts = np.concatenate(([0], ends[:-1]))
+        self.starts = np.concatenate([self.starts, (starts + len(self.flat)).astype(np.int32)])
+        self.lengths = np.concatenate([self.lengths, (ends - starts).astype(np.int32)])
+        self.flat = np.concatenate([self.flat, ids])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > _CACHE:
             self._forget()
         before = len(self.known)
-        codes = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in (self.find(t or "") for t in texts)]
-        new = list(islice(self.known, before, None))
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
-        lengths = np.diff(self.ends)
+        codes = [np.fromiter(map(self.known.__getitem__, words), np.int32, len(words)) for words in (self.find(t or "") for t in texts)]
+        if len(self.known) > before:
+            self._learn(list(islice(self.known, before, None)))
         out = []
         for c in codes:
-            n = lengths[c]
-            out.append(self.flat[np.repeat(self.ends[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+            n = self.lengths[c]
+            ends = np.cumsum(n, dtype=np.int32)
+            out.append(self.flat[np.repeat(self.starts[c] - (ends - n), n) + np.arange(ends[-1] if len(c) else 0, dtype=np.int32)])
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, pattern: str) -> Encoder:
+    """A Python worker's encoder, kept from task to task."""
+    return Encoder(path, pattern)
+
+
 # ---------------------------------------------------------------- tables
 
 
@@ -286,7 +291,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, *, key: str
     def write_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
-        encoder = Encoder(tokenizer, pattern)
+        encoder = _encoder(tokenizer, pattern)
         writer = out = temporary = None
         made: list[tuple] = []
 
