@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, decontam, maintext, media, simhash, sstable, warc
+from tessella.llm import bpe, decontam, maintext, media, simhash, sstable, toxicity, warc
 from tessella.llm.store import fresh_path
 
 
@@ -42,6 +42,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document after its disguised words are restored."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, *toxicity.fit(docs, labels))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "hits", "words")
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document stored as a progressive JPEG, read back, and its tensor's features."""
     found = media.round_trips(_table(spark, sf_dir, "documents"))
@@ -70,6 +77,7 @@ def op10_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_toxicity": op2_toxicity,
     "op3_media": op3_media,
     "op4_bpe": op4_bpe,
     "op6_sstable": op6_sstable,
