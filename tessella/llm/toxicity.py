@@ -28,6 +28,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +46,12 @@ _CLASS[0x80:] = 27 + np.arange(128) % 13
 #: Fixed letters that other characters stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "*": "aeiou", "€": "e", "£": "l", "¡": "i",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i",
 }
 _SEPARATORS = frozenset(" .-_*·•~'’`,:;/\\+=#^|")
 _EDGES = "".join(sorted(_SEPARATORS | set("!?\"()[]{}<>«»“”„&%$§@…¿¡")))
+_LEADING = frozenset("@$|(<€£¡+")  # letters in disguise if they stand right before a word
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 _RUN = re.compile(r"(.)\1\1", re.S)
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*]{1,3}[^\W_]){3,}(?!\S)")
@@ -94,9 +96,9 @@ class Channel:
 
     cost: np.ndarray  # by trigram of classes
     substitute: float = 1.2
-    keep_symbol: float = 2.5
+    keep_symbol: float = 6.0
     drop_repeat: float = 1.0
-    drop_second: float = 4.0
+    drop_second: float = 6.0
     drop_separator: float = 1.5
     memo: dict[str, str] = field(default_factory=dict, repr=False)
 
@@ -142,6 +144,8 @@ class Channel:
     def word(self, token: str) -> str:
         """The reading of a token between white space, without the marks around it."""
         core = token.strip(_EDGES)
+        if token[0] in _LEADING and core and token.lstrip(_EDGES) == token[1:]:
+            return self._known(token[0] + core)
         if core.isalpha():
             return self._known(core) if _RUN.search(core) else core
         if not core:
@@ -150,7 +154,7 @@ class Channel:
         letters = sum(map(str.isalpha, core))
         if not letters or len(core) > 40 or "://" in core or re.search(r"@\w+\.", core) or 2 * sum(map(str.isdigit, core)) > len(core):
             return core
-        return self._known(core if core[0] == token[0] or token[0] not in LEET else token.rstrip(_EDGES))
+        return self._known(core)
 
     def _known(self, core: str) -> str:
         found = self.memo.get(core)
@@ -260,9 +264,24 @@ def lexicon(counts: DataFrame, *, least_ratio: float = 12.0, least_docs: int = 5
     ratio = (F.col("n1") / whole.n1) / ((F.col("n0") + 0.5) / whole.n0)
     g = 2 * (term(F.col("docs1"), whole.docs1) + term(F.col("docs0"), whole.docs0))
     strong = total.where("feature <> ''").where((F.col("docs1") >= least_docs) & (ratio >= least_ratio)).withColumn("g", g).where(F.col("g") >= least_g)
-    found = frozenset(r.feature for r in strong.orderBy(F.desc("g"), "feature").limit(most).collect())
+    found = {r.feature: (r.n1, r.n0) for r in strong.orderBy(F.desc("g"), "feature").limit(most).collect()}
     total.unpersist()
-    return found
+    return _needed(found, lambda n1, n0: n1 > 0 and (n1 / whole.n1) / ((max(n0, 0) + 0.5) / whole.n0) >= least_ratio)
+
+
+def _needed(found: dict[str, tuple[int, int]], strong) -> frozenset[str]:
+    """The features that are strong by what they cover beyond the longer ones: "abc" goes if all its force is that of "abcd"."""
+    kept, longer = set(), defaultdict(lambda: [0, 0])
+    for f in sorted(found, key=lambda f: (-len(f.removesuffix("$")), -f.endswith("$"), f)):
+        n1, n0 = found[f]
+        a, b = longer[f]
+        if strong(n1 - a, n0 - b):
+            kept.add(f)
+        up = f[:-1] if not f.endswith("$") else f[:-1][:_PREFIXES[-1]]
+        covered = (n1, n0) if f in kept else (a, b)
+        longer[up][0] += covered[0]
+        longer[up][1] += covered[1]
+    return frozenset(kept)
 
 
 def held_out(key: str) -> Column:
@@ -270,6 +289,24 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _signature(text: str | None) -> int:
+    """The smallest hash of a text's runs of five words, which near copies mostly share."""
+    words = (text or "").lower().encode().split()
+    runs = zip(*(words[i:] for i in range(5)), strict=False) if len(words) >= 5 else [words]
+    return min(crc32(b" ".join(run)) for run in runs)
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """One of the labelled texts that share a signature: copies are no further evidence."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("signature", pa.array([_signature(t.as_py()) for t in batch.column(1)], pa.int64()))
+
+    signed = rows.mapInArrow(sign, "toxic int, text string, signature long")
+    return signed.groupBy("signature").agg(F.min(F.struct("toxic", "text")).alias("row")).select("row.toxic", "row.text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = 20_000) -> tuple[Channel, Model]:
     """The character model of all texts and the toxicity model of the labelled ones that are not held out."""
     spark = docs.sparkSession
@@ -279,6 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     known = known.orderBy(F.xxhash64(key), key).limit(train_rows).withColumnRenamed(key, "_id")
     chosen = spark.createDataFrame([(r["_id"], r["toxic"]) for r in known.collect()], known.schema)  # train_rows at most
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), F.col("_key") == F.col("_id")).select("toxic", "text")
+    rows = _apart(rows)
     found = lexicon(_feature_counts(rows, held))
     empty = Model(found, 0.02, 0.0002, 0.0, 0.0)
     counts = np.array(_hits(rows, held, spark.sparkContext.broadcast(empty), ["toxic"]).collect(), np.float64).reshape(-1, 3)
@@ -338,6 +376,10 @@ def _hits(rows: DataFrame, channel, model, extra: list[str]) -> DataFrame:
                                 f = known[token] = (2 if fitted.hit(word) else 1) if word else 0
                             found[i] = f
                 counts = bytes(found)
+                if 2 in counts:
+                    # A line that repeats is evidence once: words count by the pairs that they end.
+                    pairs = dict(zip(zip([None, *own], own, strict=False), counts, strict=False))
+                    counts = bytes(pairs.values())
                 hits.append(counts.count(2))
                 words.append(len(counts) - counts.count(0))
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(extra)], pa.array(hits, pa.int64()), pa.array(words, pa.int64())], names=[*extra, "hits", "words"])
