@@ -1,13 +1,13 @@
 """Byte-level BPE over a corpus by a global shuffle of distinct words.
 
 Encoding. Documents are cut into pre-tokens; a block of consecutive documents
-(about ``block_bytes`` of text) keeps one row for each distinct word, and each
-document becomes the sequence of its words' numbers in the block: the exploded
-positions, held as a packed array instead of one row a position. The word rows
-are shuffled by word, each distinct word is encoded once, the ids go back to
-the blocks, and every document is put together again by position. A word costs
-a block one row however often it occurs, so a word that makes up a third of the
-corpus costs no more than any other.
+(about ``block_bytes`` of text) keeps each distinct word once, and each document
+becomes the sequence of its words' numbers in the block: the exploded positions,
+held as a packed array instead of one row a position. The words are shuffled by
+their hash, each distinct word is encoded once, the ids go back to the blocks,
+and every document is put together again by position. A word costs a block one
+entry however often it occurs, so a word that makes up a third of the corpus
+costs no more than any other.
 
 Decoding joins the table of token bytes. Its size is that of the vocabulary
 file, so it is broadcast.
@@ -23,18 +23,23 @@ import base64
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import chain, count
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark import TaskContext
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.llm.store import written
 
 _WORDS, _DOCUMENTS = 0, 1
+_SHORT = (1 << 14) + (1 << 7)  # numbers that pack to one or two bytes, about
+_ROW_WORDS = 1 << 16  # words of the documents in one packed row, about
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -85,144 +90,193 @@ def _unpack(packed: bytes) -> np.ndarray:
     return out
 
 
-def _cut(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
-    """Rows (block, kind, code, word, key, codes): a block's distinct words by falling frequency, and its documents as numbers of these."""
-    key_field = docs.schema[0]
+def _squeeze(raw: bytes) -> bytes:
+    return zstandard.compress(raw, 3)
+
+
+#: Packed rows. Words of a block (kind 0): part is their bucket, sizes their ascending numbers as differences, then their byte lengths.
+#: Documents of a block (kind 1): part counts these rows, keys has the documents, sizes their numbers of words, data their words' numbers.
+_ROW = "block long, kind byte, part int, keys array<{key}>, n int, sizes binary, data binary"
+
+
+def _rows(key: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int8(), pa.int32(), pa.list_(key), pa.int32(), pa.binary(), pa.binary()]
+    columns = list(zip(*rows, strict=True)) or [[] for _ in types]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["block", "kind", "part", "keys", "n", "sizes", "data"])
+
+
+def _cut(docs: DataFrame, pattern: str, block_bytes: int, buckets: int) -> DataFrame:
+    """A block's distinct words, dealt to buckets by their hash, and its documents as numbers of these words.
+
+    The commonest words have the smallest numbers, which take one or two bytes;
+    the others are numbered in the words' order, which packs best.
+    """
+
+    def flush(block: int, kind: pa.DataType, held: list[tuple], numbers: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        counts = np.bincount(np.concatenate([codes for _, codes in held]), minlength=len(numbers))
+        order = np.argsort(-counts, kind="stable")
+        words = list(numbers)
+        order[_SHORT:] = sorted(order[_SHORT:].tolist(), key=words.__getitem__)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        dealt: list[tuple[list[int], list[bytes]]] = [([], []) for _ in range(min(buckets, len(words)))]
+        at: dict[int, int] = {}
+        for code, i in enumerate(order.tolist()):
+            word = words[i].encode()
+            bucket = crc32(word) % buckets
+            codes, own = dealt[at.setdefault(bucket, len(at))]
+            codes.append(code)
+            own.append(word)
+        rows, size = [], 0
+        for bucket, k in at.items():
+            codes, own = dealt[k]
+            sizes = np.concatenate([np.diff(codes, prepend=0), np.fromiter(map(len, own), np.int64, len(own))])
+            rows.append((block, _WORDS, bucket, None, len(codes), _squeeze(_pack(sizes)), _squeeze(b"".join(own))))
+            if len(rows) == 256:
+                yield _rows(kind, rows)
+                rows = []
+        if rows:
+            yield _rows(kind, rows)
+        first, part = 0, 0
+        for i in range(len(held)):
+            size += len(held[i][1])
+            if size < _ROW_WORDS and i + 1 < len(held):
+                continue
+            own = held[first:i + 1]
+            packed = _squeeze(_pack(rank[np.concatenate([codes for _, codes in own])]))
+            yield _rows(kind, [(block, _DOCUMENTS, part, [k for k, _ in own], len(own), _squeeze(_pack(np.array([len(codes) for _, codes in own]))), packed)])
+            first, part, size = i + 1, part + 1, 0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         task = TaskContext.get()
         block = (task.partitionId() if task else 0) << 24
-        held: list[tuple[pa.Scalar, np.ndarray]] = []
+        held: list[tuple] = []
         numbers = defaultdict(count().__next__)
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            counts = np.bincount(np.concatenate([codes for _, codes in held]), minlength=len(numbers))
-            order = np.argsort(-counts, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            words = list(numbers)
-            for i in range(0, len(words), 50_000):
-                part = words[i:i + 50_000]
-                yield rows(block, _WORDS, rank[i:i + 50_000], pa.array(part, pa.string()), None, None)
-            for i in range(0, len(held), 1000):
-                part = held[i:i + 1000]
-                yield rows(block, _DOCUMENTS, np.arange(i, i + len(part)), None, pa.array([k for k, _ in part], kinds[0].type), pa.array([_pack(rank[c]) for _, c in part], pa.binary()))
-
-        def rows(block: int, kind: int, code: np.ndarray, word: pa.Array | None, key: pa.Array | None, codes: pa.Array | None) -> pa.RecordBatch:
-            n = len(code)
-            arrays = [pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, kind, np.int8)), pa.array(code.astype(np.int32)), word, key, codes]
-            arrays = [pa.nulls(n, t) if a is None else a for a, t in zip(arrays, types(), strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, names=["block", "kind", "code", "word", "key", "codes"])
-
-        def types() -> list[pa.DataType]:
-            return [pa.int64(), pa.int8(), pa.int32(), pa.string(), kinds[0].type, pa.binary()]
-
-        kinds: list[pa.Array] = []
+        size, kind = 0, pa.null()
         for batch in batches:
-            kinds[:] = [batch.column(0)]
+            kind = batch.column(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 value = text.as_py() or ""
                 words = find(value)
-                held.append((key, np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))))
+                held.append((key, np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))))
                 size += len(value)
                 if size >= block_bytes:
-                    yield from flush()
-                    block, size = block + 1, 0
-                    held, numbers = [], defaultdict(count().__next__)
+                    yield from flush(block, kind, held, numbers)
+                    block, size, held, numbers = block + 1, 0, [], defaultdict(count().__next__)
         if held:
-            yield from flush()
+            yield from flush(block, kind, held, numbers)
 
-    key = f"key {key_field.dataType.simpleString()}"
-    return docs.mapInArrow(cut, f"block long, kind byte, code int, word string, {key}, codes binary")
+    return docs.mapInArrow(cut, _ROW.format(key=docs.schema[0].dataType.simpleString()))
 
 
-def _encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(block, code, word) rows to (block, code, ids): shuffled by word, each distinct word is merged once."""
+def _encode_words(words: DataFrame, path: str, key: str) -> DataFrame:
+    """Packed word rows, a bucket's together, to the same with ids for words: each distinct word of a bucket is merged once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge = _word_encoder(path).encode_ordinary
-        last, ids = None, []
+        last, known = None, {}
         for batch in batches:
-            out = []
-            for w in batch.column(2).to_pylist():
-                if w != last:
-                    last, ids = w, merge(w)
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["block", "code", "ids"])
-
-    return words.repartition("word").sortWithinPartitions("word").select("block", "code", "word").mapInArrow(encode, "block long, code int, ids array<int>")
-
-
-def _reassemble(rows: DataFrame, key: str) -> DataFrame:
-    """Rows (block, kind, code, ids, key, codes), a block's words first, to (key, ids)."""
+            for block, part, n, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "n", "sizes", "data")), strict=True):
+                if part != last:
+                    last, known = part, {}
+                numbers = _unpack(zstandard.decompress(sizes))
+                raw = zstandard.decompress(data)
+                ends = np.cumsum(numbers[n:]).tolist()
+                out = []
+                for a, b in zip([0, *ends], ends, strict=False):
+                    word = raw[a:b]
+                    if (ids := known.get(word)) is None:
+                        ids = known[word] = merge(word.decode())
+                    out.append(ids)
+                counts = np.fromiter(map(len, out), np.int64, n)
+                flat = np.fromiter(chain.from_iterable(out), np.int64, int(counts.sum()))
+                yield _rows(own, [(block, _WORDS, part, None, n, _squeeze(_pack(np.concatenate([numbers[:n], counts]))), _squeeze(_pack(flat)))])
+
+    own = to_arrow_type(words.schema["keys"].dataType.elementType)
+    return words.repartition("part").sortWithinPartitions("part").mapInArrow(encode, _ROW.format(key=key))
+
+
+def _reassemble(rows: DataFrame, key: str, partitions: int, tokens: Broadcast | None) -> DataFrame:
+    """Packed rows, a block's words first, to (key, ids), and decoded if the token table is given."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts, flat, starts, lengths = None, [], None, None, None
         for batch in batches:
-            blocks = batch.column(0).to_numpy(zero_copy_only=False)
-            kinds = batch.column(1).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(blocks)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if blocks[a] != block:
-                    block, parts, flat, starts, lengths = blocks[a], [], np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-                if kinds[a] == _WORDS:
-                    parts.append(batch.column(3).slice(a, b - a))
+            for i in range(batch.num_rows):
+                own, kind, n = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(4)[i].as_py()
+                sizes, data = (_unpack(zstandard.decompress(batch.column(c)[i].as_py())) for c in (5, 6))
+                if own != block:
+                    block, parts, flat, starts, lengths = own, [], np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+                if kind == _WORDS:
+                    parts.append((np.cumsum(sizes[:n]), sizes[n:], data.astype(np.int32)))
                     continue
                 if parts:
-                    ids = pa.concat_arrays(parts)
-                    flat = ids.values.to_numpy(zero_copy_only=False)
-                    offsets = ids.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-                    starts, lengths, parts = offsets[:-1], np.diff(offsets), []
-                out, ends = [], [0]
-                for packed in batch.column(5).slice(a, b - a):
-                    codes = _unpack(packed.as_py())
-                    n = lengths[codes]
-                    total = int(n.sum())
-                    if total:
-                        before = np.cumsum(n) - n
-                        out.append(flat[np.repeat(starts[codes] - before, n) + np.arange(total)])
-                    ends.append(ends[-1] + total)
-                values = np.concatenate(out) if out else np.empty(0, np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(4).slice(a, b - a), ids], names=[key, "ids"])
-
-    kind = rows.schema["key"].dataType.simpleString()
-    ordered = rows.repartition("block").sortWithinPartitions("block", "kind", "code").select("block", "kind", "code", "ids", "key", "codes")
-    return ordered.mapInArrow(join, f"`{key}` {kind}, ids array<int>")
-
-
-def encode(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text: str = "text", block_bytes: int = 24 << 20) -> DataFrame:
+                    codes = np.concatenate([p[0] for p in parts])
+                    counts = np.concatenate([p[1] for p in parts])
+                    flat = np.concatenate([p[2] for p in parts])
+                    lengths = np.zeros(int(codes.max()) + 1, np.int64)
+                    starts = np.zeros(len(lengths), np.int64)
+                    lengths[codes] = counts
+                    starts[codes] = np.cumsum(counts) - counts
+                    parts = []
+                each = lengths[data]
+                ends = np.cumsum(each)
+                total = int(ends[-1]) if len(ends) else 0
+                values = flat[np.repeat(starts[data] - (ends - each), each) + np.arange(total)]
+                word_ends = np.cumsum(sizes)
+                id_ends = np.concatenate(([0], ends))[np.concatenate(([0], word_ends))]
+                keys = batch.column(3)[i].values
+                for a in range(0, n, 256):
+                    b = min(a + 256, n)
+                    ids = pa.ListArray.from_arrays(pa.array(id_ends[a:b + 1] - id_ends[a], pa.int32()), pa.array(values[id_ends[a]:id_ends[b]], pa.int32()))
+                    columns = {key: keys.slice(a, b - a), "ids": ids}
+                    if tokens is not None:
+                        columns["decoded"] = _join_tokens(ids, tokens.value)
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    kind = rows.schema["keys"].dataType.elementType.simpleString()
+    place = F.pmod(F.shiftright("block", 24) + F.col("block").bitwiseAND(F.lit(0xFFFFFF).cast("long")), F.lit(partitions)).cast("int")
+    dealt = rows.repartitionById(partitions, place).sortWithinPartitions("block", "kind", "part")
+    return dealt.mapInArrow(join, f"`{key}` {kind}, ids array<int>" + ", decoded binary" * (tokens is not None))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text: str = "text", block_bytes: int = 32 << 20, decoded: bool = False) -> DataFrame:
     """(key, ids array<int>) of every document row: the ids of its whole text, each match of ``pattern`` merged separately by the ranks at ``path``.
 
-    Every executor must see ``path``. A block's words and ids are held by one
-    Python worker, so ``block_bytes`` bounds its memory; a longer text is a
-    block of its own.
+    With ``decoded`` the ids are decoded again, in the same pass, as ``decode`` would.
+
+    Every executor must see ``path``. A block lies within one input partition;
+    one Python worker holds its words and ids, so ``block_bytes`` of text bounds
+    its memory; a longer text is a block of its own. There are as many buckets
+    of words as twice the input's partitions, so a bucket is as bounded.
     """
-    cut = written(_cut(docs.select(F.col(key), F.col(text).cast("string")), pattern, block_bytes), "bpe")
-    ids = _encode_words(cut.where(F.col("kind") == _WORDS).select("block", "code", "word"), path)
-    words = ids.select("block", F.lit(_WORDS).cast("byte").alias("kind"), "code", "ids", F.lit(None).cast(cut.schema["key"].dataType).alias("key"), F.lit(None).cast("binary").alias("codes"))
-    documents = cut.where(F.col("kind") == _DOCUMENTS).select("block", "kind", "code", F.lit(None).cast("array<int>").alias("ids"), "key", "codes")
-    return _reassemble(words.unionByName(documents), key)
+    own = docs.select(F.col(key), F.col(text).cast("string"))
+    partitions = max(1, own.rdd.getNumPartitions())
+    kind = own.schema[0].dataType.simpleString()
+    cut = written(_cut(own, pattern, block_bytes, 2 * partitions), "bpe")
+    ids = _encode_words(cut.where(F.col("kind") == _WORDS), path, kind)
+    tokens = docs.sparkSession.sparkContext.broadcast(_token_bytes(path)) if decoded else None
+    return _reassemble(ids.unionByName(cut.where(F.col("kind") == _DOCUMENTS)), key, partitions, tokens)
+
+
+def _join_tokens(ids: pa.Array, table: list[bytes]) -> pa.Array:
+    """The bytes of each list of ids. The token table has as many entries as the vocabulary file has lines."""
+    flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()
+    out, at = [], 0
+    for n in ids.value_lengths().to_pylist():
+        out.append(b"".join(map(table.__getitem__, flat[at:at + (n or 0)])))
+        at += n or 0
+    return pa.array(out, pa.binary())
 
 
 def decode(df: DataFrame, path: str, *, ids: str = "ids") -> DataFrame:
     """Adds ``decoded`` (binary): the bytes of each row's ids, joined from the token table at ``path``. An id without bytes fails the query."""
     at = df.columns.index(ids)
-    held = df.sparkSession.sparkContext.broadcast(_token_bytes(path))  # as many entries as the vocabulary file has lines
+    held = df.sparkSession.sparkContext.broadcast(_token_bytes(path))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = held.value.__getitem__
         for batch in batches:
-            column = batch.column(at)
-            flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
-            out, i = [], 0
-            for n in column.value_lengths().to_pylist():
-                out.append(b"".join(map(token, flat[i:i + (n or 0)])))
-                i += n or 0
-            yield batch.append_column("decoded", pa.array(out, pa.binary()))
+            yield batch.append_column("decoded", _join_tokens(batch.column(at), held.value))
 
     return df.mapInArrow(join, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", decoded binary")
