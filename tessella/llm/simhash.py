@@ -87,10 +87,11 @@ def _masks(parts: int, budget: int) -> list[int]:
 
 
 class _Sets:
-    """Connected sets of positions, merged by arrays of pairs."""
+    """Connected sets of positions, merged by arrays of pairs; the pairs that merged two sets span them."""
 
     def __init__(self, n: int):
         self.label = np.arange(n)
+        self.spanning: list[np.ndarray] = []
 
     def merge(self, a: np.ndarray, b: np.ndarray) -> None:
         while True:
@@ -99,7 +100,11 @@ class _Sets:
             if not apart.any():
                 return
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(self.label, np.maximum(x, y), np.minimum(x, y))
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            order = np.lexsort((low, high))
+            first = order[np.concatenate(([True], np.diff(high[order]) != 0))]
+            self.label[high[first]] = low[first]
+            self.spanning.append(np.stack([a[first], b[first]], axis=1))
             while True:
                 up = self.label[self.label]
                 if (up == self.label).all():
@@ -167,16 +172,16 @@ def _compare(fps: np.ndarray, nodes: np.ndarray, budget: int, sets: _Sets) -> No
         sets.merge(a[near], b[near])
 
 
-def _link_units(budget: int):
-    """A task's rows (forest, tree, i, j, chunk, fp), sorted, to chains (a, b) through the connected sets of each unit."""
+def _link_units(budgets: list[int], spanning: bool):
+    """A task's rows (forest, tree, i, j, chunk, fp, node), sorted, to pairs (a, b) of nodes that connect the connected sets of each unit."""
 
     def flush(columns: list[np.ndarray]) -> pa.RecordBatch | None:
-        forest, tree, i, j, chunk, fp = columns
+        forest, tree, i, j, chunk, fp, node = columns
         new = (np.diff(forest) != 0) | (np.diff(tree) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
         bounds = np.concatenate(([0], np.flatnonzero(new) + 1, [len(fp)]))
         roots = []
-        lone = np.diff(bounds) > 1
-        for a, b in zip(bounds[:-1][lone].tolist(), bounds[1:][lone].tolist(), strict=True):
+        several = np.diff(bounds) > 1
+        for a, b in zip(bounds[:-1][several].tolist(), bounds[1:][several].tolist(), strict=True):
             if i[a] == j[a]:
                 roots.append((a, b, a, b))
             else:
@@ -187,13 +192,19 @@ def _link_units(budget: int):
             return None
         fps = fp.view(np.uint64)
         sets = _Sets(len(fps))
-        join_tries(fps, roots, budget, sets)
-        order = np.argsort(sets.label, kind="stable")
-        label = sets.label[order]
-        chained = np.flatnonzero(label[1:] == label[:-1])
-        if not len(chained):
+        for budget in budgets:
+            join_tries(fps, roots, budget, sets)
+        if spanning:
+            pairs = np.concatenate(sets.spanning) if sets.spanning else np.empty((0, 2), np.int64)
+        else:
+            order = np.argsort(sets.label, kind="stable")
+            label = sets.label[order]
+            chained = np.flatnonzero(label[1:] == label[:-1])
+            pairs = np.stack([order[chained], order[chained + 1]], axis=1)
+        if not len(pairs):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(fp[order[chained]]), pa.array(fp[order[chained + 1]])], names=["a", "b"])
+        ends = np.sort(node[pairs], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -203,7 +214,7 @@ def _link_units(budget: int):
                 continue
             held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             rows += batch.num_rows
-            if rows < 1 << 20:
+            if rows < 1 << 18:
                 continue
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             last = [c[-1] for c in columns[:4]]
@@ -218,27 +229,33 @@ def _link_units(budget: int):
     return link
 
 
-def links(distinct: DataFrame, *, budget: int = 4, tree_mean: int = 64, tree_rows: int = 1 << 15) -> DataFrame:
-    """(a, b): chains of distinct fingerprints whose connected sets are those of all links. distinct: one column fp, one row each."""
-    count = distinct.count()
+def links(prints: DataFrame, *, budget: int = 4, spanning: bool = False, tree_mean: int = 512, tree_rows: int = 1 << 15) -> DataFrame:
+    """(a, b), a < b: pairs of nodes whose connected sets are those of all links. prints: rows (node long, fp), nodes unique.
+
+    With ``spanning`` every pair is itself a link, the closer ones first: the
+    links that span each tree's connected sets. Otherwise a set's nodes are
+    chained, so that none has many pairs.
+    """
+    count = prints.count()
     parts = _parts(count, budget, tree_mean)
     masks = _masks(parts, budget)
     forests = F.explode(F.array(*[F.struct(F.lit(k).alias("forest"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("tree")) for k, m in enumerate(masks)]))
-    rows = distinct.select("fp", forests.alias("at")).select("at.forest", "at.tree", "fp")
+    rows = prints.select("fp", "node", forests.alias("at")).select("at.forest", "at.tree", "fp", "node")
     # At most 100,000 trees are this large, so their list may be broadcast.
     large = max(tree_rows, count * comb(parts, budget) // 100_000)
     sizes = rows.groupBy("forest", "tree").count().where(F.col("count") > large).withColumn("chunks", F.ceil(F.col("count") / tree_rows).cast("int")).drop("count")
     hot = written(sizes, "simhash-trees")
     if hot.isEmpty():
-        units = rows.select("forest", "tree", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("chunk"), "fp")
+        units = rows.select("forest", "tree", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("chunk"), "fp", "node")
     else:
-        chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-        at: Column = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        units = rows.join(F.broadcast(hot), ["forest", "tree"], "left").withColumn("chunk", F.coalesce(chunk, F.lit(0))).withColumn("other", at)
-        units = units.select("forest", "tree", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp")
+        chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+        others: Column = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        units = rows.join(F.broadcast(hot), ["forest", "tree"], "left").withColumn("chunk", F.coalesce(chunk, F.lit(0))).withColumn("other", others)
+        units = units.select("forest", "tree", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp", "node")
     unsigned = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
     dealt = units.repartition("forest", "tree", "i", "j").sortWithinPartitions("forest", "tree", "i", "j", "chunk", unsigned)
-    return dealt.mapInArrow(_link_units(budget), "a long, b long").distinct()
+    budgets = [b for b in (1, 3) if b < budget] + [budget] if spanning else [budget]
+    return dealt.mapInArrow(_link_units(budgets, spanning), "a long, b long").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -272,21 +289,92 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shin
     """(key, fp, component) of every document row: its fingerprint and the smallest key in its component."""
     prints = written(fingerprints(docs, key=key, text=text, shingle=shingle), "simhash")
     distinct = written(prints.groupBy("fp").agg(F.min(key).alias("least")), "simhash")
-    labels = written(connected(links(distinct.select("fp"), budget=budget, tree_rows=tree_rows)), "simhash")
+    labels = written(connected(links(distinct.select("fp", F.col("fp").alias("node")), budget=budget, tree_rows=tree_rows)), "simhash")
     grouped = written(distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "simhash")
     ids = written(grouped.groupBy("label").agg(F.min("least").alias("component")).withColumnRenamed("label", "of"), "simhash")
     of_print = written(grouped.join(ids, grouped.label == ids["of"]).select(F.col("fp").alias("print"), "component"), "simhash")
     return prints.join(of_print, prints.fp == of_print.print).select(key, "fp", "component")
 
 
-def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
-    """The documents less all but one of each component, all columns kept: the row with the smallest key stays.
+def _word_print(text: str | None, seed: int) -> int:
+    """The fingerprint of a text's distinct words, which an edited word hardly moves."""
+    words = set(text.encode().lower().split()) if text else set()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[i:i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0]) if words else 0
+
+
+def _shingles(text: str | None, shingle: int) -> bytes:
+    """The distinct hashes of a text's shingles, ascending."""
+    words = text.encode().lower().split() if text else []
+    n = min(shingle, len(words))
+    grams = map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False)) if n else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64)).tobytes()
 
-    Rows with a null key stay. If the kept key itself repeats, all its rows have one fate, so keys should be unique.
+
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts' shingle sets have a Jaccard similarity of ``least`` or more. texts: rows (node, text) of all their nodes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_shingles(t.as_py(), shingle) for t in batch.column(1)], pa.binary())], names=["node", "grams"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(both >= least * (len(one) + len(two) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    grams = written(texts.select("node", "text").mapInArrow(cut, "node long, grams binary"), "simhash")
+    one = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
+    two = one.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    return two.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 6, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
+    """(key, component) of the documents in a component of two or more, by exact copies and verified near copies.
+
+    Fingerprints of distinct words within ``budget`` bits, under any seed, are
+    candidates: an edit of a few words moves these far less than fingerprints of
+    shingles. The links that span each candidate set are verified by the Jaccard
+    similarity of whole shingle sets. Keys must be long and unique; rows with a
+    null key are left out.
     """
-    found = components(docs, key=key, text=text, shingle=shingle, budget=budget)
-    gone = written(found.where(F.col(key) != F.col("component")).select(key).distinct(), "simhash")
-    return docs.join(gone, key, "left_anti")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(1)]
+            digests = [xxhash.xxh3_128_digest((t or "").encode()) for t in texts]
+            prints = [pa.array([_word_print(t, s) for t in texts], pa.int64()) for s in seeds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *prints], names=["key", "digest", *(f"fp{k}" for k in range(len(seeds)))])
+
+    own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    columns = [f"fp{k}" for k in range(len(seeds))]
+    signed = written(own.mapInArrow(sign, "key long, digest binary, " + ", ".join(f"{c} long" for c in columns)), "simhash")
+    classes = written(signed.groupBy("digest").agg(F.min("key").alias("node"), *(F.min(c).alias(c) for c in columns), F.count("*").alias("n")), "simhash")
+    pairs = None
+    for c in columns:
+        found = links(classes.select("node", F.col(c).alias("fp")), budget=budget, spanning=True)
+        pairs = found if pairs is None else pairs.union(found)
+    pairs = written(pairs.distinct(), "simhash")
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash")
+    texts = own.join(nodes, own.key == nodes.node, "left_semi").select(F.col("key").alias("node"), "text")
+    similar = written(_similar(pairs, texts, shingle, similarity), "simhash")
+    labels = written(connected(similar).withColumnRenamed("node", "member"), "simhash")
+    grouped = written(classes.join(labels, classes.node == labels.member, "left").where("n > 1 or label is not null").select(F.col("digest").alias("of"), F.coalesce("label", "node").alias("component")), "simhash")
+    return signed.join(grouped, signed.digest == grouped.of).select(F.col("key").alias(key), "component")
+
+
+def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents less all but the one with the smallest key of each component of ``near_duplicates``, all columns kept."""
+    found = near_duplicates(docs, key=key, text=text, **options)
+    gone = written(found.where(F.col(key) != F.col("component")).select(key), "simhash")
+    return docs.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def hex_digits(fp: Column) -> Column:

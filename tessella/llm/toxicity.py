@@ -349,43 +349,49 @@ def _curve(found: frozenset[str], counts: np.ndarray) -> Model:
     return model
 
 
+class _Counter:
+    """Counts the lexicon words and all words of texts; what it learns of tokens stays with the Python worker."""
+
+    def __init__(self, channel: Channel, model: Model):
+        self.channel, self.model = channel, model
+        self._forget(_KNOWN.get(None) is not model)
+
+    def _forget(self, when: bool) -> None:
+        if when:
+            _KNOWN.clear()
+            _KNOWN[None] = self.model
+
+    def __call__(self, text: str | None) -> tuple[int, int]:
+        own = tokens(self.channel, text)
+        found = list(map(_KNOWN.get, own))
+        if None in found:
+            self._forget(len(_KNOWN) > 500_000)
+            for i, f in enumerate(found):
+                if f is None:
+                    token = own[i]
+                    f = _KNOWN.get(token)
+                    if f is None:
+                        word = self.channel.word(token)
+                        f = _KNOWN[token] = (2 if self.model.hit(word) else 1) if word else 0
+                    found[i] = f
+        counts = bytes(found)
+        if 2 in counts:
+            # A line that repeats is evidence once: words count by the pairs that they end.
+            counts = bytes(dict(zip(zip([None, *own], own, strict=False), counts, strict=False)).values())
+        return counts.count(2), len(counts) - counts.count(0)
+
+
 def _hits(rows: DataFrame, channel, model, extra: list[str]) -> DataFrame:
-    """(extra..., hits, words): lexicon words and all words of each text, which is the last column of rows."""
+    """(extra..., hits, words): lexicon words and all words of each row's text."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, fitted = channel.value, model.value
-        known = _KNOWN
-        if known.get(None) is not fitted:
-            known.clear()
-            known[None] = fitted
+    def count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _Counter(channel.value, model.value)
         for batch in batches:
-            hits, words = [], []
-            for text in batch.column(len(extra)):
-                own = tokens(held, text.as_py())
-                found = list(map(known.get, own))
-                if None in found:
-                    if len(known) > 500_000:
-                        known.clear()
-                        known[None] = fitted
-                    for i, f in enumerate(found):
-                        if f is None:
-                            token = own[i]
-                            f = known.get(token)
-                            if f is None:
-                                word = held.word(token)
-                                f = known[token] = (2 if fitted.hit(word) else 1) if word else 0
-                            found[i] = f
-                counts = bytes(found)
-                if 2 in counts:
-                    # A line that repeats is evidence once: words count by the pairs that they end.
-                    pairs = dict(zip(zip([None, *own], own, strict=False), counts, strict=False))
-                    counts = bytes(pairs.values())
-                hits.append(counts.count(2))
-                words.append(len(counts) - counts.count(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(extra)], pa.array(hits, pa.int64()), pa.array(words, pa.int64())], names=[*extra, "hits", "words"])
+            found = [count(t.as_py()) for t in batch.column(len(extra))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(extra)], pa.array([h for h, _ in found], pa.int64()), pa.array([w for _, w in found], pa.int64())], names=[*extra, "hits", "words"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in extra)
-    return rows.select(*extra, "text").mapInArrow(count, f"{kinds}, hits long, words long")
+    return rows.select(*extra, "text").mapInArrow(count_texts, f"{kinds}, hits long, words long")
 
 
 #: What a Python worker remembers of tokens: 0 no word, 1 a word, 2 a lexicon word. None holds the model it belongs to.
@@ -403,6 +409,21 @@ def score(docs: DataFrame, channel: Channel, model: Model, *, key: str = "doc_id
     return found.withColumn("score", value).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def clean(docs: DataFrame, channel: Channel, model: Model, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The documents whose score is below the threshold, all columns kept."""
+    context = docs.sparkSession.sparkContext
+    held, fitted = context.broadcast(channel), context.broadcast(model)
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _Counter(held.value, fitted.value)
+        for batch in batches:
+            found = np.array([count(t.as_py()) for t in batch.column(at)], np.float64).reshape(-1, 2)
+            yield batch.filter(pa.array(fitted.value.score(found[:, 0], found[:, 1]) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def restore(docs: DataFrame, channel: Channel, *, text: str = "text") -> DataFrame:
     """Adds ``restored``: every text in lower case with its disguised words restored."""
     held = docs.sparkSession.sparkContext.broadcast(channel)
