@@ -7,14 +7,36 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, decontam, maintext, media, simhash, sstable, toxicity, warc
-from tessella.llm.store import fresh_path
+from tessella.llm import bpe, decontam, maintext, media, quotes, rollup, simhash, sstable, toxicity, warc
+from tessella.llm.store import fresh_path, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after all documents were inserted, exact copies deleted, and other languages than English counted anew in words."""
+    docs = _table(spark, sf_dir, "documents")
+    counts = [rollup.TOKENIZERS[v](F.col("text")).alias(v) for v in ("utf8-1", "words-1")]
+    slim = written(docs.select("doc_id", "source", "lang", F.xxhash64("text").alias("digest"), F.sha2("text", 256).alias("sha"), *counts), "rollup")
+    first = written(slim.groupBy("digest", "sha").agg(F.min("doc_id").alias("first")).withColumnsRenamed({"digest": "d", "sha": "s"}), "rollup")
+    marked = written(slim.join(first, (slim.digest == first.d) & slim.sha.eqNullSafe(first.s)).withColumn("copy", F.col("doc_id") != F.col("first")), "rollup")
+
+    def rows(df: DataFrame, version: str) -> DataFrame:
+        return df.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(f"`{version}`").alias("n_tokens"))
+
+    totals = rollup.Rollup(spark, fresh_path(spark, "totals"))
+    copies = rollup.deleted(rows(marked.where("copy"), "utf8-1"))
+    others = marked.where("not copy and lang <> 'en'")
+    totals.apply("0001-insert", rollup.inserted(rows(marked, "utf8-1")))
+    totals.apply("0002-copies", copies)
+    totals.apply("0003-words", rollup.revised(rows(others, "utf8-1"), rows(others, "words-1")))
+    totals.apply("0002-copies", copies)  # a retry, which changes nothing
+    totals.compact()
+    return totals.totals()
+
+
 def op6_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole document in sorted-string-table shards, read back."""
     path = fresh_path(spark, "sstable")
@@ -29,6 +51,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotations, with the message that it answers and its place among the replies."""
+    found = quotes.linked(_table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "number", "role", "parent", "linked", "quoted_passages", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.col("own").alias("text"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every whole document."""
     return decontam.report(decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
@@ -80,12 +108,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_media": op3_media,
     "op4_bpe": op4_bpe,
+    "op5_rollup": op5_rollup,
     "op6_sstable": op6_sstable,
     "op7_simhash": op7_simhash,
+    "op8_quotes": op8_quotes,
     "op9_decontaminate": op9_decontaminate,
     "op10_maintext": op10_maintext,
 }
 SQL: dict[str, str] = {
+    "op5_rollup": r"""
+        WITH kept AS (
+            SELECT * FROM (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id = first),
+        counted AS (
+            SELECT source, lang, CASE WHEN lang <> 'en' THEN 'words-1' ELSE 'utf8-1' END AS tokenizer,
+                   CASE WHEN lang <> 'en' THEN len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\x0B]+')) ELSE octet_length(encode(coalesce(text, ''))) END AS n
+            FROM kept)
+        SELECT source, lang, tokenizer, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM counted GROUP BY 1, 2, 3""",
     "op1_warc": """
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
