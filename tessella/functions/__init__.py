@@ -1 +1 @@
-"""functions."""
+"""Column expressions without Python on the executors."""

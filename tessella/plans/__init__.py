@@ -1 +1 @@
-"""plans."""
+"""The pipeline language, its compiler to DataFrames, and the fluent builder."""

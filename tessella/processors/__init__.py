@@ -1 +1 @@
-"""processors."""
+"""Processors: bytes and a content type to observations."""

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tessella.queries import graphs, records, searching, timelines
+
+MODULES = [searching, graphs, timelines, records]
+QUERIES: dict = {name: run for m in MODULES for name, run in m.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.SQL.items()}

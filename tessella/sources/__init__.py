@@ -1 +1 @@
-"""sources."""
+"""Sources, sinks and stores."""

@@ -1 +1 @@
-"""streaming."""
+"""Structured Streaming: windows, watchers, logs."""
