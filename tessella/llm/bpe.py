@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.llm.store import written
+from tessella.llm.workers import release
 
 _WORDS, _DOCUMENTS = 0, 1
 _SHORT = (1 << 14) + (1 << 7)  # numbers that pack to one or two bytes, about
@@ -164,8 +165,11 @@ def _cut(docs: DataFrame, pattern: str, block_bytes: int, buckets: int) -> DataF
                 if size >= block_bytes:
                     yield from flush(block, kind, held, numbers)
                     block, size, held, numbers = block + 1, 0, [], defaultdict(count().__next__)
+                    release()
         if held:
             yield from flush(block, kind, held, numbers)
+        del held, numbers
+        release()
 
     return docs.mapInArrow(cut, _ROW.format(key=docs.schema[0].dataType.simpleString()))
 
@@ -234,6 +238,8 @@ def _reassemble(rows: DataFrame, key: str, partitions: int, tokens: Broadcast |
                     if tokens is not None:
                         columns["decoded"] = _join_tokens(ids, tokens.value)
                     yield pa.RecordBatch.from_pydict(columns)
+        parts = flat = starts = lengths = None
+        release()
 
     kind = rows.schema["keys"].dataType.elementType.simpleString()
     place = F.pmod(F.shiftright("block", 24) + F.col("block").bitwiseAND(F.lit(0xFFFFFF).cast("long")), F.lit(partitions)).cast("int")

@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.llm.store import written
+from tessella.llm.workers import release
 
 SEED = 42
 _CHUNK = 1 << 14  # shingles whose bits are counted at once
@@ -225,6 +226,8 @@ def _link_units(budgets: list[int], spanning: bool):
             held, rows = [[c[cut:] for c in columns]], len(columns[0]) - cut
         if rows and (out := flush([np.concatenate(c) for c in zip(*held, strict=True)])) is not None:
             yield out
+        held.clear()
+        release()
 
     return link
 

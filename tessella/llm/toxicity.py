@@ -34,6 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessella.llm.workers import release
+
 # ---------------------------------------------------------------- characters
 
 _CLASSES = 40
@@ -192,35 +194,39 @@ def features(word: str) -> list[str]:
 
 
 def _feature_counts(rows: DataFrame, channel) -> DataFrame:
-    """(feature, toxic, n, docs) over labelled texts: rows (text, toxic)."""
+    """(feature, toxic, n, docs) over labelled texts, rows (toxic, text), in part sums; the feature "" counts all words."""
+
+    def sums(totals: dict[tuple[str, int], list[int]]) -> pa.RecordBatch:
+        columns = ([f for f, _ in totals], [t for _, t in totals], [n for n, _ in totals.values()], [d for _, d in totals.values()])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["feature", "toxic", "n", "docs"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = channel.value
         known: dict[str, list[str]] = {}
+        totals: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
         for batch in batches:
-            totals: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 own: dict[str, int] = defaultdict(int)
-                tokens_of = tokens(held, text.as_py())
-                for token in tokens_of:
+                for token in tokens(held, text.as_py()):
                     found = known.get(token)
                     if found is None:
                         word = held.word(token)
-                        found = known[token] = features(word) if word else []
+                        found = known[token] = ["", *features(word)] if word else []
                     for f in found:
                         own[f] += 1
-                own[""] += sum(1 for token in tokens_of if known[token])
                 for f, n in own.items():
                     total = totals[f, toxic]
                     total[0] += n
                     total[1] += 1
-            if len(known) > 300_000:
-                known.clear()
-            keys = list(totals)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([f for f, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.int32()),
-                pa.array([totals[k][0] for k in keys], pa.int64()), pa.array([totals[k][1] for k in keys], pa.int64()),
-            ], names=["feature", "toxic", "n", "docs"])
+                if len(known) > 30_000:
+                    known.clear()
+                if len(totals) > 150_000:
+                    yield sums(totals)
+                    totals.clear()
+        yield sums(totals)
+        totals.clear()
+        known.clear()
+        release()
 
     return rows.select("text", "toxic").mapInArrow(count, "feature string, toxic int, n long, docs long")
 
@@ -365,7 +371,7 @@ class _Counter:
         own = tokens(self.channel, text)
         found = list(map(_KNOWN.get, own))
         if None in found:
-            self._forget(len(_KNOWN) > 500_000)
+            self._forget(len(_KNOWN) > 250_000)
             for i, f in enumerate(found):
                 if f is None:
                     token = own[i]
