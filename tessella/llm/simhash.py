@@ -42,6 +42,7 @@ SEED = 42
 _CHUNK = 1 << 14  # shingles whose bits are counted at once
 _LEAF = 64  # a node pair of at most so many element pairs is compared outright
 _PAIRS = 1 << 14  # node pairs expanded at once
+_WAITING = 1 << 22  # close pairs held before sets are merged
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -88,13 +89,32 @@ def _masks(parts: int, budget: int) -> list[int]:
 
 
 class _Sets:
-    """Connected sets of positions, merged by arrays of pairs; the pairs that merged two sets span them."""
+    """Connected sets of positions, merged by pairs; the pairs that merged two sets span them.
+
+    Pairs wait until ``settle``, so that which of them span a set depends on the
+    pairs and not on the order in which a traversal meets them.
+    """
 
     def __init__(self, n: int):
         self.label = np.arange(n)
         self.spanning: list[np.ndarray] = []
-
-    def merge(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        apart = self.label[a] != self.label[b]
+        if apart.any():
+            self.waiting.append((a[apart], b[apart]))
+            self.size += int(apart.sum())
+            if self.size > _WAITING:
+                self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
+            return
+        a, b = (np.concatenate(side) for side in zip(*self.waiting, strict=True))
+        self.waiting, self.size = [], 0
+        a, b = np.minimum(a, b), np.maximum(a, b)
         while True:
             x, y = self.label[a], self.label[b]
             apart = x != y
@@ -102,7 +122,7 @@ class _Sets:
                 return
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
             high, low = np.maximum(x, y), np.minimum(x, y)
-            order = np.lexsort((low, high))
+            order = np.lexsort((b, a, low, high))
             first = order[np.concatenate(([True], np.diff(high[order]) != 0))]
             self.label[high[first]] = low[first]
             self.spanning.append(np.stack([a[first], b[first]], axis=1))
@@ -148,6 +168,7 @@ def join_tries(fps: np.ndarray, trees: list[tuple[int, int, int, int]], budget:
         nodes, spent = np.concatenate(below), np.concatenate(costs)
         if len(nodes):
             stack.append((bit - 1, nodes, spent))
+    sets.settle()
 
 
 def _compare(fps: np.ndarray, nodes: np.ndarray, budget: int, sets: _Sets) -> None:
@@ -159,7 +180,7 @@ def _compare(fps: np.ndarray, nodes: np.ndarray, budget: int, sets: _Sets) -> No
         for lo, hi, lo2, hi2 in nodes[big].tolist():
             run = np.arange(lo, hi)
             other = np.arange(lo2, hi2)
-            sets.merge(np.concatenate([run[:-1], other[:-1], run[:1]]), np.concatenate([run[1:], other[1:], other[:1]]))
+            sets.add(np.concatenate([run[:-1], other[:-1], run[:1]]), np.concatenate([run[1:], other[1:], other[:1]]))
         nodes, width, height = nodes[~big], width[~big], height[~big]
     if not len(nodes):
         return
@@ -170,7 +191,7 @@ def _compare(fps: np.ndarray, nodes: np.ndarray, budget: int, sets: _Sets) -> No
     b = nodes[which, 2] + offset % height[which]
     near = (a != b) & (np.bitwise_count(fps[a] ^ fps[b]) <= budget)
     if near.any():
-        sets.merge(a[near], b[near])
+        sets.add(a[near], b[near])
 
 
 def _link_units(budgets: list[int], spanning: bool):
@@ -256,7 +277,7 @@ def links(prints: DataFrame, *, budget: int = 4, spanning: bool = False, tree_me
         units = rows.join(F.broadcast(hot), ["forest", "tree"], "left").withColumn("chunk", F.coalesce(chunk, F.lit(0))).withColumn("other", others)
         units = units.select("forest", "tree", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp", "node")
     unsigned = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
-    dealt = units.repartition("forest", "tree", "i", "j").sortWithinPartitions("forest", "tree", "i", "j", "chunk", unsigned)
+    dealt = units.repartition("forest", "tree", "i", "j").sortWithinPartitions("forest", "tree", "i", "j", "chunk", unsigned, "node")
     budgets = [b for b in (1, 3) if b < budget] + [budget] if spanning else [budget]
     return dealt.mapInArrow(_link_units(budgets, spanning), "a long, b long").distinct()
 
