@@ -51,6 +51,9 @@ _NOISE_NAME = frozenset("""ad ads advert adverts advertisement advertising banne
 _OWN_NAME = frozenset("article content entry main post story text".split())
 
 
+_PATH = 4000
+
+
 class Page:
     """A parsed page: elements with parent, path and whether they are noise, and blocks of text by element."""
 
@@ -86,7 +89,8 @@ class Page:
             or article and bool(tokens & {"comment", "comments", "reply", "teaser", "related", "ad", "promo"})
         )
         self.tags.append(tag)
-        self.paths.append((self.paths[parent] if parent >= 0 else "") + ">" + kind)
+        above = self.paths[parent] if parent >= 0 else ""
+        self.paths.append(above if len(above) > _PATH else f"{above}>{kind}")  # very deep elements share a path
         self.parents.append(parent)
         self.noise.append(noise)
         return len(self.tags) - 1

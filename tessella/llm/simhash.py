@@ -320,14 +320,20 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shin
     return prints.join(of_print, prints.fp == of_print.print).select(key, "fp", "component")
 
 
-def _word_print(text: str | None, seed: int) -> int:
-    """The fingerprint of a text's distinct words, which an edited word hardly moves."""
-    words = set(text.encode().lower().split()) if text else set()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+def _set_print(text: str | None, run: int, seed: int) -> int:
+    """The fingerprint of a text's distinct runs of so many words, which an edited word hardly moves."""
+    words = text.encode().lower().split() if text else []
+    grams = set(words) if run == 1 else {a + b" " + b for a, b in zip(words, words[1:], strict=False)} or set(words)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(g, seed) for g in grams), np.uint64, len(grams))
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _CHUNK):
         ones += np.unpackbits(hashes[i:i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0]) if words else 0
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0]) if grams else 0
+
+
+#: (words of a run, seed) of the fingerprints that propose near copies: words move least, pairs of words tell texts with few different words apart.
+PRINTS = ((1, 42), (1, 43), (2, 42))
 
 
 def _shingles(text: str | None, shingle: int) -> bytes:
@@ -360,25 +366,26 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return two.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 6, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 6) -> DataFrame:
     """(key, component) of the documents in a component of two or more, by exact copies and verified near copies.
 
-    Fingerprints of distinct words within ``budget`` bits, under any seed, are
-    candidates: an edit of a few words moves these far less than fingerprints of
-    shingles. The links that span each candidate set are verified by the Jaccard
+    Fingerprints of distinct words, or distinct pairs of words, within ``budget``
+    bits are candidates: an edit of a few words moves these far less than
+    fingerprints of shingles. The links that span each candidate set are verified by the Jaccard
     similarity of whole shingle sets. Keys must be long and unique; rows with a
     null key are left out.
     """
 
+    columns = [f"fp{k}" for k in range(len(PRINTS))]
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() for t in batch.column(1)]
             digests = [xxhash.xxh3_128_digest((t or "").encode()) for t in texts]
-            prints = [pa.array([_word_print(t, s) for t in texts], pa.int64()) for s in seeds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *prints], names=["key", "digest", *(f"fp{k}" for k in range(len(seeds)))])
+            prints = [pa.array([_set_print(t, run, seed) for t in texts], pa.int64()) for run, seed in PRINTS]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *prints], names=["key", "digest", *columns])
 
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    columns = [f"fp{k}" for k in range(len(seeds))]
     signed = written(own.mapInArrow(sign, "key long, digest binary, " + ", ".join(f"{c} long" for c in columns)), "simhash")
     classes = written(signed.groupBy("digest").agg(F.min("key").alias("node"), *(F.min(c).alias(c) for c in columns), F.count("*").alias("n")), "simhash")
     pairs = None

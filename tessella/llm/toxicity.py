@@ -53,7 +53,7 @@ LEET = {
 }
 _SEPARATORS = frozenset(" .-_*·•~'’`,:;/\\+=#^|")
 _EDGES = "".join(sorted(_SEPARATORS | set("!?\"()[]{}<>«»“”„&%$§@…¿¡")))
-_LEADING = frozenset("@$|(<€£¡+")  # letters in disguise if they stand right before a word
+_LEADING = frozenset("@$|€£¡")  # letters in disguise if they stand right before a word
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 _RUN = re.compile(r"(.)\1\1", re.S)
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*]{1,3}[^\W_]){3,}(?!\S)")
