@@ -202,4 +202,4 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def report(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     """What ``scan`` found, with the items as a digest: the ids sorted as strings and comma-joined, in SHA-256."""
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    return scanned.select(key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans")
+    return scanned.select(key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

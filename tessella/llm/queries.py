@@ -131,4 +131,20 @@ SQL: dict[str, str] = {
         FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
                      min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
               FROM pages)""",
+    "op9_decontaminate": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        i AS (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS pos FROM b WHERE len(w) > 0),
+        g AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, pos, pos + k - 1), ' ') AS gram FROM i),
+        p AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS pos FROM d, (SELECT DISTINCT k FROM g) WHERE len(w) >= k),
+        h AS (SELECT DISTINCT doc_id, pos, p.k, item_id FROM p JOIN g ON g.k = p.k AND g.gram = array_to_string(list_slice(w, pos, pos + p.k - 1), ' ')),
+        n AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS word FROM h) GROUP BY 1),
+        t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY 1)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    # The markup of the supplied pages only: an article element of headings and paragraphs.
+    "op10_maintext": r"""
+        WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<h1>|</h1>|<p>|</p>') AS parts FROM pages),
+        b AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(replace(regexp_replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?b>', '', 'g'), '&quot;', '"'), '&amp;?', chr(1), 'g'), chr(1), '&'), '[ \t\n\r\f\x0B]+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM a)
+        SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10))) AS n_chars FROM b""",
 }
