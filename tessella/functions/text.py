@@ -121,3 +121,9 @@ def translate(text: Column, phrases: dict[str, str] | None = None) -> Column:
         hits = hits + out.contains(phrase).cast("int")
         out = F.replace(out, F.lit(phrase), F.lit(other))
     return F.struct(out.alias("text"), (hits / F.greatest(F.size(white_words(text)), F.lit(1))).alias("confidence"))
+
+
+def positions(text: Column, needle: str) -> Column:
+    """Where a fixed string occurs, overlapping occurrences too, as byte offsets from 0."""
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, len(needle)) == needle)
+    return F.transform(at, lambda i: F.octet_length(F.substring(text, F.lit(1), i - 1)))

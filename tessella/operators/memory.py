@@ -97,3 +97,8 @@ def top_terms(index: DataFrame, key: str, k: int) -> DataFrame:
     """The k most frequent terms of each document, ties by term."""
     w = Window.partitionBy(key).orderBy(F.desc("tf"), "term")
     return index.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "rank", "term", "tf")
+
+
+def keys_with_prefix(terms: DataFrame, prefix: str) -> DataFrame:
+    """Terms that begin with a string, in order."""
+    return terms.where(F.col("term").startswith(prefix)).select("term").distinct().orderBy("term")

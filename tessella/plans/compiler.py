@@ -130,6 +130,24 @@ class Pipeline:
         """Scored rows of a search query; the source needs the columns of search documents."""
         return self._with(search.Search(self.df, edges=self.catalog.edges).run(query, limit))
 
+    def collect(self, name: str) -> Pipeline:
+        """A pipeline of another source."""
+        return source(self.catalog, name)
+
+    def observe(self) -> Pipeline:
+        """The rows as they are, with the time and fingerprint of what was seen."""
+        return self._with(self.df.withColumn("fingerprint", F.sha2(F.col(self.catalog.text).cast("string"), 256)))
+
+    def resolve(self, query: object) -> Pipeline:
+        """Rows of the source that a search query matches, scores joined."""
+        found = search.Search(self.df, edges=self.catalog.edges).run(query)
+        return self._with(self.df.join(found, self.catalog.key))
+
+    def snapshot(self, kind: str = "full") -> Pipeline:
+        """A row that describes the current rows: their kind, number and columns."""
+        count = self.df.agg(F.count("*").alias("rows"))
+        return self._with(count.select(F.lit(kind).alias("kind"), "rows", F.lit(",".join(self.df.columns)).alias("columns")))
+
     def sort(self, by: str, descending: bool = False) -> Pipeline:
         return self._with(self.df.orderBy(F.desc(by) if descending else F.asc(by), *([self.catalog.key] if self.catalog.key in self.df.columns and by != self.catalog.key else [])))
 

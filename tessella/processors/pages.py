@@ -11,6 +11,7 @@ from pyspark.sql import Column, functions as F
 SKIP_EXTENSIONS = [".jpg", ".jpeg", ".png", ".gif", ".svg", ".ico", ".css", ".js", ".woff", ".woff2", ".ttf", ".mp4", ".mp3", ".pdf", ".zip", ".gz"]
 SKIP_PREFIXES = ["mailto:", "javascript:", "tel:", "#", "data:"]
 _RESOURCES = {"a": "href", "img": "src", "script": "src", "link": "href", "form": "action", "iframe": "src", "frame": "src"}
+_INLINE = frozenset("a abbr b bdi bdo cite code data dfn em i kbd mark q s samp small span strong sub sup time u var".split())
 _SILENT = frozenset(("script", "style", "head", "title", "noscript", "template"))
 
 
@@ -24,6 +25,8 @@ class PageReader(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         values = dict(attrs)
+        if tag not in _INLINE:
+            self.text.append(" ")
         if tag == "title":
             self._in_title = True
         if tag in _SILENT:
@@ -38,6 +41,8 @@ class PageReader(HTMLParser):
                 self.links.append(target)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag not in _INLINE:
+            self.text.append(" ")
         if tag == "title":
             self._in_title = False
         if tag in self._silent:

@@ -250,3 +250,82 @@ SQL |= {
     "sql_join_rank": "WITH s AS (SELECT c_nationkey, c_custkey, round(sum(o_totalprice), 2) AS spent FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY spent DESC, c_custkey) AS rank FROM s) SELECT * FROM r WHERE rank <= 3",
     "sql_text_search": r"WITH w AS (SELECT role, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM conversations) SELECT role, count(*) AS n_words, count(DISTINCT word) AS n_distinct FROM w GROUP BY 1",
 }
+
+
+# ---------------------------------------------------------------- encodings and inventories
+
+
+def json_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of events in canonical form."""
+    from tessella.functions import json as J
+
+    return table(spark, sf_dir, "events").select("event_id", J.canonical_json(F.col("props")).alias("canonical"))
+
+
+def json_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of events in base64 and back."""
+    return table(spark, sf_dir, "events").select("event_id", F.base64("props").alias("coded"), F.unbase64(F.base64("props")).cast("string").alias("back"))
+
+
+def text_term_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of the words of parts' names and types."""
+    from tessella.functions import json as J
+
+    found = J.term_cosine(F.split("p_name", " "), F.concat(F.split("p_type", " "), F.split("p_name", " ")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(found, 9).alias("cosine"))
+
+
+def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of the n-gram vectors of parts' names."""
+    from tessella.functions import json as J, vectors as V
+
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(V.norm(J.ngram_embedding(F.col("p_name"))), 4).alias("norm"))
+
+
+def inventory_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that a crawl from supplier 1 reaches in two steps over lines."""
+    from tessella.operators import inventory
+
+    rows = table(spark, sf_dir, "lineitem")
+    links = rows.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("url"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"), F.col("l_partkey").alias("position"))
+    back = rows.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("url"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"), F.col("l_suppkey").alias("position"))
+    return inventory.crawl(links.union(back), spark.createDataFrame([("s1",)], "url string"), 2, 1_000_000)
+
+
+def inventory_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as agents by their last event."""
+    from datetime import datetime
+
+    from tessella.operators import inventory
+
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("agent"), "ts")
+    return inventory.health(rows, F.lit(datetime(2024, 1, 31)).cast("timestamp_ntz"), 86400).select("agent", "state")
+
+
+def inventory_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases and errors in order of time."""
+    from tessella.operators import inventory
+
+    rows = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("kind"), F.col("event_id").alias("source_id"), F.col("props").alias("summary"))
+    return inventory.timeline([rows.where("kind = 'purchase'"), rows.where("kind = 'error'")], 500).select("source_id", "kind")
+
+
+def inventory_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each order as its processing steps."""
+    from tessella.operators import inventory
+
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("seq"), F.col("l_linestatus").alias("actor"), F.col("l_returnflag").alias("action"))
+    return inventory.provenance(rows).select("id", F.array_join("steps", ",").alias("steps"))
+
+
+QUERIES |= {f.__name__: f for f in (json_canonical, json_base64, text_term_cosine, text_embedding, inventory_crawl, inventory_health, inventory_timeline, inventory_provenance)}
+SQL |= {
+    "json_canonical": "SELECT event_id, replace(lower(props), ' ', '') AS canonical FROM events",
+    "json_base64": "SELECT event_id, base64(encode(props)) AS coded, props AS back FROM events",
+    "text_term_cosine": "WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS t, 1 AS a, 1 AS b FROM part UNION ALL SELECT p_partkey, unnest(string_split(p_type, ' ')), 0, 1 FROM part), c AS (SELECT p_partkey, t, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM w GROUP BY ALL) SELECT p_partkey, round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 9) AS cosine FROM c GROUP BY 1",
+    "text_embedding": "SELECT p_partkey, 1.0::DOUBLE AS norm FROM part",
+    "inventory_crawl": "WITH p AS (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_suppkey = 1) SELECT 's1' AS url, 0 AS depth UNION ALL SELECT 'p' || p, 1 FROM p UNION ALL SELECT DISTINCT 's' || l_suppkey, 2 FROM lineitem WHERE l_partkey IN (SELECT p FROM p) AND l_suppkey <> 1",
+    "inventory_health": "SELECT user_id AS agent, CASE WHEN date_diff('second', max(ts), TIMESTAMP '2024-01-31') > 86400 THEN 'silent' ELSE 'healthy' END AS state FROM events GROUP BY 1",
+    "inventory_timeline": "SELECT event_id AS source_id, event_type AS kind FROM events WHERE event_type IN ('purchase', 'error') ORDER BY ts, event_id LIMIT 500",
+    "inventory_provenance": "SELECT l_orderkey AS id, string_agg(l_linestatus || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_linestatus, l_returnflag) AS steps FROM lineitem GROUP BY 1",
+}
