@@ -68,7 +68,7 @@ def evolution(members: DataFrame) -> DataFrame:
     times = rows.select("snapshot_ts").distinct()
     order = Window.orderBy("snapshot_ts")  # over the snapshots, not their members
     steps = times.withColumn("previous", F.lag("snapshot_ts").over(order)).withColumn("next", F.lead("snapshot_ts").over(order))
-    here = rows.join(F.broadcast(steps), "snapshot_ts")
+    here = rows.join(steps, "snapshot_ts")
     before = rows.withColumnsRenamed({"snapshot_ts": "at", "id": "same"}).withColumn("there", F.lit(True))
     added = here.join(before, (here.id == F.col("same")) & (here.previous == F.col("at")), "left").groupBy("snapshot_ts").agg(F.count("*").alias("size"), F.sum(F.when(F.col("there").isNull() & F.col("previous").isNotNull(), 1).otherwise(0)).alias("added"))
     gone = here.where("next is not null").join(before, (here.id == F.col("same")) & (here.next == F.col("at")), "left").groupBy(F.col("next").alias("snapshot_ts")).agg(F.sum(F.when(F.col("there").isNull(), 1).otherwise(0)).alias("removed"))

@@ -8,13 +8,16 @@ without one all processors try. What a processor raises becomes a
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessella.processors import code, files, formal, manifests, measures, pages
+from tessella.functions import json as canonical, text as T
+from tessella.processors import algorithms, code, files, formal, manifests, measures, pages
 
 Result = tuple[str, str, dict[str, str]]
 Processor = Callable[[bytes, dict[str, str]], Iterator[Result]]
@@ -158,6 +161,19 @@ def temporal(data: bytes, meta: dict[str, str]) -> Iterator[Result]:
         yield "temporal.transition_rate", f"{measures.measure(data)['transition_rate']:.4f}", {}
 
 
+def knowledge(data: bytes, meta: dict[str, str]) -> Iterator[Result]:
+    text = _text(data)
+    form = canonical.canonical(text)
+    yield "knowledge.fingerprint", hashlib.sha256(data).hexdigest(), {"canonical": "" if form is None else hashlib.sha256(form.encode()).hexdigest()}
+
+
+def entities(data: bytes, meta: dict[str, str]) -> Iterator[Result]:
+    text = _text(data)
+    for kind, pattern, confidence in T.ENTITIES:
+        for m in re.finditer(pattern, text):
+            yield "entity", m[0], {"kind": kind, "confidence": str(confidence), "start": str(len(text[:m.start()].encode()))}
+
+
 def _json(kind: str, function: Callable[[str], object]) -> Processor:
     def run(data: bytes, meta: dict[str, str]) -> Iterator[Result]:
         yield kind, json.dumps(function(_text(data)), sort_keys=True), {}
@@ -172,6 +188,7 @@ PROCESSORS: dict[str, tuple[tuple[str, ...], Processor]] = {
     "images": (("image/",), image), "video": (("video/",), video), "pdf": (("application/pdf",), pdf), "office": (("application/vnd.openxmlformats",), office), "containers": (("application/x-dockerfile", "text/x-dockerfile", "application/vnd.oci"), containers),
     "network": (("application/vnd.tcpdump.pcap",), network), "repositories": (("application/x-git",), git), "graph_theory": (("application/x-graph",), _json("graph.measures", formal.graph_measures)), "probability": (("application/x-probability",), probability),
     "information_theory": (("application/x-information",), information), "set_theory": (("application/x-set",), _json("set.measures", formal.set_measures)), "vector_spaces": (("application/x-vector",), vector), "temporal_algebra": (("application/x-temporal",), temporal),
+    "algorithm_engine": (("application/x-algorithm",), algorithms.process), "knowledge": (("application/x-knowledge",), knowledge), "ai_runtime": (("application/x-ai-text",), entities),
     "category_theory": (("application/x-category",), _json("category.structure", formal.category)), "optimization": (("application/x-optimization",), _json("optimization.problem", formal.optimisation)),
 }
 _SCHEMA = "id string, processor string, kind string, value string, metadata map<string,string>"

@@ -10,7 +10,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.processors import code, files, formal, manifests, measures, pages, registry
+from tessella.functions import ids
+from tessella.processors import algorithms, code, files, formal, manifests, measures, pages, registry
 
 
 def test_pages(spark):
@@ -131,3 +132,26 @@ def test_registry(spark):
     assert {(r.id, r.processor) for r in registry.routes(observations).collect()} == {(r.id, r.processor) for r in found}
     every = registry.process(spark.createDataFrame([("9", bytearray(b"plain"), None, None)], observations.schema)).collect()
     assert {r.processor for r in every} >= {"html", "binary", "pdf", "probability"}
+
+
+def test_algorithms():
+    def run(name, text, directed="false"):
+        return json.loads(next(algorithms.process(text.encode(), {"algorithm": name, "directed": directed}))[1])
+
+    simple, directed = "0 1 1\n0 2 4\n1 2 2\n1 3 5\n2 3 1", "0 1\n1 2\n2 0\n2 3\n3 4\n4 3"
+    assert run("bfs", simple)[0] == 0 and len(run("dfs", simple)) == 4
+    assert run("dijkstra", simple)["3"] == 4 and run("astar", simple) == {"goal": 3, "distance": 4.0, "path": [0, 1, 2, 3]} == run("shortest_path", simple)
+    assert run("tarjan", directed, "true") == [[0, 1, 2], [3, 4]] == run("kosaraju", directed, "true") and run("tarjan", simple) == [[0, 1, 2, 3]]
+    assert sum(run("pagerank", "0 1\n0 2\n1 2\n2 0", "true").values()) == pytest.approx(1)
+    assert run("jaccard", "a b\nb a") == 1 and run("jaccard", "") == 1 and run("cosine", "1 2 3\n2 4 6") == pytest.approx(1) and run("minhash", "a b\na b") == 1 and run("lsh", "a b\na b") is True
+    assert abs(run("hyperloglog", " ".join(f"t{i}" for i in range(500))) - 500) < 25 and len(run("merkle", "a\nb\nc")) == 64
+    assert run("inverted_index", "a b\nb")["b"] == [0, 1] and len(run("simhash", "the lazy dog")) == 16
+    assert algorithms.route(algorithms.read_graph(simple, False), 0, 5) is None
+    with pytest.raises(ValueError, match="named"):
+        run("nothing", "")
+
+
+def test_ids(spark):
+    row = spark.createDataFrame([(1469918176385, 12345)], "t long, n long").select(ids.ulid(F.col("t"), F.col("n")).alias("u"))
+    found = row.select("u", ids.ulid_millis(F.col("u")), ids.is_ulid(F.col("u")), ids.is_ulid(F.lit("x"))).first()
+    assert found[0].startswith("01ARYZ6S41") and tuple(found[1:]) == (1469918176385, True, False)

@@ -52,6 +52,8 @@ def test_leaves(find):
     assert find(S.Semantic((1.0, 0.0))) == [(1, 1.0), (2, 0.0)]
     assert ids(find(S.Neighbors(1, 2, "like"))) == [3, 4]
     assert ids(find(S.Dependency("transitive", "1", 2))) == [3, 4]
+    assert ids(find(S.Edge("like"))) == [1, 3, 4] and ids(find(S.Path(1, 5, 3))) == [1, 3, 4, 5] and find(S.Path(1, 5, 2)) == []
+    assert ids(find(S.Subgraph((1, 5), 1))) == [1, 3, 4, 5]
 
 
 def test_trees(find):
