@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
@@ -298,7 +298,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, *, key: str
         def close(shard: int) -> None:
             writer.close()
             out.close()
-            final = f"{root}/shard-{shard:06d}-{len(made):03d}.sst"
+            final = f"{root}/shard-{shard:06d}-{len(made):06d}.sst"
             commit(fs, temporary, final)
             made.append((shard, final, writer.entries, writer.ids, writer.at, writer.digest.hexdigest()))
 
@@ -325,14 +325,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, *, key: str
 def read(manifest: DataFrame, path: str, *, key: str = "doc_id") -> DataFrame:
     """(key, start, ids): every entry of the manifest's shards in key order; ``ids`` holds little-endian unsigned 32-bit ids, ``start`` counts the ids before them.
 
-    The manifest has a row a shard, and ranges are at most 20,000, so its offsets are summed on the driver.
+    Offsets of ranges, some 20,000 at most, are summed on the driver; those of
+    the shards of a range by a window over its manifest rows.
     """
     spark = manifest.sparkSession
-    rows = sorted(manifest.collect(), key=lambda r: r.path)
-    places, at = [], 0
-    for r in rows:
-        places.append((r.path, at, r.bytes))
-        at += r.ids
+    sums, offsets, at = sorted(manifest.groupBy("shard").agg(F.sum("ids"), F.count("*")).collect()), [], 0
+    for shard, ids, _ in sums:
+        offsets.append((shard, at))
+        at += ids
+    shards = sum(n for _, _, n in sums)
 
     def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pyarrow.fs.FileSystem.from_uri(path)
@@ -356,8 +357,10 @@ def read(manifest: DataFrame, path: str, *, key: str = "doc_id") -> DataFrame:
     def entries(keys: list, starts: list, values: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(values, pa.binary())], names=[key, "start", "ids"])
 
-    listed = spark.createDataFrame(places, "path string, start long, bytes long") if places else spark.range(0).selectExpr("'' path", "id start", "id bytes")
-    return listed.repartition(max(1, len(places))).mapInArrow(read_shards, f"`{key}` long, start long, ids binary")
+    before = F.coalesce(F.sum("ids").over(Window.partitionBy("shard").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = manifest.withColumn("before", before).join(F.broadcast(spark.createDataFrame(offsets, "shard int, offset long")), "shard")
+    listed = placed.select("path", (F.col("offset") + F.col("before")).alias("start"), "bytes")
+    return listed.repartitionByRange(max(1, shards), "path").mapInArrow(read_shards, f"`{key}` long, start long, ids binary")
 
 
 def lookup(manifest: DataFrame, path: str, keys: list[int]) -> dict[int, list[list[int]]]:

@@ -110,7 +110,7 @@ def write(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url"
 
         def close() -> None:
             out.close()
-            final = f"{root}/part-{shard:06d}-{len(made):03d}.warc.gz"
+            final = f"{root}/part-{shard:06d}-{len(made):06d}.warc.gz"
             commit(fs, temporary, final)
             made.append({"shard": shard, "path": final, "records": records, "bytes": size, "sha256": digest.hexdigest()})
 
