@@ -57,7 +57,9 @@ def levels(edges: DataFrame, start: list, depth: int | None = None, directed: bo
         frontier = cut(step.join(seen, "node", "left_anti").withColumn("level", F.lit(at)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # of checkpoints, so only their number grows
+        if not at % 16:
+            seen = cut(seen)
     return seen
 
 
@@ -77,10 +79,11 @@ def shortest(edges: DataFrame, start, directed: bool = False, rounds: int = 1000
     changed = best
     for _ in range(rounds):
         offers = own.join(changed, own.src == changed.node).select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.col("src").alias("previous"))
-        merged = best.unionByName(offers).groupBy("node").agg(F.min(F.struct("distance", F.col("previous").isNotNull().alias("found"), "previous")).alias("m"))
-        merged = cut(merged.select("node", F.col("m.distance").alias("distance"), F.col("m.previous").alias("previous")))
-        changed = cut(merged.join(best.select("node", F.col("distance").alias("was")), "node", "left").where("was is null or distance < was").drop("was"))
-        best = merged
+        rows = best.withColumn("was", F.col("distance")).unionByName(offers.withColumn("was", F.lit(None).cast("double")))
+        merged = rows.groupBy("node").agg(F.min(F.struct("distance", F.col("previous").isNotNull().alias("found"), "previous")).alias("m"), F.max("was").alias("was"))
+        merged = cut(merged.select("node", F.col("m.distance").alias("distance"), F.col("m.previous").alias("previous"), "was"))
+        changed = merged.where("was is null or distance < was").drop("was")
+        best = merged.drop("was")
         if changed.isEmpty():
             return best
     raise RuntimeError(f"distances still change after {rounds} rounds")
@@ -113,12 +116,11 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, sinks: b
     flows = cut(links.join(out, "src"))
     ranks = cut(own.withColumn("rank", F.lit(1.0 / n)))
     has_out = out.select(F.col("src").alias("node"), "out")
-    for i in range(rounds):
-        dangling = ranks.join(has_out, "node", "left_anti").agg(F.sum("rank")).first()[0] or 0.0
+    for _ in range(rounds):
+        loose = ranks.join(has_out, "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
         given = flows.join(ranks, flows.src == ranks.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("given"))
-        base = (1 - damping) / n + damping * dangling / n
-        ranks = own.join(given, "node", "left").select("node", (F.lit(base) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
-        ranks = cut(ranks)
+        rank = (1 - damping) / n + damping * F.col("loose") / n + damping * F.coalesce("given", F.lit(0.0))
+        ranks = cut(own.join(given, "node", "left").join(F.broadcast(loose)).select("node", rank.alias("rank")))  # loose is one row
     return ranks
 
 
@@ -150,10 +152,9 @@ def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         colours = remaining.withColumn("colour", F.col("node"))
         while True:
             offers = left.join(colours, left.src == colours.node).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
-            merged = cut(colours.join(offers, "node", "left").select("node", F.least("colour", "offer").alias("colour")))
-            changed = merged.join(colours.withColumnRenamed("colour", "was"), "node").where("colour <> was").isEmpty()
-            colours = merged
-            if changed:
+            merged = cut(colours.join(offers, "node", "left").select("node", F.least("colour", "offer").alias("colour"), F.col("colour").alias("was")))
+            colours = merged.drop("was")
+            if merged.where("colour <> was").isEmpty():
                 break
         # Backward from each colour's own node, within the colour.
         same = cut(left.join(colours.withColumnsRenamed({"node": "src", "colour": "c1"}), "src").join(colours.withColumnsRenamed({"node": "dst", "colour": "c2"}), "dst").where("c1 = c2").select("src", "dst"))
@@ -180,10 +181,10 @@ def topological(edges: DataFrame, tasks: DataFrame, rounds: int = 10_000) -> Dat
     count = layers.count()
     for i in range(min(rounds, count) + 1):
         raised = edges.join(layers, edges.src == layers.node).groupBy(F.col("dst").alias("node")).agg((F.max("layer") + 1).alias("least"))
-        merged = cut(layers.join(raised, "node", "left").select("node", F.greatest("layer", F.coalesce("least", F.lit(0))).alias("layer")))
-        if merged.join(layers.withColumnRenamed("layer", "was"), "node").where("layer <> was").isEmpty():
-            return merged
-        layers = merged
+        merged = cut(layers.join(raised, "node", "left").select("node", F.greatest("layer", F.coalesce("least", F.lit(0))).alias("layer"), F.col("layer").alias("was")))
+        layers = merged.drop("was")
+        if merged.where("layer <> was").isEmpty():
+            return layers
     raise ValueError("the tasks wait for each other in a cycle")
 
 
