@@ -205,6 +205,10 @@ SQL |= {
         SELECT doc_id, n AS n_bytes, u AS unique_bytes, mode_byte, spanning AS spanning_bytes, s1 AS first_half_sum, s2 AS second_half_sum, round(e, 6) AS entropy, round(1 - e / 8, 6) AS redundancy, round(mean, 6) AS mean,
                round(sqrt(greatest(squares / n - mean * mean, 0)), 6) AS std_dev, CASE WHEN n > 1 THEN round(changes / (n - 1)::DOUBLE, 6) ELSE 0 END AS transition_rate, round(1 - least(u, n) / least(256, n)::DOUBLE, 6) AS sparsity, round(pmi, 6) AS half_pmi FROM m""",
     "process_page_links": r"""WITH l AS (SELECT page_id, list_filter(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1), lambda x: x <> '' AND NOT starts_with(x, '#')) AS l FROM pages) SELECT page_id, len(l) AS n_links, array_to_string(l, ' ') AS links FROM l""",
+    "process_pages": r"""
+        WITH p AS (SELECT page_id::VARCHAR AS id, 'html.title' AS kind, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS v FROM pages
+                   UNION ALL SELECT page_id::VARCHAR, 'html.heading', trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '[ \t\n\r\f\x0B]+', ' ', 'g')) FROM pages)
+        SELECT id, kind, replace(regexp_replace(replace(v, '&quot;', '"'), '&amp;?', chr(1), 'g'), chr(1), '&') AS value FROM p WHERE kind = 'html.heading' OR v <> ''""",
     "process_routes": "SELECT p AS processor, count(*) AS n FROM (SELECT unnest(CASE doc_id % 5 WHEN 0 THEN ['html'] WHEN 1 THEN ['images'] WHEN 2 THEN ['pdf'] WHEN 3 THEN ['ast'] ELSE ['video'] END) AS p FROM documents) GROUP BY 1",
     "process_crawl": r"WITH h AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages) SELECT page_id, host, CASE WHEN page_id % 5 <= 1 THEN 'high' WHEN page_id % 5 = 2 THEN 'medium' WHEN page_id % 5 = 3 THEN 'low' ELSE 'background' END AS priority, (host = 'example.com' OR host = 'example.org' OR ends_with(host, '.example.com') OR ends_with(host, '.example.org')) AND NOT regexp_matches(url, '\.(jpg|jpeg|png|gif|svg|ico|css|js|woff|woff2|ttf|mp4|mp3|pdf|zip|gz)$') AS admitted FROM h",
 }

@@ -172,8 +172,17 @@ for _phrase, _other in T.PHRASES.items():
 QUERIES |= {f.__name__: f for f in (text_entity_counts, text_entities, text_classify, text_translate, text_summaries, text_sentences, text_bag_of_words, text_code_language)}
 SQL |= {
     "text_entity_counts": "SELECT doc_id, " + ", ".join("(" + " + ".join(f"len(regexp_extract_all(text, {_quoted(p)}))" for k, p, _ in T.ENTITIES if k == kind) + f") AS {kind.lower()}" for kind in ("EMAIL", "URL", "DATE", "MONEY", "PERCENT", "PERSON")) + " FROM documents",
-    "text_classify": "WITH x AS (SELECT doc_id, lower(text) AS t, greatest(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')), 1) AS n FROM documents), s AS (SELECT doc_id, " + ", ".join(f"{v} AS {n}" for n, v in _scores) + " FROM x), b AS (SELECT *, greatest(technical, business, science, security) AS best FROM s) SELECT doc_id, CASE WHEN best >= 0.001 THEN " + _case([(n, n) for n, _ in _scores], "best", "unknown") + " ELSE 'unknown' END AS label, CASE WHEN best >= 0.001 THEN round(best, 9) ELSE 0.0 END AS confidence FROM b",
-    "text_translate": f"SELECT conv_id, turn, sha256({_translated}) AS sha, round(({' + '.join(_hits)})::DOUBLE / greatest(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')), 1), 9) AS confidence FROM conversations",
+    "text_classify": "WITH x AS (SELECT doc_id, lower(text) AS t, greatest(len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')), 1) AS n FROM documents), s AS (SELECT doc_id, " + ", ".join(f"{v} AS {n}" for n, v in _scores) + " FROM x), b AS (SELECT *, greatest(technical, business, science, security) AS best FROM s) SELECT doc_id, CASE WHEN best >= 0.001 THEN " + _case([(n, n) for n, _ in _scores], "best", "unknown") + " ELSE 'unknown' END AS label, CASE WHEN best >= 0.001 THEN round(best, 9) ELSE 0.0 END AS confidence FROM b",
+    "text_summaries": r"""
+        WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+$'), lambda x: regexp_replace(x, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')), lambda x: strlen(x) > 1) AS l FROM documents),
+        e AS (SELECT doc_id, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS pos, len(l) AS n FROM s),
+        w AS (SELECT *, list_filter(list_transform(list_filter(regexp_extract_all(lower(sentence), '[^ \t\n\r\f\x0B]+'), lambda x: strlen(x) > 2), lambda x: regexp_replace(x, '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g')), lambda x: x <> '') AS words FROM e),
+        d AS (SELECT doc_id, pos, unnest(list_distinct(words)) AS word FROM w), f AS (SELECT doc_id, word, count(*) AS f FROM d GROUP BY ALL),
+        t AS (SELECT d.doc_id, pos, sum(f) AS total FROM d JOIN f ON f.doc_id = d.doc_id AND f.word = d.word GROUP BY ALL),
+        r AS (SELECT w.doc_id, w.pos, sentence, row_number() OVER (PARTITION BY w.doc_id ORDER BY CASE WHEN len(words) > 0 THEN coalesce(total, 0)::DOUBLE / len(words) ELSE 0 END * (1 + (1 - w.pos::DOUBLE / n) * 0.5::DOUBLE) DESC, w.pos) AS rank
+              FROM w LEFT JOIN t ON t.doc_id = w.doc_id AND t.pos = w.pos WHERE strlen(sentence) >= 20)
+        SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary, count(*)::INT AS n_sentences FROM r WHERE rank <= 5 GROUP BY doc_id""",
+    "text_translate": f"SELECT conv_id, turn, sha256({_translated}) AS sha, round(({' + '.join(_hits)})::DOUBLE / greatest(len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')), 1), 9) AS confidence FROM conversations",
     "text_sentences": r"WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+$'), lambda x: regexp_replace(x, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')), lambda x: strlen(x) > 1) AS l FROM documents) SELECT doc_id, len(l) AS n_sentences, coalesce(list_sum(list_transform(l, lambda x: strlen(x))), 0)::BIGINT AS n_bytes FROM s",
     "text_bag_of_words": r"WITH w AS (SELECT conv_id * 1000 + turn AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM conversations), c AS (SELECT id, term, count(*) AS n FROM w GROUP BY ALL) SELECT id, term, round(n / max(n) OVER (PARTITION BY id), 9) AS tf FROM c",
     "text_code_language": "WITH s AS (SELECT doc_id, " + ", ".join(f"{v} AS l_{n}" for n, v in _langs) + " FROM documents), b AS (SELECT *, greatest(" + ", ".join(f"l_{n}" for n, _ in _langs) + ") AS best FROM s) SELECT doc_id, CASE WHEN best = 0 THEN 'unknown' ELSE " + _case([(n, f"l_{n}") for n, _ in _langs], "best", "unknown") + " END AS language FROM b",
