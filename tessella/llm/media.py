@@ -21,7 +21,6 @@ Defined cases: a null or empty text is a payload of 64 zero bytes; texts of
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache

@@ -57,7 +57,7 @@ def remove(spark: SparkSession, path: str) -> None:
             raise
 
 
-def written(df: DataFrame, kind: str, partitions: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, kind: str) -> DataFrame:
     """Write a table to the shared folder and read it back, so that lost executors cost no recomputation of what lies above."""
     spark = df.sparkSession
     path = fresh_path(spark, kind)
