@@ -40,7 +40,7 @@ from tessella.llm.workers import release
 
 _WORDS, _DOCUMENTS = 0, 1
 _SHORT = (1 << 14) + (1 << 7)  # numbers that pack to one or two bytes, about
-_ROW_WORDS = 1 << 16  # words of the documents in one packed row, about
+_ROW_WORDS = 1 << 18  # words of the documents in one packed row, about
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -92,7 +92,7 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def _squeeze(raw: bytes) -> bytes:
-    return zstandard.compress(raw, 3)
+    return zstandard.compress(raw, 9)
 
 
 #: Packed rows. Words of a block (kind 0): part is their bucket, sizes their ascending numbers as differences, then their byte lengths.
