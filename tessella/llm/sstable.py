@@ -39,11 +39,11 @@ from itertools import chain, count, islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import regex
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
+from tessella.llm.pretokens import cutter
 from tessella.llm.store import commit, ranged, written
 
 MAGIC = b"TSSTABL1"
@@ -234,7 +234,7 @@ class Encoder:
         self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.widths[i] = len(token)  # a byte is one character here
-        self.find = regex.compile(pattern).findall
+        self.find = cutter(pattern)
         self._forget()
 
     def _forget(self) -> None:
