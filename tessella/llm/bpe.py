@@ -28,13 +28,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessella.llm.pretokens import cutter
 from tessella.llm.store import written
 from tessella.llm.workers import release
 
@@ -149,7 +149,7 @@ def _cut(docs: DataFrame, pattern: str, block_bytes: int, buckets: int) -> DataF
             first, part, size = i + 1, part + 1, 0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
+        find = cutter(pattern)
         task = TaskContext.get()
         block = (task.partitionId() if task else 0) << 24
         held: list[tuple] = []
