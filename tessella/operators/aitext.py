@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import string
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,12 +53,36 @@ def sentence_scores(rows: DataFrame, key: str, text: str, least_bytes: int = 20)
     return joined.select(key, "position", "sentence", (base * (1 + (1 - F.col("position") / F.col("n_sentences")) * 0.5)).alias("score"))
 
 
+_SENTENCE = re.compile(r"[^.!?]*[.!?]|[^.!?]+$")
+_WHITE = " \t\n\r\f\x0b"
+_WORD = re.compile(r"[^ \t\n\r\f\x0b]+")
+
+
+def best_sentences(text: str, most: int = 5, least_bytes: int = 20) -> list[str]:
+    """The best sentences of a text in their order, by the rule of ``sentence_scores``."""
+    found = [s for s in (x.strip(_WHITE) for x in _SENTENCE.findall(text)) if len(s.encode()) > 1]
+    words = [[w for w in (x.strip(string.punctuation) for x in _WORD.findall(s.lower()) if len(x.encode()) > 2) if w] for s in found]
+    frequency = Counter(w for own in words for w in set(own))
+    scored = []
+    for i, (sentence, own) in enumerate(zip(found, words, strict=True)):
+        if len(sentence.encode()) >= least_bytes:
+            base = sum(frequency[w] for w in set(own)) / len(own) if own else 0.0
+            scored.append((-(base * (1 + (1 - i / len(found)) * 0.5)), i))
+    return [found[i] for i in sorted(i for _, i in sorted(scored)[:most])]
+
+
 def summaries(rows: DataFrame, key: str, text: str, most: int = 5) -> DataFrame:
-    """(key, summary, n_sentences): the best sentences in their order, joined by spaces."""
-    w = Window.partitionBy(key).orderBy(F.desc("score"), "position")
-    best = sentence_scores(rows, key, text).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-    kept = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "sentence"))).alias("s"))  # at most ``most`` a key
-    return kept.select(key, F.array_join(F.transform("s", lambda s: s["sentence"]), " ").alias("summary"), F.size("s").alias("n_sentences"))
+    """(key, summary, n_sentences): the best sentences in their order, joined by spaces; texts without any are left out.
+
+    A summary depends on its text alone, so this is one pass without a shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, own) for k, t in zip(batch.column(0), batch.column(1), strict=True) if (own := best_sentences(t.as_py() or "", most))]
+            yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k, _ in found], batch.column(0).type), pa.array([" ".join(own) for _, own in found], pa.string()), pa.array([len(own) for _, own in found], pa.int32())], names=[key, "summary", "n_sentences"])
+
+    return rows.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, summary string, n_sentences int")
 
 
 def bag_of_words(rows: DataFrame, key: str, words: Column) -> DataFrame:

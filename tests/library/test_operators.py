@@ -167,6 +167,8 @@ def test_text(spark):
     text = "This is the first long sentence here. Short. Another sentence with the first words. " * 3
     summary = aitext.summaries(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text", 2).first()
     assert summary.n_sentences == 2 and summary.summary.startswith("This is the first")
+    scores = aitext.sentence_scores(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text").orderBy(F.desc("score"), "position").limit(3).collect()
+    assert [r.sentence for r in sorted(scores, key=lambda r: r.position)] == aitext.best_sentences(text, 3)
     one = spark.createDataFrame([("abcabcab", "café")], "a string, b string").select(T.overlapping(F.col("a"), "ab"), T.occurrences(F.col("a"), "abc"), T.positions(F.col("b"), "é"), T.byte_levenshtein(F.col("b"), F.lit("cafe"))).first()
     assert tuple(one) == (3, 2, [3], 2)
 
