@@ -333,7 +333,7 @@ def _set_print(text: str | None, run: int, seed: int) -> int:
 
 
 #: (words of a run, seed) of the fingerprints that propose near copies: words move least, pairs of words tell texts with few different words apart.
-PRINTS = ((1, 42), (1, 43), (2, 42))
+PRINTS = ((1, 42), (1, 43), (1, 44), (2, 42))
 
 
 def _shingles(text: str | None, shingle: int) -> bytes:
