@@ -13,7 +13,11 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's modules to the session's executors, once for each application, so that workers need no path to it."""
+    """Send the package's modules to the session's executors, once for each application, so that workers need no path to it.
+
+    The archive is made on the driver, which serves it to the executors; none of
+    them reads the driver's folder.
+    """
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
