@@ -43,6 +43,9 @@ _CHUNK = 1 << 14  # shingles whose bits are counted at once
 _LEAF = 64  # a node pair of at most so many element pairs is compared outright
 _PAIRS = 1 << 14  # node pairs expanded at once
 _WAITING = 1 << 22  # close pairs held before sets are merged
+_SAMPLE = 20_000  # documents, about, whose shingles tell which are common
+_COMMON = 500_000  # common shingles that the driver holds at most
+_CROSS = 1 << 20  # pairs of one list compared at once
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -336,12 +339,12 @@ def _set_print(text: str | None, run: int, seed: int) -> int:
 PRINTS = ((1, 42), (1, 43), (1, 44), (2, 42))
 
 
-def _shingles(text: str | None, shingle: int) -> bytes:
+def _shingles(text: str | None, shingle: int) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending."""
     words = text.encode().lower().split() if text else []
     n = min(shingle, len(words))
     grams = map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False)) if n else ()
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64)).tobytes()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -349,7 +352,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_shingles(t.as_py(), shingle) for t in batch.column(1)], pa.binary())], names=["node", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_shingles(t.as_py(), shingle).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "grams"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,14 +369,122 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return two.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _least_overlap(least: float, total: np.ndarray) -> np.ndarray:
+    """Fewest shingles that sets of ``total`` in sum share if they are similar."""
+    return np.ceil(least / (1 + least) * total - 1e-6).astype(np.int64)
+
+
+def _common(own: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that a sample of the texts repeats, ascending, and how often. They only order shingles, so that common ones are met last."""
+    count = own.count()
+    share = max(1, count // _SAMPLE)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingles(text.as_py(), shingle).view(np.int64))], names=["gram"])
+
+    sample = own.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).select("text").mapInArrow(cut, "gram long")
+    found = sample.groupBy("gram").agg(F.count("*").cast("int").alias("n")).where("n > 1").orderBy(F.desc("n"), "gram").limit(_COMMON).toArrow()
+    grams, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(grams)
+    return grams[order], n[order]
+
+
+def _prefix(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first of a set's shingles in an order that all sets share: two similar sets have one of these in common. An empty set has 0."""
+    if not len(grams):
+        return np.zeros(1, np.uint64)
+    rank = np.zeros(len(grams), np.int32)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], grams), len(common[0]) - 1)
+        rank = np.where(common[0][at] == grams, common[1][at], 0)
+    need = int(np.ceil(least * len(grams) - 1e-6))
+    return grams[np.lexsort((grams, rank))][:len(grams) - need + 1]
+
+
+def _cross(least: float):
+    """Rows (gram, label, size, place, node), sorted, to pairs (a, b) of one gram that differ in label and may be similar by their sizes and places."""
+
+    def flush(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        gram, label, size, place, node = columns
+        n = len(gram)
+        ends = np.concatenate((np.flatnonzero(np.diff(gram)) + 1, [n]))
+        label_ends = np.concatenate((np.flatnonzero((np.diff(gram) != 0) | (np.diff(label) != 0)) + 1, [n]))
+        end = ends[np.searchsorted(ends, np.arange(n), side="right")]
+        first = label_ends[np.searchsorted(label_ends, np.arange(n), side="right")]
+        many = end - first  # partners of a row: those of its gram behind its label
+        rows = np.flatnonzero(many)
+        reach = np.concatenate(([0], np.cumsum(many[rows])))
+        at = 0
+        while at < reach[-1]:
+            upto = min(at + _CROSS, int(reach[-1]))
+            which = np.arange(at, upto)
+            own = np.searchsorted(reach, which, side="right") - 1
+            a = rows[own]
+            b = first[a] + which - reach[own]
+            need = _least_overlap(least, size[a] + size[b])
+            left = np.minimum(size[a] - place[a], size[b] - place[b])
+            keep = (left >= need) & (np.minimum(size[a], size[b]) >= need)
+            a, b = node[a[keep]], node[b[keep]]
+            at = upto
+            if len(a):
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows += batch.num_rows
+            if rows < 1 << 18:
+                continue
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            if cut:
+                yield from flush([c[:cut] for c in columns])
+            held, rows = [[c[cut:] for c in columns]], len(columns[0]) - cut
+        if rows:
+            yield from flush([np.concatenate(c) for c in zip(*held, strict=True)])
+        held.clear()
+        release()
+
+    return cross
+
+
+def _unlinked(prefixes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: every pair of nodes of different labels that may have a similarity of ``least``. prefixes: rows (node, size, prefix); labels: (member, label)."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                node, size, prefix, label = batch.slice(i, 500).columns
+                grams = [np.frombuffer(v.as_py(), np.int64) for v in prefix]
+                n = np.array([len(g) for g in grams])
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                columns = [np.concatenate(grams), np.repeat(label.to_numpy(), n), np.repeat(size.to_numpy(), n), place.astype(np.int32), np.repeat(node.to_numpy(), n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "label", "size", "place", "node"])
+
+    known = prefixes.join(labels, prefixes.node == labels.member, "left").select("node", "size", "prefix", F.coalesce("label", "node").alias("label"))
+    rows = known.mapInArrow(spread, "gram long, label long, size int, place int, node long")
+    dealt = rows.repartition("gram").sortWithinPartitions("gram", "label")
+    return dealt.mapInArrow(_cross(least), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 6) -> DataFrame:
     """(key, component) of the documents in a component of two or more, by exact copies and verified near copies.
 
-    Fingerprints of distinct words, or distinct pairs of words, within ``budget``
-    bits are candidates: an edit of a few words moves these far less than
-    fingerprints of shingles. The links that span each candidate set are verified by the Jaccard
-    similarity of whole shingle sets. Keys must be long and unique; rows with a
-    null key are left out.
+    Components are those of all pairs of texts whose whole shingle sets have a
+    Jaccard similarity of ``similarity`` or more. Fingerprints of distinct words,
+    or distinct pairs of words, within ``budget`` bits propose first: an edit of a
+    few words moves these far less than fingerprints of shingles, and the links
+    that span each candidate set join most groups at little cost. Similar sets
+    share one of the first shingles in any common order, so every other pair that
+    may be similar and is not joined yet meets in such a shingle and is verified
+    too. Keys must be long and unique; rows with a null key are left out.
     """
 
     columns = [f"fp{k}" for k in range(len(PRINTS))]
@@ -383,20 +494,31 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             texts = [t.as_py() for t in batch.column(1)]
             digests = [xxhash.xxh3_128_digest((t or "").encode()) for t in texts]
             prints = [pa.array([_set_print(t, run, seed) for t in texts], pa.int64()) for run, seed in PRINTS]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *prints], names=["key", "digest", *columns])
+            grams = [_shingles(t, shingle) for t in texts]
+            sizes = pa.array([len(g) for g in grams], pa.int32())
+            prefixes = pa.array([_prefix(g, common.value, similarity).tobytes() for g in grams], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *prints, sizes, prefixes], names=["key", "digest", *columns, "size", "prefix"])
 
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    signed = written(own.mapInArrow(sign, "key long, digest binary, " + ", ".join(f"{c} long" for c in columns)), "simhash")
+    common = docs.sparkSession.sparkContext.broadcast(_common(own, shingle))
+    signed = written(own.mapInArrow(sign, "key long, digest binary, " + ", ".join(f"{c} long" for c in columns) + ", size int, prefix binary"), "simhash")
     classes = written(signed.groupBy("digest").agg(F.min("key").alias("node"), *(F.min(c).alias(c) for c in columns), F.count("*").alias("n")), "simhash")
     pairs = None
     for c in columns:
         found = links(classes.select("node", F.col(c).alias("fp")), budget=budget, spanning=True)
         pairs = found if pairs is None else pairs.union(found)
-    pairs = written(pairs.distinct(), "simhash")
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash")
-    texts = own.join(nodes, own.key == nodes.node, "left_semi").select(F.col("key").alias("node"), "text")
-    similar = written(_similar(pairs, texts, shingle, similarity), "simhash")
-    labels = written(connected(similar).withColumnRenamed("node", "member"), "simhash")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "simhash")
+        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash")
+        texts = own.join(nodes, own.key == nodes.node, "left_semi").select(F.col("key").alias("node"), "text")
+        return written(_similar(pairs, texts, shingle, similarity), "simhash")
+
+    similar = verified(pairs.distinct())
+    joined = written(connected(similar).withColumnRenamed("node", "member"), "simhash")
+    prefixes = signed.join(classes.select("node"), signed.key == classes.node, "left_semi").select(F.col("key").alias("node"), "size", "prefix")
+    rest = verified(_unlinked(prefixes, joined, similarity))
+    labels = written(connected(similar.union(rest)).withColumnRenamed("node", "member"), "simhash")
     grouped = written(classes.join(labels, classes.node == labels.member, "left").where("n > 1 or label is not null").select(F.col("digest").alias("of"), F.coalesce("label", "node").alias("component")), "simhash")
     return signed.join(grouped, signed.digest == grouped.of).select(F.col("key").alias(key), "component")
 

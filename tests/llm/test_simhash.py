@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -105,3 +107,25 @@ def test_representatives_keep_columns_and_rows_with_null_keys(make_docs, corpus)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert None in ids and 5 in ids and not {6, 7, 19} & set(ids)
+
+
+def _similar_components(texts):
+    grams = []
+    for t in texts:
+        words = t.encode().lower().split()
+        grams.append({tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))})
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
+    return near, plain_components(near, range(len(texts)))
+
+
+def test_near_copies_that_met_through_a_third_text_are_joined(make_docs):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12):  # all pairs of few words in many orders: all fingerprints are equal, and most neighbours in the chain are unlike
+        words = rng.choices("abcde", k=400)
+        texts += [" ".join(words), " ".join([*words[:200], *words[203:]])]
+    rng.shuffle(texts)
+    near, expected = _similar_components(texts)
+    found = {r.doc_id: r.component for r in simhash.near_duplicates(make_docs(texts)).collect()}
+    assert len(near) >= 12
+    assert {i: found.get(i, i) for i in range(len(texts))} == {i: expected[i] for i in range(len(texts))}
