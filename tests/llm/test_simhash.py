@@ -129,3 +129,25 @@ def test_near_copies_that_met_through_a_third_text_are_joined(make_docs):
     found = {r.doc_id: r.component for r in simhash.near_duplicates(make_docs(texts)).collect()}
     assert len(near) >= 12
     assert {i: found.get(i, i) for i in range(len(texts))} == {i: expected[i] for i in range(len(texts))}
+
+
+BLOCK_EDITS = {
+    "appended": lambda words, new: [*words, *new],
+    "removed in front": lambda words, new: words[len(new):],
+    "replaced": lambda words, new: [*words[:60], *new[:16], *words[76:]],
+    "short": lambda words, new: [*words[:30], *new[:6]],
+}
+
+
+@pytest.mark.parametrize("kind", BLOCK_EDITS)
+def test_block_edits_of_just_similar_texts_are_found(make_docs, kind):
+    rng = random.Random(5)
+    texts = []
+    for i in range(60):
+        words = [f"{rng.randrange(10**6)}w" for _ in range(30 if kind == "short" else 200)]
+        texts += [" ".join(words), " ".join(BLOCK_EDITS[kind](words, [f"n{i}x{k}" for k in range(38)]))]
+    near, expected = _similar_components(texts)
+    found = {r.doc_id: r.component for r in simhash.near_duplicates(make_docs(texts)).collect()}
+    assert len(near) == 60
+    assert sum(a in found and found[a] == found.get(b) for a, b in near) == 60
+    assert {i: found.get(i, i) for i in range(len(texts))} == {i: expected[i] for i in range(len(texts))}
