@@ -1,9 +1,10 @@
 """Toxicity of texts restored through a noisy-channel model.
 
-Restoring. A word that looks disguised, and a row of single letters, becomes a
-character lattice: each character may stand for itself, for the letters that it
-is used for in leetspeak, or, if it repeats its neighbour or only sets letters
-apart, for nothing, each at a cost. The path of least cost under a character
+Restoring. A word with a character that may stand for another or for nothing,
+and a row of single letters, becomes a character lattice: each character may
+stand for itself, for the letters that it is used for in leetspeak, or, if it
+repeats its neighbour, only sets letters apart or is a mark around the word, for
+nothing, each at a cost. Addresses and plain numbers stay as they are. The path of least cost under a character
 trigram model is the restored word. The model's counts come from all texts.
 
 Scoring. Words and word beginnings that labelled toxic texts use at a rate far
@@ -53,10 +54,14 @@ LEET = {
 }
 _SEPARATORS = frozenset(" .-_*·•~'’`,:;/\\+=#^|")
 _EDGES = "".join(sorted(_SEPARATORS | set("!?\"()[]{}<>«»“”„&%$§@…¿¡")))
-_LEADING = frozenset("@$|€£¡")  # letters in disguise if they stand right before a word
+_MARKS = frozenset(_EDGES) & frozenset(LEET)  # marks around a word that may be its letters
+_PLAIN = "".join(sorted(frozenset(_EDGES) - _MARKS))
+_USUAL = (frozenset("(<*|¡"), frozenset("!*|"))  # of these, those that prose sets before and after words
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
-_RUN = re.compile(r"(.)\1\1", re.S)
-_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*]{1,3}[^\W_]){3,}(?!\S)")
+_RUN = re.compile(r"(.)\1", re.S)
+_LATIN = re.compile("[a-z]")
+_ONE = r"(?:[^\W_]|[@$!|+(<€£¡])"
+_SPACED = re.compile(rf"(?<![^\s\"'(\[{{«“„]){_ONE}(?:[ .\-_*]{{1,3}}{_ONE}){{2,}}(?![^\s.,;:!?\"')\]}}»”…])")
 
 
 def classes(text: str) -> np.ndarray:
@@ -102,6 +107,8 @@ class Channel:
     drop_repeat: float = 1.0
     drop_second: float = 6.0
     drop_separator: float = 1.5
+    drop_edge: float = 1.5
+    drop_odd_edge: float = 6.0
     memo: dict[str, str] = field(default_factory=dict, repr=False)
 
     @staticmethod
@@ -116,9 +123,9 @@ class Channel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo": {}}
 
-    def restore(self, word: str) -> str:
-        """The likeliest reading of a disguised word in lower case."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(_BREAK, _BREAK): (0.0, "")}
+    def restore(self, word: str, before: int = 0, behind: int = 0) -> str:
+        """The likeliest reading of a disguised word in lower case, of which so many marks before and after may be no part."""
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(_BREAK, _BREAK): (0.0, None)}
         last = ""
         run = 0
         for i, c in enumerate(word):
@@ -130,8 +137,11 @@ class Channel:
                 options.append(("", self.drop_second if run == 2 and not (i + 1 < len(word) and word[i + 1] == c) else self.drop_repeat))
             if c in _SEPARATORS:
                 options.append(("", self.drop_separator))
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in states.items():
+            if i < before or i >= len(word) - behind:
+                usual = (i < before and c in _USUAL[0]) or (i >= len(word) - behind and c in _USUAL[1])
+                options.append(("", self.drop_edge if usual else self.drop_odd_edge))
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, path) in states.items():
                 for letter, price in options:
                     x, y, paid = a, b, cost + price
                     for k in _CLASS[list(letter.encode())].tolist():
@@ -139,38 +149,65 @@ class Channel:
                         x, y = y, k
                     known = after.get((x, y))
                     if known is None or paid < known[0]:
-                        after[x, y] = paid, text + letter
+                        after[x, y] = paid, (path, letter) if letter else path
             states = after if len(after) <= 64 else dict(sorted(after.items(), key=lambda s: s[1][0])[:64])
-        return min((cost + self.cost[(a * _CLASSES + b) * _CLASSES], text) for (a, b), (cost, text) in states.items())[1]
+        path = min(((cost + self.cost[(a * _CLASSES + b) * _CLASSES], path) for (a, b), (cost, path) in states.items()), key=lambda s: s[0])[1]
+        letters = []
+        while path:
+            path, letter = path
+            letters.append(letter)
+        return "".join(reversed(letters))
 
     def word(self, token: str) -> str:
         """The reading of a token between white space, without the marks around it."""
         core = token.strip(_EDGES)
-        if token[0] in _LEADING and core and token.lstrip(_EDGES) == token[1:]:
-            return self._known(token[0] + core)
-        if core.isalpha():
-            return self._known(core) if _RUN.search(core) else core
-        if not core:
+        form = core if core == token else _form(token, core)
+        if form.isalpha():
+            alike = not form.isascii() and (_LATIN.search(form) or all(c in LEET for c in form)) and any(c in LEET for c in form)
+            return self._known(form) if alike or _RUN.search(form) else form
+        if not form:
             return ""
-        # A word holds letters, besides what may stand for them; addresses, numbers and hashes stay as they are.
-        letters = sum(map(str.isalpha, core))
-        if not letters or len(core) > 40 or "://" in core or re.search(r"@\w+\.", core) or 2 * sum(map(str.isdigit, core)) > len(core):
+        # Addresses stay as they are, and numbers: nothing tells 455 from a disguise but a mark that no number has.
+        if "://" in core or re.search(r"@\w+\.", core):
             return core
-        return self._known(core)
+        if not any(map(str.isalpha, core)) and any(map(str.isdigit, core)) and not {"@", "$"} & set(form.lstrip("$")):
+            return core
+        return self._known(form) if _RUN.search(form) or any(c in LEET or c in _SEPARATORS for c in form) else core
 
-    def _known(self, core: str) -> str:
-        found = self.memo.get(core)
+    def _known(self, form: str) -> str:
+        found = self.memo.get(form)
         if found is None:
             if len(self.memo) > 50_000:
                 self.memo.clear()
-            found = self.memo[core] = self.restore(core)
+            before = len(form) - len(form.lstrip(_EDGES))
+            behind = len(form) - len(form.rstrip(_EDGES))
+            found = self.restore(form, before, behind)
+            if len(form) <= 100:
+                self.memo[form] = found
         return found
 
+    def spaced(self, row: str) -> str:
+        """The reading of single letters in a row; numbers and marks alone stay as they are."""
+        return self._known(row) if any(map(str.isalpha, row)) else row
+
     def restored(self, text: str | None) -> str:
         """A text in lower case with its disguised words restored, words apart by one space."""
         return " ".join(w for token in tokens(self, text) if (w := self.word(token)))
 
 
+def _form(token: str, core: str) -> str:
+    """A token without the marks around it, save those next to its core that may be letters."""
+    if not core:
+        return token.strip(_PLAIN)
+    at = token.index(core)
+    first, last = at, at + len(core)
+    while first and token[first - 1] in _MARKS:
+        first -= 1
+    while last < len(token) and token[last] in _MARKS:
+        last += 1
+    return token[first:last]
+
+
 def tokens(channel: Channel, text: str | None) -> list[str]:
     """A text's tokens in lower case; single letters in a row are joined to one."""
     if not text:
@@ -179,7 +216,7 @@ def tokens(channel: Channel, text: str | None) -> list[str]:
     if not low.isascii():
         low = _INVISIBLE.sub("", low)
     if _SPACED.search(low):
-        low = _SPACED.sub(lambda m: channel.restore(m[0]), low)
+        low = _SPACED.sub(lambda m: channel.spaced(m[0]), low)
     return low.split()
 
 

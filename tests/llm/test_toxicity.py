@@ -45,6 +45,15 @@ def test_disguised_words_are_restored(fitted):
     assert channel.restored("see https://a.b/1d1ot and 2024-01-02") .split()[1].startswith("https")
 
 
+def test_disguises_at_edges_by_digits_doubling_look_alikes_and_length_are_restored(fitted):
+    channel = fitted[2][0]
+    for disguised, word in {"1d10t": "idiot", "m0r0n": "moron", "w0r7hl355": "worthless", "w0rthle$$": "worthless", "w0rthle$$!!": "worthless", "(m0r0n)": "moron", "iiddiiott": "idiot", "idi\u043et": "idiot", "m\u043er\u043en": "moron", "!d1ot,": "idiot", "mo" + "r" * 60 + "on": "moron", "m.........o.........r.........o.........n": "moron"}.items():
+        assert " ".join(channel.word(t) for t in toxicity.tokens(channel, disguised)) == word
+    assert channel.restored("the m 0 r 0 n, walking") == "the moron walking"
+    assert channel.restored('a "! d ! o t" walking').split()[1] == "idiot"
+    assert channel.restored("455 and 2024 green water!") == "455 and 2024 green water"
+
+
 def test_lattice_paths_are_those_of_brute_force(fitted):
     channel = fitted[2][0]
 
