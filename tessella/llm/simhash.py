@@ -45,7 +45,9 @@ _PAIRS = 1 << 14  # node pairs expanded at once
 _WAITING = 1 << 22  # close pairs held before sets are merged
 _SAMPLE = 20_000  # documents, about, whose shingles tell which are common
 _COMMON = 500_000  # common shingles that the driver holds at most
-_CROSS = 1 << 20  # pairs of one list compared at once
+_CROSS = 1 << 18  # pairs of shingle lists compared at once
+_TEXTS = 500  # texts cut to shingles at once
+_VERIFY = 100  # pairs whose shingle sets are held at once
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -351,8 +353,9 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     """The pairs (a, b) whose texts' shingle sets have a Jaccard similarity of ``least`` or more. texts: rows (node, text) of all their nodes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, _TEXTS):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_shingles(t.as_py(), shingle).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "grams"])
+        release()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,6 +365,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(both >= least * (len(one) + len(two) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     grams = written(texts.select("node", "text").mapInArrow(cut, "node long, grams binary"), "simhash")
     one = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
@@ -369,6 +373,13 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return two.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows at most."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _least_overlap(least: float, total: np.ndarray) -> np.ndarray:
     """Fewest shingles that sets of ``total`` in sum share if they are similar."""
     return np.ceil(least / (1 + least) * total - 1e-6).astype(np.int64)
@@ -460,8 +471,8 @@ def _unlinked(prefixes: DataFrame, labels: DataFrame, least: float) -> DataFrame
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                node, size, prefix, label = batch.slice(i, 500).columns
+            for i in range(0, batch.num_rows, _TEXTS):
+                node, size, prefix, label = batch.slice(i, _TEXTS).columns
                 grams = [np.frombuffer(v.as_py(), np.int64) for v in prefix]
                 n = np.array([len(g) for g in grams])
                 place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -490,7 +501,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     columns = [f"fp{k}" for k in range(len(PRINTS))]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, _TEXTS):
             texts = [t.as_py() for t in batch.column(1)]
             digests = [xxhash.xxh3_128_digest((t or "").encode()) for t in texts]
             prints = [pa.array([_set_print(t, run, seed) for t in texts], pa.int64()) for run, seed in PRINTS]
@@ -498,6 +509,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             sizes = pa.array([len(g) for g in grams], pa.int32())
             prefixes = pa.array([_prefix(g, common.value, similarity).tobytes() for g in grams], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *prints, sizes, prefixes], names=["key", "digest", *columns, "size", "prefix"])
+        release()
 
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(_common(own, shingle))
@@ -512,7 +524,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         pairs = written(pairs, "simhash")
         nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash")
         texts = own.join(nodes, own.key == nodes.node, "left_semi").select(F.col("key").alias("node"), "text")
-        return written(_similar(pairs, texts, shingle, similarity), "simhash")
+        # Sets of long texts are large, so few pairs go to a worker at once.
+        conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(name)
+        conf.set(name, str(_VERIFY))
+        try:
+            return written(_similar(pairs, texts, shingle, similarity), "simhash")
+        finally:
+            conf.set(name, before)
 
     similar = verified(pairs.distinct())
     joined = written(connected(similar).withColumnRenamed("node", "member"), "simhash")
