@@ -5,7 +5,8 @@ and a row of single letters, becomes a character lattice: each character may
 stand for itself, for the letters that it is used for in leetspeak, or, if it
 repeats its neighbour, only sets letters apart or is a mark around the word, for
 nothing, each at a cost. Addresses and plain numbers stay as they are. The path of least cost under a character
-trigram model is the restored word. The model's counts come from all texts.
+trigram model is the restored word; no state of the search is dropped. The
+model's counts come from all texts.
 
 Scoring. Words and word beginnings that labelled toxic texts use at a rate far
 above other texts form a lexicon. A text with k lexicon words of n has the
@@ -18,7 +19,7 @@ hashes of their ids. All other statistics cover all rows.
 
 Defined cases: null and empty texts have no words and the score of an empty
 text; repeated rows score alike; several labels of one id count as their
-largest; null ids and null labels are not used for fitting; without both
+largest; labelled texts that are copies count once for each label; null ids and null labels are not used for fitting; without both
 classes among the labels every score is the share of toxic labels, or 0.
 """
 
@@ -57,6 +58,7 @@ _EDGES = "".join(sorted(_SEPARATORS | set("!?\"()[]{}<>«»“”„&%$§@…¿
 _MARKS = frozenset(_EDGES) & frozenset(LEET)  # marks around a word that may be its letters
 _PLAIN = "".join(sorted(frozenset(_EDGES) - _MARKS))
 _USUAL = (frozenset("(<*|¡"), frozenset("!*|"))  # of these, those that prose sets before and after words
+_FREE = frozenset(LEET) | _SEPARATORS
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 _RUN = re.compile(r"(.)\1", re.S)
 _LATIN = re.compile("[a-z]")
@@ -101,7 +103,7 @@ def trigram_counts(docs: DataFrame, *, text: str = "text") -> np.ndarray:
 class Channel:
     """The character model and the costs of the lattice, in nats."""
 
-    cost: np.ndarray  # by trigram of classes
+    cost: list[float]  # by trigram of classes
     substitute: float = 1.2
     keep_symbol: float = 6.0
     drop_repeat: float = 1.0
@@ -109,7 +111,7 @@ class Channel:
     drop_separator: float = 1.5
     drop_edge: float = 1.5
     drop_odd_edge: float = 6.0
-    memo: dict[str, str] = field(default_factory=dict, repr=False)
+    memo: dict[tuple, str] = field(default_factory=dict, repr=False)
 
     @staticmethod
     def of(counts: np.ndarray) -> Channel:
@@ -118,40 +120,73 @@ class Channel:
         single = (pairs.sum(axis=0) + 1) / (pairs.sum() + _CLASSES)
         back = (pairs + 20 * single) / (pairs.sum(axis=1, keepdims=True) + 20)
         smooth = (cube + 20 * back[None]) / (cube.sum(axis=2, keepdims=True) + 20)
-        return Channel(-np.log(smooth).reshape(-1))
+        return Channel((-np.log(smooth)).reshape(-1).tolist())
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo": {}}
 
     def restore(self, word: str, before: int = 0, behind: int = 0) -> str:
-        """The likeliest reading of a disguised word in lower case, of which so many marks before and after may be no part."""
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(_BREAK, _BREAK): (0.0, None)}
-        last = ""
-        run = 0
-        for i, c in enumerate(word):
+        """The likeliest reading of a disguised word in lower case, of which so many marks before and after may be no part.
+
+        Two characters with one reading fix the state of the trigram model, so the
+        stretches of characters between such pairs are decoded one by one, and what
+        was decoded is remembered by its neighbours: the whole has the least cost.
+        """
+        out, end, n = [], 0, len(word)
+        for start, stop in _stretches(word, before, behind):
+            left = word[max(start - 2, 0):start]
+            right = word[stop:stop + 2]
+            key = (left, word[start:stop], right, min(max(before - start, 0), stop - start), min(max(stop - (n - behind), 0), stop - start))
+            found = self.memo.get(key)
+            if found is None:
+                found = self._decode(*key)
+                if stop - start <= 100:
+                    if len(self.memo) > 200_000:
+                        self.memo.clear()
+                    self.memo[key] = found
+            out.append(word[end:start])
+            out.append(found)
+            end = stop
+        out.append(word[end:])
+        return "".join(out)
+
+    def _decode(self, left: str, free: str, right: str, before: int, behind: int) -> str:
+        """The reading of least cost of a stretch between the two characters on either side, or the word's ends."""
+        x, y = [_BREAK, _BREAK, *_CLASS[list(left.encode())].tolist()][-2:]
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(x, y): (0.0, None)}
+        last, run = left[-1:], 1 if left else 0
+        for i, c in enumerate(free):
             run = run + 1 if c == last else 1
             last = c
             options = [(c, 0.0 if c.isalpha() else self.keep_symbol)]
             options += [(letter, self.substitute) for letter in LEET.get(c, "")]
             if run > 1:
-                options.append(("", self.drop_second if run == 2 and not (i + 1 < len(word) and word[i + 1] == c) else self.drop_repeat))
+                options.append(("", self.drop_second if run == 2 and free[i + 1:i + 2] != c else self.drop_repeat))
             if c in _SEPARATORS:
                 options.append(("", self.drop_separator))
-            if i < before or i >= len(word) - behind:
-                usual = (i < before and c in _USUAL[0]) or (i >= len(word) - behind and c in _USUAL[1])
+            if i < before or i >= len(free) - behind:
+                usual = (i < before and c in _USUAL[0]) or (i >= len(free) - behind and c in _USUAL[1])
                 options.append(("", self.drop_edge if usual else self.drop_odd_edge))
+            coded = [(letter, price, _CLASS[list(letter.encode())].tolist()) for letter, price in options]
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, path) in states.items():
-                for letter, price in options:
+                for letter, price, codes in coded:
                     x, y, paid = a, b, cost + price
-                    for k in _CLASS[list(letter.encode())].tolist():
+                    for k in codes:
                         paid += self.cost[(x * _CLASSES + y) * _CLASSES + k]
                         x, y = y, k
                     known = after.get((x, y))
                     if known is None or paid < known[0]:
                         after[x, y] = paid, (path, letter) if letter else path
-            states = after if len(after) <= 64 else dict(sorted(after.items(), key=lambda s: s[1][0])[:64])
-        path = min(((cost + self.cost[(a * _CLASSES + b) * _CLASSES], path) for (a, b), (cost, path) in states.items()), key=lambda s: s[0])[1]
+            states = after
+        tail = [*_CLASS[list(right.encode())].tolist(), _BREAK][:2]
+        best, path = None, None
+        for (a, b), (cost, read) in states.items():
+            for k in tail:
+                cost += self.cost[(a * _CLASSES + b) * _CLASSES + k]
+                a, b = b, k
+            if best is None or cost < best:
+                best, path = cost, read
         letters = []
         while path:
             path, letter = path
@@ -175,16 +210,7 @@ class Channel:
         return self._known(form) if _RUN.search(form) or any(c in LEET or c in _SEPARATORS for c in form) else core
 
     def _known(self, form: str) -> str:
-        found = self.memo.get(form)
-        if found is None:
-            if len(self.memo) > 50_000:
-                self.memo.clear()
-            before = len(form) - len(form.lstrip(_EDGES))
-            behind = len(form) - len(form.rstrip(_EDGES))
-            found = self.restore(form, before, behind)
-            if len(form) <= 100:
-                self.memo[form] = found
-        return found
+        return self.restore(form, len(form) - len(form.lstrip(_EDGES)), len(form) - len(form.rstrip(_EDGES)))
 
     def spaced(self, row: str) -> str:
         """The reading of single letters in a row; numbers and marks alone stay as they are."""
@@ -195,6 +221,20 @@ class Channel:
         return " ".join(w for token in tokens(self, text) if (w := self.word(token)))
 
 
+def _stretches(word: str, before: int, behind: int) -> list[tuple[int, int]]:
+    """Where a word's characters have several readings; stretches with fewer than two other characters between them are one."""
+    out: list[list[int]] = []
+    last, inside = "", len(word) - behind
+    for i, c in enumerate(word):
+        if c == last or c in _FREE or i < before or i >= inside:
+            if out and i - out[-1][1] < 2:
+                out[-1][1] = i + 1
+            else:
+                out.append([i, i + 1])
+        last = c
+    return out
+
+
 def _form(token: str, core: str) -> str:
     """A token without the marks around it, save those next to its core that may be letters."""
     if not core:
@@ -290,8 +330,8 @@ class Model:
         return f"{word}$" in self.lexicon or any(word[:n] in self.lexicon for n in _PREFIXES)
 
 
-def lexicon(counts: DataFrame, *, least_ratio: float = 12.0, least_docs: int = 5, least_g: float = 30.0, most: int = 5000) -> frozenset[str]:
-    """Features whose rate in toxic texts is far above that in others and whose texts are, by a G test; the ``most`` strongest at most."""
+def lexicon(counts: DataFrame, *, least_ratio: float = 12.0, least_docs: int = 5, least_g: float = 30.0) -> frozenset[str]:
+    """Features whose rate in toxic texts is far above that in others and whose texts are, by a G test. The counts are those of the texts used for fitting, so their number is bounded by these."""
     total = counts.groupBy("feature").agg(*(F.sum(F.when(F.col("toxic") == t, F.col(c)).otherwise(0)).alias(f"{c}{t}") for t in (0, 1) for c in ("n", "docs"))).cache()
     whole = total.where("feature = ''").first()
     if whole is None or not whole.docs1 or not whole.docs0 or not whole.n1 or not whole.n0:
@@ -307,7 +347,7 @@ def lexicon(counts: DataFrame, *, least_ratio: float = 12.0, least_docs: int = 5
     ratio = (F.col("n1") / whole.n1) / ((F.col("n0") + 0.5) / whole.n0)
     g = 2 * (term(F.col("docs1"), whole.docs1) + term(F.col("docs0"), whole.docs0))
     strong = total.where("feature <> ''").where((F.col("docs1") >= least_docs) & (ratio >= least_ratio)).withColumn("g", g).where(F.col("g") >= least_g)
-    found = {r.feature: (r.n1, r.n0) for r in strong.orderBy(F.desc("g"), "feature").limit(most).collect()}
+    found = {r.feature: (r.n1, r.n0) for r in strong.collect()}
     total.unpersist()
     return _needed(found, lambda n1, n0: n1 > 0 and (n1 / whole.n1) / ((max(n0, 0) + 0.5) / whole.n0) >= least_ratio)
 
@@ -332,22 +372,23 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _signature(text: str | None) -> int:
-    """The smallest hash of a text's runs of five words, which near copies mostly share."""
+def _signature(text: str | None) -> bytes:
+    """The smallest hashes of a text's runs of five words under three seeds; near copies mostly share all three, texts with a passage in common do not."""
     words = (text or "").lower().encode().split()
-    runs = zip(*(words[i:] for i in range(5)), strict=False) if len(words) >= 5 else [words]
-    return min(crc32(b" ".join(run)) for run in runs)
+    runs = list(zip(*(words[i:] for i in range(5)), strict=False)) if len(words) >= 5 else [words]
+    hashes = np.fromiter((crc32(b" ".join(run)) for run in runs), np.uint64, len(runs))
+    return b"".join(int((hashes * np.uint64(odd) & np.uint64(0xFFFFFFFF)).min()).to_bytes(4, "big") for odd in (1, 0x9E3779B1, 0x85EBCA77))
 
 
 def _apart(rows: DataFrame) -> DataFrame:
-    """One of the labelled texts that share a signature: copies are no further evidence."""
+    """One of the labelled texts that share label and signature: copies are no further evidence, but copies with both labels are evidence of both."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("signature", pa.array([_signature(t.as_py()) for t in batch.column(1)], pa.int64()))
+            yield batch.append_column("signature", pa.array([_signature(t.as_py()) for t in batch.column(1)], pa.binary()))
 
-    signed = rows.mapInArrow(sign, "toxic int, text string, signature long")
-    return signed.groupBy("signature").agg(F.min(F.struct("toxic", "text")).alias("row")).select("row.toxic", "row.text")
+    signed = rows.mapInArrow(sign, "toxic int, text string, signature binary")
+    return signed.groupBy("toxic", "signature").agg(F.min("text").alias("text")).select("toxic", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = 20_000) -> tuple[Channel, Model]:
