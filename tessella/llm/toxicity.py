@@ -26,7 +26,7 @@ classes among the labels every score is the share of toxic labels, or 0.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log
@@ -284,13 +284,13 @@ def _feature_counts(rows: DataFrame, channel) -> DataFrame:
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 own: dict[str, int] = defaultdict(int)
-                for token in tokens(held, text.as_py()):
+                for token, n in Counter(tokens(held, text.as_py())).items():
                     found = known.get(token)
                     if found is None:
                         word = held.word(token)
                         found = known[token] = ["", *features(word)] if word else []
                     for f in found:
-                        own[f] += 1
+                        own[f] += n
                 for f, n in own.items():
                     total = totals[f, toxic]
                     total[0] += n
