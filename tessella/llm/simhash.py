@@ -45,6 +45,7 @@ _PAIRS = 1 << 14  # node pairs expanded at once
 _WAITING = 1 << 22  # close pairs held before sets are merged
 _SAMPLE = 20_000  # documents, about, whose shingles tell which are common
 _COMMON = 500_000  # common shingles that the driver holds at most
+_FEW = 8  # pairs of a gram for each of its rows that are compared at once
 _CROSS = 1 << 18  # pairs of shingle lists compared at once
 _TEXTS = 500  # texts cut to shingles at once
 _VERIFY = 100  # pairs whose shingle sets are held at once
@@ -414,34 +415,72 @@ def _prefix(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: flo
     return grams[np.lexsort((grams, rank))][:len(grams) - need + 1]
 
 
-def _cross(least: float):
-    """Rows (gram, label, size, place, node), sorted, to pairs (a, b) of one gram that differ in label and may be similar by their sizes and places."""
+def _cross(least: float, whole: bool):
+    """Rows (gram, label, size, place, node), sorted, to pairs (a, b) of one gram that differ in label and may be similar by their sizes and places.
 
-    def flush(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        gram, label, size, place, node = columns
+    Unless ``whole``, a gram with many more such pairs than rows gives only a
+    few pairs for each row, and its rows again as (gram, size, place, node):
+    once the similar ones of these pairs have joined, few or no others are left.
+    """
+
+    def may(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        _, label, size, place, _ = rows
+        need = _least_overlap(least, size[a] + size[b])
+        left = np.minimum(size[a] - place[a], size[b] - place[b])
+        return (label[a] != label[b]) & (left >= need) & (np.minimum(size[a], size[b]) >= need)
+
+    def out(a: np.ndarray, b: np.ndarray | None = None, gram=None, size=None, place=None) -> pa.RecordBatch:
+        n = len(a)
+        columns = [pa.array(a), pa.nulls(n, pa.int64()) if b is None else pa.array(b)]
+        columns += [pa.nulls(n, k) if c is None else pa.array(c) for c, k in ((gram, pa.int64()), (size, pa.int32()), (place, pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "gram", "size", "place"])
+
+    def distinct(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1), axis=0)
+        return out(pairs[:, 0], pairs[:, 1])
+
+    def few(rows: list[np.ndarray], lo: int, hi: int) -> pa.RecordBatch:
+        """Pairs of rows next to each other by size, and of each row with three of the label that has most."""
+        gram, label, size, _, node = rows
+        at = lo + np.lexsort((node[lo:hi], size[lo:hi]))
+        names, counts = np.unique(label[lo:hi], return_counts=True)
+        hub = at[label[at] == names[np.argmax(counts)]]
+        where = np.searchsorted(size[hub], size[at])
+        picked = (node[at] ^ gram[at]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+        ends = [(at[:-1], at[1:]), (at[:-2], at[2:])]
+        ends += [(at, hub[np.clip(k, 0, len(hub) - 1)]) for k in (where - 1, where, (picked % np.uint64(len(hub))).astype(np.int64))]
+        a, b = (np.concatenate(side) for side in zip(*ends, strict=True))
+        keep = may(rows, a, b)
+        return distinct(node, a[keep], b[keep])
+
+    def flush(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        gram, label, size, place, node = rows
         n = len(gram)
         ends = np.concatenate((np.flatnonzero(np.diff(gram)) + 1, [n]))
         label_ends = np.concatenate((np.flatnonzero((np.diff(gram) != 0) | (np.diff(label) != 0)) + 1, [n]))
-        end = ends[np.searchsorted(ends, np.arange(n), side="right")]
+        group = np.searchsorted(ends, np.arange(n), side="right")
         first = label_ends[np.searchsorted(label_ends, np.arange(n), side="right")]
-        many = end - first  # partners of a row: those of its gram behind its label
-        rows = np.flatnonzero(many)
-        reach = np.concatenate(([0], np.cumsum(many[rows])))
+        many = ends[group] - first  # partners of a row: those of its gram behind its label
+        if not whole:
+            starts = np.concatenate(([0], ends[:-1]))
+            large = np.bincount(group, many, len(ends)) > _FEW * (ends - starts + _FEW)
+            for lo, hi in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
+                yield few(rows, lo, hi)
+                yield out(node[lo:hi], None, gram[lo:hi], size[lo:hi], place[lo:hi])
+            many = np.where(large[group], 0, many)
+        own = np.flatnonzero(many)
+        reach = np.concatenate(([0], np.cumsum(many[own])))
         at = 0
         while at < reach[-1]:
             upto = min(at + _CROSS, int(reach[-1]))
             which = np.arange(at, upto)
-            own = np.searchsorted(reach, which, side="right") - 1
-            a = rows[own]
-            b = first[a] + which - reach[own]
-            need = _least_overlap(least, size[a] + size[b])
-            left = np.minimum(size[a] - place[a], size[b] - place[b])
-            keep = (left >= need) & (np.minimum(size[a], size[b]) >= need)
-            a, b = node[a[keep]], node[b[keep]]
+            row = np.searchsorted(reach, which, side="right") - 1
+            a = own[row]
+            b = first[a] + which - reach[row]
+            keep = may(rows, a, b)
             at = upto
-            if len(a):
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            if keep.any():
+                yield distinct(node, a[keep], b[keep])
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -466,23 +505,27 @@ def _cross(least: float):
     return cross
 
 
-def _unlinked(prefixes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: every pair of nodes of different labels that may have a similarity of ``least``. prefixes: rows (node, size, prefix); labels: (member, label)."""
+def _spread(prefixes: DataFrame) -> DataFrame:
+    """Rows (node, size, prefix) to rows (gram, size, place, node), one for each shingle of a prefix."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, _TEXTS):
-                node, size, prefix, label = batch.slice(i, _TEXTS).columns
-                grams = [np.frombuffer(v.as_py(), np.int64) for v in prefix]
-                n = np.array([len(g) for g in grams])
-                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                columns = [np.concatenate(grams), np.repeat(label.to_numpy(), n), np.repeat(size.to_numpy(), n), place.astype(np.int32), np.repeat(node.to_numpy(), n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "label", "size", "place", "node"])
+        for batch in _slices(batches, _TEXTS):
+            node, size, prefix = batch.columns
+            grams = [np.frombuffer(v.as_py(), np.int64) for v in prefix]
+            n = np.array([len(g) for g in grams])
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            columns = [np.concatenate(grams), np.repeat(size.to_numpy(), n), place.astype(np.int32), np.repeat(node.to_numpy(), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "size", "place", "node"])
 
-    known = prefixes.join(labels, prefixes.node == labels.member, "left").select("node", "size", "prefix", F.coalesce("label", "node").alias("label"))
-    rows = known.mapInArrow(spread, "gram long, label long, size int, place int, node long")
-    dealt = rows.repartition("gram").sortWithinPartitions("gram", "label")
-    return dealt.mapInArrow(_cross(least), "a long, b long").distinct()
+    return prefixes.select("node", "size", "prefix").mapInArrow(spread, "gram long, size int, place int, node long")
+
+
+def _unlinked(rows: DataFrame, labels: DataFrame, least: float, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), a < b, of nodes of different labels that may have a similarity of ``least``, and the rows of grams that have more such pairs. rows: (gram, size, place, node); labels: (member, label)."""
+    known = rows.join(labels, rows.node == labels.member, "left").select("gram", F.coalesce("label", "node").alias("label"), "size", "place", "node")
+    dealt = known.repartition("gram").sortWithinPartitions("gram", "label")
+    found = written(dealt.mapInArrow(_cross(least, whole), "a long, b long, gram long, size int, place int"), "simhash")
+    return found.where("b is not null").select("a", "b").distinct(), found.where("b is null").select("gram", "size", "place", F.col("a").alias("node"))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 6) -> DataFrame:
@@ -495,7 +538,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     that span each candidate set join most groups at little cost. Similar sets
     share one of the first shingles in any common order, so every other pair that
     may be similar and is not joined yet meets in such a shingle and is verified
-    too. Keys must be long and unique; rows with a null key are left out.
+    too. A shingle where very many meet first proposes a few pairs for each text,
+    as long as these join any, and then all that are left. Keys must be long and unique; rows with a null key are left out.
     """
 
     columns = [f"fp{k}" for k in range(len(PRINTS))]
@@ -536,8 +580,21 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     similar = verified(pairs.distinct())
     joined = written(connected(similar).withColumnRenamed("node", "member"), "simhash")
     prefixes = signed.join(classes.select("node"), signed.key == classes.node, "left_semi").select(F.col("key").alias("node"), "size", "prefix")
-    rest = verified(_unlinked(prefixes, joined, similarity))
-    labels = written(connected(similar.union(rest)).withColumnRenamed("node", "member"), "simhash")
+    labels, rows, tried, last = joined, _spread(prefixes), None, False
+    while True:
+        pairs, rows = _unlinked(rows, labels, similarity, last)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "simhash")
+        tried = pairs if tried is None else written(tried.union(pairs), "simhash")
+        more = verified(pairs)
+        joins = not more.isEmpty()
+        if joins:
+            similar = similar.union(more)
+            labels = written(connected(similar).withColumnRenamed("node", "member"), "simhash")
+        if last or rows.isEmpty():
+            break
+        last = not joins
     grouped = written(classes.join(labels, classes.node == labels.member, "left").where("n > 1 or label is not null").select(F.col("digest").alias("of"), F.coalesce("label", "node").alias("component")), "simhash")
     return signed.join(grouped, signed.digest == grouped.of).select(F.col("key").alias(key), "component")
 
