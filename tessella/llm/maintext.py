@@ -12,6 +12,10 @@ comments, as told by tag, role, class and id. Character references are decoded,
 white space within a block becomes one space, and blocks are joined by newlines
 in page order.
 
+Pages are read in one pass without backtracking, whatever their markup, and
+paths are digests of one size, so neither unclosed tags nor deep nesting or long
+classes cost more than their length.
+
 Defined cases: a null or empty page and a page without text give an empty
 string; a url without host belongs to the host ``""``; equal rows are extracted
 row by row; ties between paths go to the one that sorts first; extra columns are
@@ -21,15 +25,19 @@ ignored.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.llm.store import written
 
-_MARKUP = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/>"']+)""")
 _NUMBERS = re.compile(r"\d+")
 _TOKEN = re.compile(r"[a-z]+")
@@ -51,17 +59,77 @@ _NOISE_NAME = frozenset("""ad ads advert adverts advertisement advertising banne
 _OWN_NAME = frozenset("article content entry main post story text".split())
 
 
-_PATH = 4000
+@lru_cache(maxsize=64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b", re.I)
+
+
+def tags(html: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """The markup of a page as (start, end, tag, attributes, whether it ends an element); a comment or declaration has no tag.
+
+    One pass: a tag ends at the first ">" outside quotes. If a quote is never
+    closed, tags up to it end at their first ">", and a last tag without one is
+    left out as a comment is. What follows the start of a
+    raw element is skipped to its end.
+    """
+    at, size, last = 0, len(html), html.rfind(">")
+    naive = 0  # tags that start before this end at their first ">"
+    while (start := html.find("<", at)) >= 0:
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = end + 3 if end >= 0 else size
+            yield start, at, "", "", False
+            continue
+        m = _NAME.match(html, start)
+        declared = m is None and html.startswith(("<!", "<?"), start)
+        if m is None and not declared:
+            at = start + 1
+            continue
+        if start > last:
+            yield start, size, "", "", False
+            return
+        if declared:
+            at = html.find(">", start) + 1
+            yield start, at, "", "", False
+            continue
+        end = m.end()
+        while start >= naive:
+            stop = _STOP.search(html, end)
+            if stop is None:
+                naive = size
+            elif stop[0] == ">":
+                end = stop.end()
+                break
+            else:
+                end = html.find(stop[0], stop.end()) + 1
+                if not end:
+                    naive = stop.end()
+        else:
+            end = html.find(">", m.end()) + 1
+        ends, tag, attributes = html[start + 1] == "/", m[1].lower(), html[m.end():end - 1]
+        at = end
+        if tag in _RAW and not ends and not attributes.rstrip().endswith("/"):
+            close = _raw_end(tag).search(html, at)
+            at = html.find(">", close.end()) + 1 if close else 0
+            at = at or size
+        yield start, at, tag, attributes, ends
 
 
 class Page:
-    """A parsed page: elements with parent, path and whether they are noise, and blocks of text by element."""
+    """A parsed page: elements with parent, path and whether they are noise, and blocks of text by element.
+
+    A path is held as a digest of fixed size of the generalised tags and classes
+    from the root; ``names`` spells it out.
+    """
 
     def __init__(self, html: str):
         self.tags: list[str] = []
+        self.kinds: list[str] = []
         self.paths: list[str] = []
         self.parents: list[int] = []
         self.noise: list[bool] = []
+        self.in_article: list[bool] = []
+        self.holders: list[int] = []  # the nearest element, itself included, that may hold an article
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._parse(html)
 
@@ -82,24 +150,61 @@ class Page:
                 elif name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower():
                     hidden = True
         tokens = set(_TOKEN.findall(names.lower()))
-        inside = parent >= 0 and ">article" in self.paths[parent]
+        inside = parent >= 0 and self.in_article[parent]
         noise = (
             parent >= 0 and self.noise[parent] or hidden or tag in _NOISE_TAG or role in _NOISE_ROLE or tag == "header" and not inside
             or tag not in ("html", "body") and not article and bool(tokens & _NOISE_NAME) or not article and "header" in tokens and not tokens & _OWN_NAME
             or article and bool(tokens & {"comment", "comments", "reply", "teaser", "related", "ad", "promo"})
         )
         self.tags.append(tag)
+        self.kinds.append(kind)
         above = self.paths[parent] if parent >= 0 else ""
-        self.paths.append(above if len(above) > _PATH else f"{above}>{kind}")  # very deep elements share a path
+        self.paths.append(xxhash.xxh3_128_hexdigest(f"{above}>{kind}"))
+        self.in_article.append(inside or tag == "article")
+        self.holders.append(len(self.tags) - 1 if tag in _CONTAINER or parent < 0 else self.holders[parent])
         self.parents.append(parent)
         self.noise.append(noise)
         return len(self.tags) - 1
 
+    def names(self, element: int) -> str:
+        """The path of an element in words."""
+        out = []
+        while element >= 0:
+            out.append(self.kinds[element])
+            element = self.parents[element]
+        return "".join(f">{k}" for k in reversed(out))
+
     def _parse(self, html: str) -> None:
-        stack = [self._open("html", "", -1)]
+        stack: list[int] = []
+        places: dict[str, list[int]] = defaultdict(list)  # by tag, where in the stack its open elements are
+        blocks: list[int] = []  # where the open blocks are
         text: list[str] = []
-        link = linked = 0
-        at, end = 0, len(html)
+        linked = 0
+
+        def push(tag: str, attributes: str) -> None:
+            places[tag].append(len(stack))
+            if tag in _BLOCK:
+                blocks.append(len(stack))
+            stack.append(self._open(tag, attributes, stack[-1] if stack else -1))
+
+        def close_to(i: int) -> None:
+            while len(stack) > i:
+                tag = self.tags[stack.pop()]
+                places[tag].pop()
+                if tag in _BLOCK:
+                    blocks.pop()
+
+        def end_implied(ended: tuple[str, ...]) -> None:
+            i = max((places[t][-1] for t in ended if places[t]), default=0)
+            if i and i >= max((places[t][-1] for t in _SCOPE if places[t]), default=0):
+                close_to(i)
+
+        def add(piece: str) -> None:
+            nonlocal linked
+            if piece and not self.noise[stack[-1]]:
+                text.append(piece)
+                if places["a"]:
+                    linked += len(piece)
 
         def flush() -> None:
             nonlocal linked
@@ -111,88 +216,50 @@ class Page:
                 text.clear()
             linked = 0
 
-        def close_to(i: int) -> None:
-            nonlocal link
-            for e in stack[i:]:
-                link -= self.tags[e] == "a"
-            del stack[i:]
-
-        while at < end:
-            m = _MARKUP.search(html, at)
-            piece = html[at:m.start()] if m else html[at:]
-            if piece and not self.noise[stack[-1]]:
-                text.append(piece)
-                if link > 0:
-                    linked += len(piece)
-            if not m:
-                break
-            at = m.end()
-            tag = m[2] or m[5]
-            if not tag:
+        push("html", "")
+        at = 0
+        for start, end, tag, attributes, ends in tags(html):
+            add(html[at:start])
+            at = end
+            if not tag or tag in _RAW and not ends:
                 continue
-            tag = tag.lower()
-            attributes = m[3] if m[2] else m[6]
-            if not (m[1] or m[4]):
-                if tag in _RAW:
-                    if not attributes.rstrip().endswith("/"):
-                        close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                        at = close.end() if close else end
-                    continue
-                if tag == "br":
-                    text.append(" ")
-                    continue
-                if tag in _VOID:
-                    if tag == "hr":
-                        flush()
-                    continue
-                if tag in ("html", "body") and any(self.tags[e] == tag for e in stack):
+            if ends:
+                if not places[tag] or not places[tag][-1]:
                     continue
+                i = places[tag][-1]
+                if tag in _BLOCK:
+                    flush()
+                elif blocks[-1] >= i:
+                    continue  # an inline end tag does not close blocks
+                if tag != "body":
+                    close_to(i)
+            elif tag == "br":
+                text.append(" ")
+            elif tag in _VOID:
+                if tag == "hr":
+                    flush()
+            elif tag not in ("html", "body") or not places[tag]:
                 if tag in _BLOCK:
                     flush()
                 if tag in _CLOSES_P:
-                    self._end_implied(stack, ("p",), close_to)
+                    end_implied(("p",))
                 if tag in _SAME_ENDS:
-                    self._end_implied(stack, _SAME_ENDS[tag], close_to)
+                    end_implied(_SAME_ENDS[tag])
                 if tag == "body" and len(stack) > 1 and self.tags[stack[1]] == "head":
                     close_to(1)
-                stack.append(self._open(tag, attributes, stack[-1]))
-                link += tag == "a"
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[i]] == tag:
-                        if tag in _BLOCK:
-                            flush()
-                        elif any(self.tags[e] in _BLOCK for e in stack[i:]):
-                            break  # an inline end tag does not close blocks
-                        if tag not in ("body", "html"):
-                            close_to(i)
-                        break
+                push(tag, attributes)
+        add(html[at:])
         flush()
 
-    def _end_implied(self, stack: list[int], tags: tuple[str, ...], close_to) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[i]]
-            if tag in tags:
-                close_to(i)
-                return
-            if tag in _SCOPE:
-                return
-
-    def holder(self, element: int) -> int:
-        """The nearest element, itself included, that may hold an article."""
-        while element > 0 and self.tags[element] not in _CONTAINER:
-            element = self.parents[element]
-        return element
-
     def best(self) -> tuple[str, float] | None:
         """The path and the score of the best container."""
         scores: dict[int, float] = {}
         for element, text, linked in self.blocks:
             worth = len(text) - 3 * linked
-            holder = self.holder(element)
+            holder = self.holders[element]
             scores[holder] = scores.get(holder, 0) + worth
             if self.parents[holder] >= 0:
-                outer = self.holder(self.parents[holder])
+                outer = self.holders[self.parents[holder]]
                 scores[outer] = scores.get(outer, 0) + worth / 2
         if not scores:
             return None

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
+import time
+
 import pytest
 
 from tessella.llm import maintext
@@ -21,7 +25,7 @@ def test_an_article_without_what_surrounds_it():
 def test_a_layout_of_divs():
     page = maintext.Page(DIVS.replace("{n}", "5"))
     path, _ = page.best()
-    assert path.endswith(">div.wrap-0>div.post-body")
+    assert page.names(page.paths.index(path)) == ">html>body>div.wrap-0>div.post-body"
     assert page.text(path).split("\n") == ["Title 5", "A long paragraph of the post number 5, with words and words.", "one", "two", "Another long paragraph with a link inside of it.", "Quoted words."]
 
 
@@ -45,6 +49,9 @@ def test_hosts_vote_and_pages_follow(spark):
     assert len(found) == len(rows)
     assert found[50].text.startswith("Title 77\nA long paragraph of the post number 77")
     assert "Many more words" not in found[50].text
+    # Without the vote the odd page gives the aside.
+    alone = maintext.Page(odd)
+    assert alone.text(alone.best()[0]).startswith("Many more words")
     assert found[60].host == "other.example" and found[60].text.startswith("Head & shoulders")
     assert found[61].text == "" and found[61].host == ""
     assert found[62].text == "words only"
@@ -58,3 +65,38 @@ def test_very_long_and_deep_pages():
     long_page = "<article>" + "<p>words and words</p>" * 20000 + "</article>"
     page = maintext.Page(long_page)
     assert page.text(page.best()[0]).count("\n") == 19999
+
+
+def plain_tags(html):
+    """Tags by a regular expression that backtracks, for pages whose quotes are closed."""
+    found = re.finditer(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", html, re.S)
+    return [(m.start(), m.end(), (m[2] or "").lower(), m[3] or "", m[1] == "/") for m in found]
+
+
+def test_tags_are_those_of_a_plain_expression():
+    rng = random.Random(3)
+    pieces = ["<div class='a'>", "<p>", "</p>", "text ", "<b title=\"x>y\">", "</b >", "<!-- c > -->", "<!doctype html>", "< 3", "<br/>", "&amp;", "<a href=x>", "</a>", "<1>", "</>", "\n"]
+    for _ in range(500):
+        html = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
+        assert list(maintext.tags(html)) == plain_tags(html)
+
+
+@pytest.mark.parametrize("piece", ["<a", "<a b='", "<a b=\"", "<", "</", "<a \">\" ", "<!--", "<!", "<b>", "</b>", "<div>", "<b><div>", "<p>x", "<li><b>y", "</script ", "&", "&#", "<a =", "<table><tr><td>", "</p></div></b>"])
+@pytest.mark.parametrize("ends", [("", ""), ("<script>", ""), ("<b>" + "<div>" * 20_000, "'>"), ("words ", ">"), ("<p>words</p>", "'\" >")])
+def test_hostile_markup_takes_time_in_proportion(piece, ends):
+    began = time.process_time()
+    page = maintext.Page(ends[0] + piece * 50_000 + ends[1])
+    best = page.best()
+    page.text(best[0] if best else None)
+    assert time.process_time() - began < 20
+
+
+def test_a_million_unclosed_tags_and_long_classes():
+    article = "<article><p>The words of the article.</p></article>"
+    html = "<html><body>" + article + "<a" * 1_000_000
+    page = maintext.Page(html)
+    assert page.text(page.best()[0]) == "The words of the article."
+    # Ten levels of long classes do not make other elements one with the article.
+    deep = "".join(f'<div class="{"c" * 500}{chr(97 + i)}">' for i in range(10))
+    page = maintext.Page(f"<body>{deep}<div class='text'><p>The words of the article, all of them.</p></div><div class='more'><p>Other</p></div>")
+    assert page.text(page.best()[0]) == "The words of the article, all of them."
