@@ -29,6 +29,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import os
+import re
 import struct
 import uuid
 from collections import defaultdict
@@ -53,7 +54,7 @@ PROBES = 7
 _FOOTER = struct.Struct("<QQQQ8s")
 _CACHE = 1_000_000  # words whose ids a Python worker keeps
 
-MANIFEST = "shard int, path string, entries long, ids long, bytes long, sha256 string"
+MANIFEST = "shard int, path string, entries long, ids long, bytes long, sha256 string, first long, last long"
 
 
 # ---------------------------------------------------------------- bytes
@@ -221,11 +222,15 @@ class Encoder:
 
     ``pattern`` must cut as the tokenizer's byte-level pre-tokenizer does. The
     library is given the pieces cut, many at a time, and its ids are dealt to
-    the pieces by the bytes that each id stands for.
+    the pieces by the bytes that each id stands for. A text that holds the string
+    of an added token, such as <|endoftext|>, is given to the library whole.
     """
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.whole = Tokenizer.from_file(path)
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -258,7 +263,8 @@ class Encoder:
         if len(self.known) > _CACHE:
             self._forget()
         before = len(self.known)
-        codes = [np.fromiter(map(self.known.__getitem__, words), np.int32, len(words)) for words in (self.find(t or "") for t in texts)]
+        special = {i: t for i, t in enumerate(texts) if t and self.added(t)}
+        codes = [np.fromiter(map(self.known.__getitem__, words), np.int32, len(words)) for words in ([] if i in special else self.find(t or "") for i, t in enumerate(texts))]
         if len(self.known) > before:
             self._learn(list(islice(self.known, before, None)))
         out = []
@@ -266,6 +272,8 @@ class Encoder:
             n = self.lengths[c]
             ends = np.cumsum(n, dtype=np.int32)
             out.append(self.flat[np.repeat(self.starts[c] - (ends - n), n) + np.arange(ends[-1] if len(c) else 0, dtype=np.int32)])
+        for i, t in special.items():
+            out[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
         return out
 
 
@@ -281,7 +289,8 @@ def _encoder(path: str, pattern: str) -> Encoder:
 def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, *, key: str = "doc_id", text: str = "text", end_id: int = 0, shard_rows: int = 4096, shard_bytes: int = 64 << 20) -> DataFrame:
     """Write the ids of every document row to shards below ``path``; returns the manifest, one row a shard.
 
-    A key range has about ``shard_rows`` rows; a shard is rolled once it holds
+    A key range has about ``shard_rows`` rows, and more where that would make
+    over 20,000 ranges; a shard is rolled once it holds
     ``shard_bytes``. Rows of one key are ordered by their text.
     """
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
@@ -300,7 +309,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, *, key: str
             out.close()
             final = f"{root}/shard-{shard:06d}-{len(made):06d}.sst"
             commit(fs, temporary, final)
-            made.append((shard, final, writer.entries, writer.ids, writer.at, writer.digest.hexdigest()))
+            made.append((shard, final, writer.entries, writer.ids, writer.at, writer.digest.hexdigest(), key_number(next((k for k in writer.hashes if k), b"")), key_number(writer.last)))
 
         shard = 0
         for batch in batches:
@@ -317,7 +326,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, *, key: str
                         writer = None
         if writer is not None:
             close(shard)
-        yield pa.RecordBatch.from_pylist([dict(zip(("shard", "path", "entries", "ids", "bytes", "sha256"), m, strict=True)) for m in made], _MANIFEST_ARROW)
+        yield pa.RecordBatch.from_pylist([dict(zip(_MANIFEST_ARROW.names, m, strict=True)) for m in made], _MANIFEST_ARROW)
 
     return written(order.select("key", "text", "range").mapInArrow(write_shards, MANIFEST), "manifest")
 
@@ -363,16 +372,45 @@ def read(manifest: DataFrame, path: str, *, key: str = "doc_id") -> DataFrame:
     return listed.repartitionByRange(max(1, shards), "path").mapInArrow(read_shards, f"`{key}` long, start long, ids binary")
 
 
-def lookup(manifest: DataFrame, path: str, keys: list[int]) -> dict[int, list[list[int]]]:
-    """The ids of every entry with one of these keys, by binary search in the shards whose filters admit them. For a few keys, on the driver."""
-    fs, _ = pyarrow.fs.FileSystem.from_uri(path)
-    found: dict[int, list[list[int]]] = {k: [] for k in keys}
-    for r in sorted(manifest.collect(), key=lambda r: r.path):
-        with fs.open_input_file(r.path) as f:
-            shard = ShardReader(f, r.bytes)
-            for k in keys:
-                found[k] += [ids.tolist() for ids in shard.get(key_bytes(k))]
-    return found
+def lookup(manifest: DataFrame, path: str, keys: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """(key, ids): every entry with one of the keys, by binary search in the shards that may hold it.
+
+    A key finds its range, of some 20,000, by their first keys, and the range's
+    shards by a join that compares first and last keys; each shard is then asked
+    by one task: its filter, its sparse index, and the blocks that may hold the
+    key. Null keys are not looked up; a key that no entry has gives no row.
+    """
+    spark = manifest.sparkSession
+    ranges = sorted((r[1], r[0]) for r in manifest.where("first is not null").groupBy("shard").agg(F.min("first")).collect())
+    held = spark.sparkContext.broadcast((np.array([f for f, _ in ranges], np.int64), np.array([s for _, s in ranges], np.int32)))
+    wanted = keys.select(F.col(key).cast("long").alias("key")).where("key is not null").distinct()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, shards = held.value
+        for batch in batches:
+            at = np.searchsorted(firsts, batch.column(0).to_numpy(), side="right") - 1
+            inside = batch.filter(pa.array(at >= 0))
+            yield pa.RecordBatch.from_arrays([inside.column(0), pa.array(shards[at[at >= 0]], pa.int32())], names=["key", "at"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pyarrow.fs.FileSystem.from_uri(path)
+        f = shard = opened = None
+        for batch in batches:
+            found: list[tuple[int, bytes]] = []
+            for place, size, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != opened:
+                    if f is not None:
+                        f.close()
+                    f, opened = fs.open_input_file(place), place
+                    shard = ShardReader(f, size)
+                found += [(k, ids.astype("<u4").tobytes()) for ids in shard.get(key_bytes(k))]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([v for _, v in found], pa.binary())], names=[key, "ids"])
+        if f is not None:
+            f.close()
+
+    placed = wanted.mapInArrow(place, "key long, at int")
+    asked = placed.join(manifest, (placed.at == manifest.shard) & (placed.key >= manifest["first"]) & (placed.key <= manifest["last"])).select("path", "bytes", "key")
+    return asked.repartition("path").sortWithinPartitions("path", "key").mapInArrow(ask, f"`{key}` long, ids binary")
 
 
-_MANIFEST_ARROW = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("entries", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
+_MANIFEST_ARROW = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("entries", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string()), ("first", pa.int64()), ("last", pa.int64())])

@@ -90,7 +90,11 @@ def _records(pages: DataFrame, key: str, url: str, payload: str, least_revisit:
 
 
 def write(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", payload: str = "html", date: str = "2020-01-01T00:00:00Z", least_revisit: int = 100, shard_rows: int = 4096, roll_bytes: int = 64 << 20, level: int = 6) -> DataFrame:
-    """Write a record for every row below ``path``; returns the manifest, one row a file."""
+    """Write a record for every row below ``path``; returns the manifest, one row a file.
+
+    A key range has about ``shard_rows`` rows, and more where that would make
+    over 20,000 ranges; files are rolled at ``roll_bytes`` either way.
+    """
     dealt, _ = ranged(_records(pages, key, url, payload, least_revisit), "key", shard_rows)
     order = dealt.sortWithinPartitions("key", "of", "digest", "url")
 

@@ -74,7 +74,6 @@ def test_bpe(spark, texts):
 
 def test_sstable(spark, texts):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     at, expected = 0, {}
     for i in sorted(texts):
         ids = np.array([*library.encode(texts[i], add_special_tokens=False).ids, 0], "<u4")

@@ -20,7 +20,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def library():
     found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
     return lambda text: found.encode(text or "", add_special_tokens=False).ids
 
 
@@ -62,7 +61,23 @@ def test_empty_table(spark, make_docs):
 
 def test_lookup_reads_what_was_written(spark, make_docs, corpus, library):
     manifest, path, _ = _entries(spark, make_docs(corpus), shard_rows=4)
-    assert sstable.lookup(manifest, path, [5, 13, 999]) == {5: [[*library(corpus[5]), 0]], 13: [[*library(corpus[13]), 0]], 999: []}
+    keys = spark.createDataFrame([(k,) for k in (5, 13, 999, 13, None, -7, 14)], "doc_id long")
+    found = sstable.lookup(manifest, path, keys).collect()
+    assert sorted((r.doc_id, np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in found) == [(k, [*library(corpus[k]), 0]) for k in (5, 13, 14)]
+
+
+def test_lookup_finds_every_row_of_a_key_over_several_shards(spark, make_docs, library):
+    rows = [(5, f"text {i} " * 40) for i in range(9)] + [(k, f"row {k}") for k in range(20)]
+    manifest, path, _ = _entries(spark, make_docs(rows), shard_rows=4, shard_bytes=200)
+    found = sstable.lookup(manifest, path, spark.createDataFrame([(5,), (6,)], "doc_id long")).collect()
+    assert sorted((r.doc_id, np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in found) == sorted((k, [*library(t), 0]) for k, t in rows if k in (5, 6))
+
+
+def test_strings_of_special_tokens_get_the_ids_of_the_library(spark, make_docs, library):
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|>\n\n x", "<|endoftext", "a" * 3000 + "<|endoftext|>"]
+    found = _entries(spark, make_docs(texts))[2]
+    assert found[0][2] == [31373, 220, 50256, 995, 0]
+    assert [ids for _, _, ids in sorted(found)] == [[*library(t), 0] for t in texts]
 
 
 def test_shard_bytes_blocks_and_filter(monkeypatch):
