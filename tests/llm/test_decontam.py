@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+import random
 import re
 
 import pytest
@@ -69,3 +71,38 @@ def test_empty_tables_and_repeated_rows(spark, make_docs, benchmark):
     assert [r.n_hit for r in decontam.scan(make_docs([(1, "ten"), (1, "ten"), (None, "ten")]), benchmark).collect()] == [1, 1, 1]
     with pytest.raises(ValueError, match="remove"):
         decontam.clean(make_docs([]), benchmark, remove="words")
+
+
+def test_benchmarks_of_several_blocks_clean_as_one_block_does(make_docs, benchmark):
+    docs = make_docs([*enumerate(TEXTS), (1, TEXTS[5]), (None, TEXTS[3])])
+    for remove in ("documents", "spans"):
+        one, many = (sorted((str(r.doc_id), r.text or "") for r in decontam.clean(docs, benchmark, remove=remove, block_bytes=b).collect()) for b in (1 << 20, 60))
+        assert one == many
+
+
+def test_string_keys_and_ids_and_clashing_names(spark, benchmark):
+    docs = spark.createDataFrame([("a", TEXTS[5], "x"), ("b", TEXTS[2], "y")], "digest string, text string, items string")
+    items = spark.createDataFrame([("i-1", ITEMS[1][1]), (None, "delta")], "item_id string, text string")
+    found = {r["digest"]: (r.n_hit, r["items"]) for r in decontam.scan(docs, items, key="digest").collect()}
+    assert found == {"a": (4, ["i-1"]), "b": (0, [])}
+    assert decontam.clean(docs, items).columns == docs.columns
+    assert {r["digest"]: r["items"] for r in decontam.scan(docs, benchmark, key="digest").collect()} == {"a": [3, 12], "b": []}
+
+
+def test_very_long_texts_and_words_against_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)] + ["z" * 5000, "z" * 5001, "é" * 3000]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (200, 900, 3000)]
+    items = [(i, " ".join(t.split()[k:k + n])) for i, (t, k, n) in enumerate([(texts[0], 5, 30), (texts[2], 2500, 11), (texts[1], 3, 4), (texts[1], 700, 10)])] + [(9, "z" * 5001)]
+    index = decontam.NGramIndex(items, 10)
+    for t in texts:
+        found, spans = index.hits(decontam.Words(t.encode()))
+        assert (len(plain_words(t)), sum(b - a for a, b in spans), sorted(found)) == plain(t, items)
+    big = decontam.Words(("many words " * 200_000 + texts[0]).encode())
+    assert len(big) == 400_200 and index.hits(big)[0] >= {0}
+
+
+def test_an_index_is_a_few_times_its_text():
+    rng = random.Random(1)
+    items = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(2, 9) + str(rng.randint(0, 99)) for _ in range(300))) for i in range(1000)]
+    assert len(pickle.dumps(decontam.NGramIndex(items, 10))) < 8 * sum(len(t) for _, t in items) + (1 << 20)
