@@ -277,7 +277,8 @@ def _join_tokens(ids: pa.Array, table: list[bytes]) -> pa.Array:
 
 
 def decode(df: DataFrame, path: str, *, ids: str = "ids") -> DataFrame:
-    """Adds ``decoded`` (binary): the bytes of each row's ids, joined from the token table at ``path``. An id without bytes fails the query."""
+    """Adds ``decoded`` (binary): the bytes of each row's ids, joined from the token table at ``path``; a column of that name is replaced. An id without bytes fails the query."""
+    df = df.drop("decoded")
     at = df.columns.index(ids)
     held = df.sparkSession.sparkContext.broadcast(_token_bytes(path))
 

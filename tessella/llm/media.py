@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 BLOCK = 64
 _OFFSET = 256
 _MAX_RUN = 0x7FFF
+_short_cuts = True  # off in a test, which then decodes the same scans code by code
 
 
 @lru_cache(maxsize=1)
@@ -447,7 +448,7 @@ def _refine_dc(bits: _Bits, chosen: list, places: list[np.ndarray], al: int) ->
 
 def _first_ac(bits: _Bits, blocks: np.ndarray, table: Huffman, low: int, high: int, al: int) -> None:
     band = high - low + 1
-    if table.symbols == b"\x08" and table.counts[0] == 1 and len(bits.raw) >= -(-9 * band * len(blocks) // 8):
+    if _short_cuts and table.symbols == b"\x08" and table.counts[0] == 1 and len(bits.raw) >= -(-9 * band * len(blocks) // 8):
         # The only code is a zero bit for "no zeros before, 8 bits follow", so a coefficient takes nine bits.
         values = _of_nine(bits.raw, band * len(blocks)).astype(np.int16)
         values = np.where(values < 128, values - 255, values)
@@ -509,7 +510,7 @@ def _refine_ac(bits: _Bits, blocks: np.ndarray, table: Huffman, low: int, high:
 
 def _correct(bits: _Bits, part: np.ndarray, there: np.ndarray, step: int) -> None:
     """One correction bit for each coefficient that is not zero, in order."""
-    if there.all() and part.flags.c_contiguous:
+    if _short_cuts and there.all() and part.flags.c_contiguous:
         found = bits.array(part.size).reshape(part.shape)
         part += np.where(part > 0, step, -step).astype(np.int16) * found
         return
@@ -583,42 +584,48 @@ def store_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(encode, f"`{key}` {kind}, n_bytes long, media binary")
 
 
-def tensors(df: DataFrame, *, media: str = "media") -> DataFrame:
-    """Adds height, width and rgb (binary, row by row) of each image; an image that cannot be read fails the query."""
+def tensors(df: DataFrame, *, media: str = "media", payload: bool = False) -> DataFrame:
+    """Adds height, width and rgb (binary, row by row) of each image, and with ``payload`` the bytes stored in it; columns of these names are replaced. An image that cannot be read fails the query; a null one has nulls."""
+    added = [("height", "int", pa.int32()), ("width", "int", pa.int32()), ("rgb", "binary", pa.binary())] + [("payload", "binary", pa.binary())] * payload
+    df = df.drop(*(n for n, _, _ in added))
     at = df.columns.index(media)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [rgb(decode(m)) if m is not None else None for m in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if f is None else f.shape[0] for f in found], pa.int32()), pa.array([None if f is None else f.shape[1] for f in found], pa.int32()), pa.array([None if f is None else f.tobytes() for f in found], pa.binary())], names=[*batch.schema.names, "height", "width", "rgb"])
-
-    return df.mapInArrow(read, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", height int, width int, rgb binary")
+            begin, held, rows = 0, 0, []
+            for i, m in enumerate(batch.column(at)):
+                rows.append(_opened(m.as_py(), payload))
+                held += len(rows[-1][2] or b"")
+                if held > 4 << 20 or i + 1 == batch.num_rows:
+                    columns = [pa.array(c, kind) for c, (_, _, kind) in zip(zip(*rows, strict=True), added, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(rows)).columns, *columns], names=[*batch.schema.names, *(n for n, _, _ in added)])
+                    begin, held, rows = i + 1, 0, []
+
+    return df.mapInArrow(read, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"{n} {kind}" for n, kind, _ in added)]))
+
+
+def _opened(image: bytes | None, payload: bool) -> tuple:
+    """Height, width and tensor of a stored image, and the bytes stored in it."""
+    if image is None:
+        return (None,) * (3 + payload)
+    found = decode(image)
+    tensor = rgb(found)
+    out = (tensor.shape[0], tensor.shape[1], tensor.tobytes())
+    if not payload:
+        return out
+    flat = np.concatenate([c.blocks.reshape(-1, BLOCK) for c in found.components])
+    return (*out, payload_of(flat, int(found.comment.partition(b"=")[2])))
 
 
-def round_trips(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, payload, media, feature) of every row: stored, read back from the stored bytes, and transformed, in one pass."""
+def features(df: DataFrame) -> DataFrame:
+    """Adds ``feature``, taken from the columns of ``tensors``, in the place of ``rgb``."""
+    df = df.drop("feature")
+    names = [n for n in df.columns if n != "rgb"]
+    at = [df.columns.index(n) for n in ("height", "width", "rgb")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            held = 0
-            for k, t in zip(batch.column(0), batch.column(1), strict=True):
-                value = t.as_py()
-                image = store(payload(value))
-                found = decode(image)
-                flat = np.concatenate([c.blocks.reshape(-1, BLOCK) for c in found.components])
-                back = payload_of(flat, int(found.comment.partition(b"=")[2]))
-                rows.append((k.as_py(), len((value or "").encode()), back, image, feature(rgb(found))))
-                held += len(image)
-                if held > 4 << 20:
-                    yield table(rows, batch.column(0).type)
-                    rows, held = [], 0
-            if rows:
-                yield table(rows, batch.column(0).type)
-
-    def table(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        types = (kind, pa.int64(), pa.binary(), pa.binary(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[key, "n_bytes", "payload", "media", "feature"])
+            found = [None if t is None else feature(np.frombuffer(t, np.uint8).reshape(h, w, 3)) for h, w, t in zip(*(batch.column(k).to_pylist() for k in at), strict=True)]
+            yield batch.select(names).append_column("feature", pa.array(found, pa.string()))
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload binary, media binary, feature string")
+    return df.mapInArrow(read, ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names) + ", feature string")

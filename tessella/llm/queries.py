@@ -16,10 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op5_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals after all documents were inserted, exact copies deleted, and other languages than English counted anew in words."""
-    docs = _table(spark, sf_dir, "documents")
-    counts = [rollup.TOKENIZERS[v](F.col("text")).alias(v) for v in ("utf8-1", "words-1")]
-    slim = written(docs.select("doc_id", "source", "lang", F.xxhash64("text").alias("digest"), F.sha2("text", 256).alias("sha"), *counts), "rollup")
+    """Token totals after all documents were inserted, exact copies deleted, and other languages than English counted anew with another vocabulary."""
+    first_version, second_version = "byte_bpe_50k", "byte_bpe_multi_50k"
+    paths = {first_version: public_tokenizers.path("byte_bpe_50k.json"), second_version: public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}
+    docs = rollup.counted(_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), paths, public_tokenizers.PATTERN)
+    slim = written(docs.select("doc_id", "source", "lang", F.xxhash64("text").alias("digest"), F.sha2("text", 256).alias("sha"), *paths), "rollup")
     first = written(slim.groupBy("digest", "sha").agg(F.min("doc_id").alias("first")).withColumnsRenamed({"digest": "d", "sha": "s"}), "rollup")
     marked = written(slim.join(first, (slim.digest == first.d) & slim.sha.eqNullSafe(first.s)).withColumn("copy", F.col("doc_id") != F.col("first")), "rollup")
 
@@ -27,11 +28,11 @@ def op5_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(f"`{version}`").alias("n_tokens"))
 
     totals = rollup.Rollup(spark, fresh_path(spark, "totals"))
-    copies = rollup.deleted(rows(marked.where("copy"), "utf8-1"))
+    copies = rollup.deleted(rows(marked.where("copy"), first_version))
     others = marked.where("not copy and lang <> 'en'")
-    totals.apply("0001-insert", rollup.inserted(rows(marked, "utf8-1")))
+    totals.apply("0001-insert", rollup.inserted(rows(marked, first_version)))
     totals.apply("0002-copies", copies)
-    totals.apply("0003-words", rollup.revised(rows(others, "utf8-1"), rows(others, "words-1")))
+    totals.apply("0003-vocabulary", rollup.revised(rows(others, first_version), rows(others, second_version)))
     totals.apply("0002-copies", copies)  # a retry, which changes nothing
     totals.compact()
     return totals.totals()
@@ -52,9 +53,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message without its quotations, with the message that it answers and its place among the replies."""
-    found = quotes.linked(_table(spark, sf_dir, "conversations"))
-    return found.select("conv_id", "turn", "number", "role", "parent", "linked", "quoted_passages", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.col("own").alias("text"))
+    """Every message of conversations that quote, without its quotations, with the message that it answers and its place among the replies.
+
+    The table's messages hold no quotations, so ``quotes.quoting`` puts them there: each turn quotes an earlier one, with what that one quotes.
+    """
+    found = quotes.linked(quotes.quoting(_table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "turn", "role", "parent", "linked", "quoted_passages", "thread", "reply", "depth", F.col("own").alias("text"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +83,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document stored as a progressive JPEG, read back, and its tensor's features."""
-    found = media.round_trips(_table(spark, sf_dir, "documents"))
+    stored = written(media.store_texts(_table(spark, sf_dir, "documents")), "media")
+    found = media.features(media.tensors(stored, payload=True))
     return found.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
@@ -116,14 +121,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_maintext": op10_maintext,
 }
 SQL: dict[str, str] = {
-    "op5_rollup": r"""
-        WITH kept AS (
-            SELECT * FROM (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id = first),
-        counted AS (
-            SELECT source, lang, CASE WHEN lang <> 'en' THEN 'words-1' ELSE 'utf8-1' END AS tokenizer,
-                   CASE WHEN lang <> 'en' THEN len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\x0B]+')) ELSE octet_length(encode(coalesce(text, ''))) END AS n
-            FROM kept)
-        SELECT source, lang, tokenizer, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM counted GROUP BY 1, 2, 3""",
     "op1_warc": """
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,

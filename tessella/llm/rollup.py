@@ -6,8 +6,10 @@ tokenizer version before anything is stored, so a batch takes a row for each
 group, however many documents change and however large one source is. Totals are
 the sums over all committed batches.
 
-A batch is committed by creating its entry in the log folder, which fails if the
-entry exists; the entry names the folder that holds the batch's sums. A batch
+A batch is committed by giving its entry a name in the log folder, which fails
+if the entry exists on file systems whose rename is atomic and refuses a name
+that is taken, as HDFS and local ones are; elsewhere one driver at a time may
+commit. The entry is whole when it gets its name; the entry names the folder that holds the batch's sums. A batch
 that is applied again, by a retry or by another driver, changes nothing, and a
 driver that dies before the entry leaves a folder that no reader looks at.
 ``compact`` commits the sum of all batches so far as one table with the list of
@@ -22,32 +24,51 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+import tiktoken
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessella.llm.bpe import load_ranks
+from tessella.llm.sstable import Encoder
 from tessella.llm.store import file_system
 
 GROUP = ["source", "lang", "tokenizer"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
-def utf8_bytes(text: Column) -> Column:
-    """Version utf8-1: a token is a byte of UTF-8."""
-    return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
-
-
-def words(text: Column) -> Column:
-    """Version words-1: a token is a run of characters other than ASCII white space."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\n\r\f\x0B]+")).cast("long")
-
-
-TOKENIZERS: dict[str, Callable[[Column], Column]] = {"utf8-1": utf8_bytes, "words-1": words}
-
-
-def counted(docs: DataFrame, tokenizer: str, *, text: str = "text") -> DataFrame:
-    """The documents with their number of tokens in this tokenizer version."""
-    return docs.withColumn("tokenizer", F.lit(tokenizer)).withColumn("n_tokens", TOKENIZERS[tokenizer](F.col(text)))
+@lru_cache(maxsize=4)
+def _counter(path: str, pattern: str) -> Callable[[list[str | None]], list[int]]:
+    """A Python worker's counter of the tokens of texts, kept from task to task."""
+    if path.endswith(".json"):
+        encode = Encoder(path, pattern)
+        return lambda texts: [len(ids) for ids in encode(texts)]
+    ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+    return lambda texts: [len(ranks.encode_ordinary(t or "")) for t in texts]
+
+
+def counted(docs: DataFrame, versions: dict[str, str], pattern: str, *, text: str = "text") -> DataFrame:
+    """The documents with a column of token counts for each tokenizer version, a name and the vocabulary's path; a column of that name is replaced.
+
+    A .json vocabulary is counted with the tokenizers library and its added
+    tokens, a .tiktoken one without special tokens.
+    """
+    docs = docs.drop(*versions)
+    at = docs.columns.index(text)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                texts = part.column(at).to_pylist()
+                for name, path in versions.items():
+                    part = part.append_column(name, pa.array(_counter(path, pattern)(texts), pa.int64()))
+                yield part
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{v}` long" for v in versions]
+    return docs.mapInArrow(count, ", ".join(kinds))
 
 
 def inserted(rows: DataFrame) -> DataFrame:

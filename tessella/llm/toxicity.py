@@ -509,7 +509,8 @@ def clean(docs: DataFrame, channel: Channel, model: Model, *, text: str = "text"
 
 
 def restore(docs: DataFrame, channel: Channel, *, text: str = "text") -> DataFrame:
-    """Adds ``restored``: every text in lower case with its disguised words restored."""
+    """Adds ``restored``: every text in lower case with its disguised words restored; a column of that name is replaced."""
+    docs = docs.drop("restored")
     held = docs.sparkSession.sparkContext.broadcast(channel)
     at = docs.columns.index(text)
 

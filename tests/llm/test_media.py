@@ -204,15 +204,32 @@ def test_wrong_payloads_and_images_are_refused():
 
 
 def test_every_text_is_stored_whole(make_docs, corpus):
-    found = {r.doc_id: r for r in media.round_trips(make_docs(corpus).repartition(3)).collect()}
-    images = {r.doc_id: bytes(r.media) for r in media.store_texts(make_docs(corpus)).collect()}
+    docs = make_docs(corpus).repartition(3)
+    found = {r.doc_id: r for r in media.features(media.tensors(media.store_texts(docs), payload=True)).collect()}
     for i, text in enumerate(corpus):
         raw = (text or "").encode()
         assert bytes(found[i].payload) == raw + bytes(64 - len(raw) % 64)
         assert found[i].n_bytes == len(raw)
-        assert bytes(found[i].media) == images[i]
+        assert found[i].feature == media.feature(media.rgb(media.decode(bytes(found[i].media))))
     assert found[5].feature == found[6].feature
-    assert media.round_trips(make_docs([])).collect() == []
+    assert media.features(media.tensors(media.store_texts(make_docs([])), payload=True)).collect() == []
+
+
+def test_columns_named_like_those_added_are_replaced(spark):
+    image = media.store(media.payload("words"))
+    df = spark.createDataFrame([(1, image, "x", 2.0, "z", "f"), (2, None, "x", 2.0, "z", "f")], "height long, media binary, width string, rgb double, payload string, feature string")
+    one, two = media.tensors(df, payload=True).collect()
+    assert bytes(one.payload) == media.payload("words") and len(one.rgb) == one.height * one.width * 3 and one.feature == "f"
+    assert (two.height, two.width, two.rgb, two.payload) == (None,) * 4
+    assert [r.feature for r in media.features(media.tensors(df)).collect()] == [media.feature(media.rgb(media.decode(image))), None]
+
+
+def test_the_general_scans_decode_what_the_short_cuts_decode(monkeypatch):
+    raw = bytes(range(256)) * 5 + "words and words".encode()
+    image = media.store(raw + bytes(64 - len(raw) % 64))
+    short = media.rgb(media.decode(image))
+    monkeypatch.setattr(media, "_short_cuts", False)
+    assert (media.rgb(media.decode(image)) == short).all()
 
 
 def test_tensors_are_columns(make_docs):

@@ -13,6 +13,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from tessella.llm import bpe, queries, quotes
+from tests.llm.test_rollup_quotes import plain_links
 from tests.llm.test_simhash import plain_components, plain_print
 
 DATA = "/root/testdata/sf0.001"
@@ -90,11 +91,27 @@ def test_simhash(spark, texts):
 
 
 def test_quotes(spark):
-    messages = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()}
-    found = rows_of(spark, "op8_quotes")
-    assert {(r["conv_id"], r["turn"]) for r in found} == set(messages)
-    for r in found:
-        quoted = [p for level, p in quotes.passages(messages[r["conv_id"], r["turn"]]) if level]
-        assert r["quoted_passages"] == len(quoted) and (quoted or r["parent"] is None)
-        if not quoted:
-            assert r["path"] == str(r["turn"]) and r["text"] == quotes.own_text(messages[r["conv_id"], r["turn"]])
+    composed = {(r.conv_id, r.turn): r.text for r in quotes.quoting(spark.read.parquet(f"{DATA}/conversations.parquet")).collect()}
+    expected = plain_links(composed)
+    found = {(r["conv_id"], r["turn"]): r for r in rows_of(spark, "op8_quotes")}
+    assert {k: (r["parent"], r["linked"], r["thread"], r["reply"], r["depth"]) for k, r in found.items()} == expected
+    assert any(r["depth"] > 1 for r in found.values()) and any(r["quoted_passages"] > 1 for r in found.values())
+    originals = {(r.conv_id, r.turn): r.text or "" for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()}
+    assert all(r["text"] == quotes.own_text(originals[k]) for k, r in found.items())
+
+
+def test_rollup(spark):
+    paths = {"byte_bpe_50k": public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_multi_50k": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}
+    library = Tokenizer.from_file(paths["byte_bpe_50k"])
+    ranks = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(paths["byte_bpe_multi_50k"]), special_tokens={})
+    expected, seen = {}, set()
+    for r in sorted(spark.read.parquet(f"{DATA}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        if r.text in seen:
+            continue
+        seen.add(r.text)
+        english = r.lang == "en"
+        n = len(library.encode(r.text or "", add_special_tokens=False).ids) if english else len(ranks.encode_ordinary(r.text or ""))
+        total = expected.setdefault((r.source, r.lang, "byte_bpe_50k" if english else "byte_bpe_multi_50k"), [0, 0])
+        total[0] += 1
+        total[1] += n
+    assert {(r["source"], r["lang"], r["tokenizer"]): [r["n_docs"], r["n_tokens"]] for r in rows_of(spark, "op5_rollup")} == expected

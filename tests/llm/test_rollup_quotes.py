@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
 
+import public_tokenizers
 import pytest
+import tiktoken
+from tokenizers import Tokenizer
 
 from tessella.llm import quotes, rollup
+from tessella.llm.bpe import load_ranks
 from tessella.llm.store import fresh_path
 
 ROWS = "source string, lang string, tokenizer string, n_tokens long"
@@ -80,13 +85,13 @@ def test_messages_link_to_what_they_quote(messages):
     assert len(rows) == len(THREAD)
     found = {(r.conv_id, r.turn): r for r in rows if r.number == 1}
     assert {k: r.parent for k, r in found.items() if r.parent is not None} == {(1, 1): 0, (1, 2): 1, (1, 4): 2, (1, 5): 3, (5, 2): 1}
-    assert found[1, 4].path == [0, 1, 2, 4] and found[1, 4].depth == 3
-    assert found[1, 3].path == [3] and found[1, 6].parent is None and found[1, 6].quoted_passages == 1
+    assert (found[1, 4].thread, found[1, 4].reply, found[1, 4].depth) == (0, 3, 3)
+    assert (found[1, 3].thread, found[1, 3].reply, found[1, 5].reply) == (3, 0, 1) and found[1, 6].parent is None and found[1, 6].quoted_passages == 1
     assert found[1, 2].own == "Thanks a lot!\n\nbye"
     assert found[1, 4].own == "You are welcome."
     assert found[3, 0].own == "" and found[3, 2].own == ""
-    order = sorted((r.path, r.turn) for r in found.values() if r.conv_id == 1)
-    assert [t for _, t in order] == [0, 1, 2, 4, 3, 5, 6]
+    order = [r.turn for r in quotes.ordered(quotes.linked(messages)).collect() if r.conv_id == 1]
+    assert order == [0, 1, 2, 4, 3, 5, 6]
 
 
 def test_quote_levels():
@@ -97,5 +102,85 @@ def test_quote_levels():
 def test_long_chains_and_empty_tables(spark, messages):
     rows = [(1, i, "user", f"> message number {i - 1} here.\nmessage number {i} here." if i else "message number 0 here.") for i in range(40)]
     found = quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert all(r.path == list(range(r.turn + 1)) for r in found)
+    assert all((r.thread, r.reply, r.depth) == (0, r.turn, r.turn) for r in found)
     assert quotes.linked(messages.limit(0)).collect() == []
+
+
+def plain_links(messages):
+    """Parent, linked characters, thread, reply and depth of messages (conversation, turn) -> text, by plain loops."""
+
+    def said(text, level):
+        lines = [(re.match(r"(?:> )*", line)[0], line) for line in text.split("\n")]
+        parts, last = [], None
+        for i, (marks, line) in enumerate(lines):
+            if line == "On that day, someone wrote:" or line.endswith("> On that day, someone wrote:"):
+                last = None
+                continue
+            if marks.count(">") == level:
+                if last == level:
+                    parts[-1] += " " + line[len(marks):]
+                else:
+                    parts.append(line[len(marks):])
+            last = marks.count(">")
+        out = []
+        for p in parts:
+            for sentence in re.split(r"(?<=[.!?\u2026])\s+", " ".join(p.split())):
+                plain = " ".join(re.findall(r"[^\W_]+", sentence.lower()))
+                if plain:
+                    out.append(plain)
+        return out
+
+    own = {k: set(said(t, 0)) for k, t in messages.items()}
+    found = {}
+    for (c, t), text in messages.items():
+        votes = defaultdict(int)
+        for sentence in said(text, 1):
+            earlier = [u for u in range(t) if sentence in own.get((c, u), ())]
+            if earlier:
+                votes[max(earlier)] += len(sentence)
+        size, parent = max(((n, u) for u, n in votes.items()), default=(0, None))
+        found[c, t] = [parent, size]
+    children = defaultdict(list)
+    for c, t in sorted(found):
+        children[c, found[c, t][0]].append(t)
+
+    def walk(c, t, thread, depth, at):
+        found[c, t] += [thread, at, depth]
+        for u in children[c, t]:
+            at = walk(c, u, thread, depth + 1, at + 1)
+        return at
+
+    for c, t in list(found):
+        if found[c, t][0] is None:
+            walk(c, t, t, 0, 0)
+    return {k: tuple(v) for k, v in found.items()}
+
+
+def test_quoting_messages_link_as_plain_loops_link_them(spark):
+    rng = random.Random(4)
+    words = "alpha beta gamma delta epsilon zeta".split()
+    rows = [(c, t, "user", ". ".join(" ".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(rng.randint(0, 4))) + rng.choice([".", "", "?\nNew line here."])) for c in range(12) for t in range(rng.choice([1, 3, 17]))]
+    composed = quotes.quoting(spark.createDataFrame([*rows, (77, 0, None, None), (None, 1, "x", "y")], "conv_id long, turn long, role string, text string")).collect()
+    texts = {(r.conv_id, r.turn): r.text for r in composed}
+    assert len(texts) == len(rows) + 1
+    assert texts[0, 0] == next(r[3] for r in rows if r[:2] == (0, 0))
+    found = quotes.linked(spark.createDataFrame(composed, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.parent, r.linked, r.thread, r.reply, r.depth) for r in found} == plain_links(texts)
+    assert sum(r.parent is not None for r in found) > 50 and max(r.depth for r in found) > 2
+
+
+def test_many_rows_of_one_turn_and_many_replies_to_one_message(spark):
+    rows = [(1, 0, "user", "The one question.")] + [(1, 1 + i % 300, "user", f"> The one question.\nAnswer number {i}.") for i in range(600)]
+    found = quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)).collect()
+    order = sorted((r.reply, r.turn, r.number, r.parent, r.depth) for r in found)
+    assert order == [(0, 0, 1, None, 0)] + [(i + 1, 1 + i // 2, 1 + i % 2, 0, 1) for i in range(600)]
+    assert len({r.own for r in found}) == 601
+
+
+def test_counts_are_those_of_the_libraries(spark, make_docs, corpus):
+    paths = {"a": public_tokenizers.path("byte_bpe_50k.json"), "key": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}
+    found = rollup.counted(make_docs(corpus), paths, public_tokenizers.PATTERN)
+    library = Tokenizer.from_file(paths["a"])
+    ranks = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(paths["key"]), special_tokens={})
+    assert {r.doc_id: (r.a, r.key) for r in found.collect()} == {i: (len(library.encode(t or "", add_special_tokens=False).ids), len(ranks.encode_ordinary(t or ""))) for i, t in enumerate(corpus)}
+    assert rollup.counted(make_docs([]), paths, public_tokenizers.PATTERN).collect() == []
