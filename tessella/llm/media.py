@@ -364,8 +364,8 @@ def _scan_of(body: bytes, coded: np.ndarray, image: Image, tables: dict, restart
     n = body[0]
     chosen = [(next(c for c in image.components if c.number == body[1 + 2 * i]), body[2 + 2 * i]) for i in range(n)]
     low, high, ah, al = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
-    follows = coded[1:]
-    resets = np.flatnonzero((coded[:-1] == 0xFF) & ((follows & 0xF8) == 0xD0)).tolist()
+    # Restart markers stand only where an interval was defined.
+    resets = np.flatnonzero((coded[:-1] == 0xFF) & ((coded[1:] & 0xF8) == 0xD0)).tolist() if restart else []
     bounds = zip([0, *(r + 2 for r in resets)], [*resets, len(coded)], strict=True)
     pieces = [_Bits(_unstuffed(coded[a:b])) for a, b in bounds]
     if low == 0:
@@ -386,7 +386,8 @@ def _scan_of(body: bytes, coded: np.ndarray, image: Image, tables: dict, restart
     for i, bits in enumerate(pieces):
         part = own[i * restart:(i + 1) * restart] if restart else own
         (_refine_ac if ah else _first_ac)(bits, part, table, low, high, al)
-    component.blocks[:rows, :columns] = own.reshape(rows, columns, 64)
+    if component.blocks.shape[:2] != (rows, columns):
+        component.blocks[:rows, :columns] = own.reshape(rows, columns, 64)
 
 
 def _order(c: Component, image: Image, together: bool) -> np.ndarray:
@@ -405,10 +406,15 @@ def _first_dc(bits: _Bits, chosen: list, places: list[np.ndarray], tables: dict,
     used = [tables[0, slots >> 4] for _, slots in chosen]
     padded = np.concatenate([bits.raw, np.full(6, 0xFF, np.uint8)]).astype(np.int64)
     n = bits.size + 1
-    byte = np.arange(n) >> 3
-    window = (padded[byte] << 32 | padded[byte + 1] << 24 | padded[byte + 2] << 16 | padded[byte + 3] << 8 | padded[byte + 4]) << (np.arange(n) & 7) & 0xFFFFFFFFFF
+    five = padded[:-5] << 32 | padded[1:-4] << 24 | padded[2:-3] << 16 | padded[3:-2] << 8 | padded[4:-1]
+    window = ((five[:, None] << np.arange(8)) & 0xFFFFFFFFFF).reshape(-1)[:n]
     steps, found = [], []
-    for table in used:
+    for k, table in enumerate(used):
+        if any(table is t for t in used[:k]):
+            same = next(i for i, t in enumerate(used) if t is table)
+            steps.append(steps[same])
+            found.append(found[same])
+            continue
         code = window >> 24
         length, size = table.lengths[code].astype(np.int64), table.values[code].astype(np.int64)
         extra = window >> (40 - length - size) & (1 << size) - 1
