@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,8 +16,8 @@ def occurrences(text: Column, needle: str) -> Column:
 
 
 def overlapping(text: Column, needle: str) -> Column:
-    """Occurrences of a fixed string, overlapping ones too."""
-    return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, len(needle)) == needle))
+    """Occurrences of a fixed string, overlapping ones too; an empty needle has none."""
+    return F.regexp_count(text, F.lit(f"(?={re.escape(needle)})")).cast("int") if needle else F.lit(0)
 
 
 def white_words(text: Column) -> Column:

@@ -33,21 +33,25 @@ def why(events: DataFrame, links: DataFrame, subject: str, most: int = 5) -> Dat
     return own.unionByName(linked)
 
 
-def impact(kinds: DataFrame, most: int = 10) -> DataFrame:
-    """(kind, n_events, n_links, score) with the largest scores, of rows (kind, n_events, n_links)."""
+def _scored(kinds: DataFrame) -> DataFrame:
+    """Rows (kind, n_events, n_links) with their score."""
     low = F.lower("kind")
     base = F.lit(0.3)
     for name, value in BASE.items():
         base = F.when(low == name, value).otherwise(base)
     score = F.least(F.lit(1.0), base + F.log1p(F.col("n_events")) / 10 + F.log1p(F.col("n_links")) / 5)
-    return kinds.withColumn("score", score).orderBy(F.desc("score"), "kind").limit(most)
+    return kinds.withColumn("score", score)
+
+
+def impact(kinds: DataFrame, most: int = 10) -> DataFrame:
+    """(kind, n_events, n_links, score) with the largest scores, of rows (kind, n_events, n_links)."""
+    return _scored(kinds).orderBy(F.desc("score"), "kind").limit(most)
 
 
 def risky(kinds: DataFrame, most: int = 10) -> DataFrame:
     """As ``impact``, with findings counting half as much again and monitoring three tenths more, 1 at most."""
-    scored = impact(kinds, 1_000_000)
     factor = F.when(F.lower("kind") == "finding", 1.5).when(F.lower("kind") == "monitoring", 1.3).otherwise(1.0)
-    return scored.withColumn("score", F.least(F.lit(1.0), F.col("score") * factor)).orderBy(F.desc("score"), "kind").limit(most)
+    return _scored(kinds).withColumn("score", F.least(F.lit(1.0), F.col("score") * factor)).orderBy(F.desc("score"), "kind").limit(most)
 
 
 def to_investigate(objects: DataFrame, investigations: DataFrame, label: str = "label") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.functions import hashing as H, text as T
@@ -48,19 +50,67 @@ def resolve_duplicates(rows: DataFrame, key: str, content: str, strategy: str, c
     raise ValueError(f"unknown strategy {strategy}")
 
 
-def near_pairs(prints: DataFrame, key: str, budget: int = 3) -> DataFrame:
-    """(a, b, distance, similarity) of keys whose ``simhash`` differ in at most ``budget`` < 4 bits, by an equality join on 16-bit quarters."""
-    if budget > 3:
-        raise ValueError("four quarters find at most three differing bits")
-    quarters = F.explode(F.array(*(F.struct(F.lit(i).alias("quarter"), F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")).alias("bits")) for i in range(4))))
-    dealt = prints.select(key, "simhash", quarters.alias("q")).select(key, "simhash", "q.quarter", "q.bits")
-    a = dealt.select(F.col(key).alias("a"), F.col("simhash").alias("x"), "quarter", "bits")
-    b = dealt.select(F.col(key).alias("b"), F.col("simhash").alias("y"), "quarter", "bits")
+def near_classes(prints: DataFrame, key: str) -> DataFrame:
+    """(key, simhash, class, copies): every row with the smallest key of those with the same ``simhash``, and how many these are."""
+    classes = prints.groupBy(F.col("simhash").alias("_s")).agg(F.min(key).alias("class"), F.count("*").alias("copies"))
+    return prints.join(classes, prints.simhash.eqNullSafe(classes["_s"])).select(key, "simhash", "class", "copies")
+
+
+def near_pairs(prints: DataFrame, key: str, budget: int = 3, bucket: int = 64) -> DataFrame:
+    """(a, b, distance, similarity) of classes of equal ``simhash`` that differ in 1 to ``budget`` bits, named by their smallest keys.
+
+    Copies are one class, so they add no pairs; ``near_classes`` tells who is in
+    it. Prints within the budget agree in all bits of some parts of the 64, so
+    pairs meet on those; there are as many parts as keep buckets of random
+    prints at about ``bucket`` rows, whatever their number.
+    """
+    classes = prints.where("simhash is not null").groupBy("simhash").agg(F.min(key).alias("key"))
+    count = classes.count()
+    parts = next((p for p in range(budget + 1, 2 * budget + 3) if count <= bucket << (64 * (p - budget) // p)), 2 * budget + 3)
+    edges = [64 * i // parts for i in range(parts + 1)]
+    masks = [sum((1 << edges[i + 1]) - (1 << edges[i]) for i in chosen) for chosen in combinations(range(parts), parts - budget)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    at = F.explode(F.array(*(F.struct(F.lit(k).alias("choice"), F.col("simhash").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for k, m in enumerate(masks))))
+    dealt = classes.select("key", "simhash", at.alias("q")).select("key", "simhash", "q.choice", "q.bits")
+    a = dealt.select(F.col("key").alias("a"), F.col("simhash").alias("x"), "choice", "bits")
+    b = dealt.select(F.col("key").alias("b"), F.col("simhash").alias("y"), "choice", "bits")
     distance = H.hamming(F.col("x"), F.col("y"))
-    found = a.join(b, ["quarter", "bits"]).where("a < b").withColumn("distance", distance).where(F.col("distance") <= budget)
+    found = a.join(b, ["choice", "bits"]).where("a < b").withColumn("distance", distance).where(F.col("distance") <= budget)
     return found.select("a", "b", "distance", (1 - F.col("distance") / 64).alias("similarity")).distinct()
 
 
+def near_closest(prints: DataFrame, key: str, budget: int = 3) -> DataFrame:
+    """(key, closest, distance): the nearest other row within the budget, the smallest key on a tie; rows without one are absent."""
+    classes = near_classes(prints, key)
+    second = classes.where(F.col(key) != F.col("class")).groupBy(F.col("class").alias("_of")).agg(F.min(key).alias("second"))
+    pairs = near_pairs(prints, key, budget)
+    either = pairs.select("a", "b", "distance").union(pairs.select("b", "a", "distance"))
+    nearest = either.groupBy(F.col("a").alias("_at")).agg(F.min(F.struct("distance", "b")).alias("near"))
+    whole = classes.join(second, F.col("class") == F.col("_of"), "left").join(nearest, F.col("class") == F.col("_at"), "left")
+    copy = F.when(F.col("copies") > 1, F.struct(F.lit(0).alias("distance"), F.when(F.col(key) == F.col("class"), F.col("second")).otherwise(F.col("class")).alias("b")))
+    return whole.withColumn("m", F.coalesce(copy, "near")).where("m is not null").select(key, F.col("m.b").alias("closest"), "m.distance")
+
+
+def resolve_by_print(known: DataFrame, asked: DataFrame, budget: int = 3) -> DataFrame:
+    """(asked, entity_id, distance): the known entity whose ``simhash`` is nearest to that of each asked row, within the budget; ties to the smaller id. known: (entity_id, simhash); asked: (asked, simhash)."""
+    both = known.groupBy("simhash").agg(F.min("entity_id").alias("entity_id"))
+    parts = budget + 1
+    edges = [64 * i // parts for i in range(parts + 1)]
+    masks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(parts)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        at = F.explode(F.array(*(F.struct(F.lit(k).alias("choice"), F.col("simhash").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for k, m in enumerate(masks))))
+        return rows.withColumn("q", at).select("*", "q.choice", "q.bits").drop("q")
+
+    distance = H.hamming(F.col("simhash"), F.col("_s"))
+    # Asked prints that repeat are looked up once.
+    wanted = asked.select("simhash").where("simhash is not null").distinct()
+    met = dealt(wanted).join(dealt(both).withColumnRenamed("simhash", "_s"), ["choice", "bits"]).withColumn("distance", distance).where(F.col("distance") <= budget)
+    best = met.groupBy("simhash").agg(F.min(F.struct("distance", "entity_id")).alias("m"))
+    return asked.join(best, "simhash").select("asked", "m.entity_id", "m.distance")
+
+
 def resolve(aliases: DataFrame, asked: DataFrame) -> DataFrame:
     """(namespace, value, entity_id) of asked (namespace, value) rows by equality."""
     return asked.join(aliases, ["namespace", "value"], "left")

@@ -67,10 +67,18 @@ def range_scan(table: DataFrame, key: str, low, high) -> DataFrame:
     return table.where(F.col(key).between(F.lit(low), F.lit(high))).orderBy(key)
 
 
-def longest_prefix(terms: DataFrame, asked: DataFrame, most: int = 64) -> DataFrame:
-    """(word, prefix): the longest term that each asked word begins with, by an equality join on its beginnings."""
-    begins = asked.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.length("word"), F.lit(most)), F.lit(1))), lambda n: F.substring("word", 1, n))).alias("prefix"))
-    found = begins.join(terms.select(F.col("term").alias("prefix")).distinct(), "prefix")
+def longest_prefix(terms: DataFrame, asked: DataFrame) -> DataFrame:
+    """(word, prefix): the longest term that each asked word begins with, by an equality join on its beginnings of the lengths that terms have.
+
+    Null words and terms never match; an empty term is a prefix of every word;
+    repeated words give one row.
+    """
+    known = terms.select(F.col("term").alias("prefix")).where("prefix is not null").distinct()
+    lengths = known.agg(F.collect_set(F.length("prefix")).alias("lengths"))  # one row
+    words = asked.select("word").where("word is not null").distinct().join(F.broadcast(lengths))
+    fitting = F.filter("lengths", lambda n: n <= F.length("word"))
+    begins = words.select("word", F.explode(F.transform(fitting, lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("prefix"))
+    found = begins.join(known, "prefix")
     return found.groupBy("word").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
 
 

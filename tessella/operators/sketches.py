@@ -112,9 +112,19 @@ def simhash(tokens: DataFrame, key: str, token: str) -> DataFrame:
 
 
 def lsh_pairs(signatures: DataFrame, key: str, bands: int) -> DataFrame:
-    """(a, b) pairs of keys that share a band of their ``signature`` array; each band is a bucket of its own."""
+    """(a, b) pairs of classes of equal ``signature`` arrays that share a band, named by their smallest keys; each band is a bucket of its own.
+
+    Rows of one signature are one class and add no pairs; ``lsh_classes`` tells who is in it.
+    """
+    signatures = signatures.groupBy("signature").agg(F.min(key).alias(key))
     width = F.floor(F.size("signature") / bands).cast("int")
     banded = signatures.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.sha2(F.array_join(F.slice("signature", i * width + 1, width).cast("array<string>"), ","), 256).alias("hash")))).alias("b"))
     banded = banded.select(key, "b.band", "b.hash")
     left, right = banded.withColumnRenamed(key, "a"), banded.withColumnRenamed(key, "b")
     return left.join(right, ["band", "hash"]).where("a < b").select("a", "b").distinct()
+
+
+def lsh_classes(signatures: DataFrame, key: str) -> DataFrame:
+    """(key, class): every row with the smallest key of those with the same ``signature``."""
+    classes = signatures.groupBy(F.col("signature").alias("_s")).agg(F.min(key).alias("class"))
+    return signatures.join(classes, signatures.signature == classes["_s"]).select(key, "class")

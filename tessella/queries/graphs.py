@@ -150,10 +150,31 @@ def similar_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.simhash(words, "doc_id", "word").select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("simhash"))
 
 
-def similar_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose SimHash differs in three bits at most."""
+def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.alnum_words(F.col("text")))).alias("word"))
-    return knowledge.near_pairs(sketches.simhash(words, "doc_id", "word"), "doc_id").select("a", "b", "distance", "similarity")
+    return sketches.simhash(words, "doc_id", "word")
+
+
+def similar_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents of one SimHash that differ in one to three bits."""
+    return knowledge.near_pairs(_prints(spark, sf_dir), "doc_id").select("a", "b", "distance", "similarity")
+
+
+def similar_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the class of their SimHash and its size."""
+    return knowledge.near_classes(_prints(spark, sf_dir), "doc_id").select("doc_id", "class", "copies")
+
+
+def similar_near_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest other document of each within three bits."""
+    return knowledge.near_closest(_prints(spark, sf_dir), "doc_id")
+
+
+def knowledge_resolve_print(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as known entities, found again by the SimHash of others."""
+    prints = _prints(spark, sf_dir)
+    known = prints.where("doc_id % 2 = 0").select(F.col("doc_id").alias("entity_id"), "simhash")
+    return knowledge.resolve_by_print(known, prints.where("doc_id % 2 = 1").select(F.col("doc_id").alias("asked"), "simhash"))
 
 
 def similar_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,10 +184,19 @@ def similar_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select("conv_id", "turn", *(F.element_at("s", i + 1).cast("string").alias(f"slot{i}") for i in range(4)))
 
 
+def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.transform(F.array_distinct(T.alnum_words(F.col("text"))), H.token_hash).alias("hashes")).where(F.size("hashes") > 0)
+    return rows.select("id", H.minhash(F.col("hashes"), 4).alias("signature"))
+
+
 def similar_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages that share a band of their MinHash."""
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.transform(F.array_distinct(T.alnum_words(F.col("text"))), H.token_hash).alias("hashes")).where(F.size("hashes") > 0)
-    return sketches.lsh_pairs(rows.select("id", H.minhash(F.col("hashes"), 4).alias("signature")), "id", 2)
+    """Classes of messages of one MinHash that share a band of it."""
+    return sketches.lsh_pairs(_signatures(spark, sf_dir), "id", 2).select(F.col("a.conv_id").alias("conv_a"), F.col("a.turn").alias("turn_a"), F.col("b.conv_id").alias("conv_b"), F.col("b.turn").alias("turn_b"))
+
+
+def similar_lsh_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with the first message of the same MinHash."""
+    return sketches.lsh_classes(_signatures(spark, sf_dir), "id").select("id.conv_id", "id.turn", F.col("class.conv_id").alias("class_conv"), F.col("class.turn").alias("class_turn"))
 
 
 _TOKEN = "('0x' || array_to_string(list_reverse(regexp_extract_all(substr(sha256(word), 1, 16), '..')), ''))::UBIGINT"
@@ -175,15 +205,19 @@ _SIMHASH = f"{_UNIQUE}, h AS (SELECT doc_id, {_TOKEN} AS h FROM w), s AS (SELECT
 _SLOTS = ", ".join(f"min((h::HUGEINT * {1000003 * (i + 1) + 1000009}) % 18446744073709551616) AS slot{i}" for i in range(4))
 _MESSAGES = rf"w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS word FROM conversations), h AS (SELECT conv_id, turn, {_TOKEN} AS h FROM w), m AS (SELECT conv_id, turn, {_SLOTS} FROM h GROUP BY ALL)"
 
-QUERIES |= {f.__name__: f for f in (similar_vectors, vector_measures, similar_jaccard, similar_simhash, similar_near_pairs, similar_minhash, similar_lsh)}
+QUERIES |= {f.__name__: f for f in (similar_vectors, vector_measures, similar_jaccard, similar_simhash, similar_near_pairs, similar_near_classes, similar_near_closest, knowledge_resolve_print, similar_minhash, similar_lsh, similar_lsh_classes)}
 SQL |= {
     "similar_vectors": "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 12) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, rank, id, round(score, 6) AS score FROM r WHERE rank <= 5",
     "vector_measures": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_reverse(embedding::DOUBLE[]) AS r FROM embeddings) SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS norm, round(list_dot_product(e, r), 6) AS dot, round(list_cosine_similarity(e, r), 6) AS cosine, round(list_distance(e, r), 6) AS distance FROM v",
     "similar_jaccard": r"WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS l FROM conversations), p AS (SELECT *, lag(l) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM w) SELECT conv_id, turn, round(CASE WHEN len(list_distinct(l || b)) = 0 THEN 1.0 ELSE len(list_intersect(l, b))::DOUBLE / len(list_distinct(l || b)) END, 9) AS jaccard FROM p WHERE b IS NOT NULL",
     "similar_simhash": f"WITH {_SIMHASH} SELECT doc_id, lower(lpad(to_hex(simhash), 16, '0')) AS simhash FROM s",
-    "similar_near_pairs": f"WITH {_SIMHASH} SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.simhash, y.simhash)) AS distance, 1 - bit_count(xor(x.simhash, y.simhash)) / 64.0::DOUBLE AS similarity FROM s x JOIN s y ON x.doc_id < y.doc_id WHERE bit_count(xor(x.simhash, y.simhash)) <= 3",
+    "similar_near_pairs": f"WITH {_SIMHASH}, c AS (SELECT simhash, min(doc_id) AS doc_id FROM s GROUP BY 1) SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.simhash, y.simhash)) AS distance, 1 - bit_count(xor(x.simhash, y.simhash)) / 64.0::DOUBLE AS similarity FROM c x JOIN c y ON x.doc_id < y.doc_id WHERE bit_count(xor(x.simhash, y.simhash)) <= 3",
+    "similar_near_classes": f"WITH {_SIMHASH} SELECT doc_id, min(doc_id) OVER w AS class, count(*) OVER w AS copies FROM s WINDOW w AS (PARTITION BY simhash)",
+    "similar_near_closest": f"WITH {_SIMHASH}, p AS (SELECT x.doc_id, y.doc_id AS closest, bit_count(xor(x.simhash, y.simhash)) AS distance FROM s x JOIN s y ON x.doc_id <> y.doc_id WHERE bit_count(xor(x.simhash, y.simhash)) <= 3), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, closest) AS k FROM p) SELECT doc_id, closest, distance FROM r WHERE k = 1",
+    "knowledge_resolve_print": f"WITH {_SIMHASH}, p AS (SELECT x.doc_id AS asked, y.doc_id AS entity_id, bit_count(xor(x.simhash, y.simhash)) AS distance FROM s x JOIN s y ON x.doc_id % 2 = 1 AND y.doc_id % 2 = 0 WHERE bit_count(xor(x.simhash, y.simhash)) <= 3), r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY distance, entity_id) AS k FROM p) SELECT asked, entity_id, distance FROM r WHERE k = 1",
     "similar_minhash": f"WITH {_MESSAGES} SELECT conv_id, turn, " + ", ".join(f"slot{i}::VARCHAR AS slot{i}" for i in range(4)) + " FROM m",
-    "similar_lsh": f"WITH {_MESSAGES}, i AS (SELECT conv_id * 1000 + turn AS id, * FROM m) SELECT DISTINCT x.id AS a, y.id AS b FROM i x JOIN i y ON x.id < y.id AND ((x.slot0 = y.slot0 AND x.slot1 = y.slot1) OR (x.slot2 = y.slot2 AND x.slot3 = y.slot3))",
+    "similar_lsh": f"WITH {_MESSAGES}, i AS (SELECT slot0, slot1, slot2, slot3, min((conv_id, turn)) AS id FROM m GROUP BY ALL) SELECT DISTINCT x.id[1] AS conv_a, x.id[2] AS turn_a, y.id[1] AS conv_b, y.id[2] AS turn_b FROM i x JOIN i y ON x.id < y.id AND ((x.slot0 = y.slot0 AND x.slot1 = y.slot1) OR (x.slot2 = y.slot2 AND x.slot3 = y.slot3))",
+    "similar_lsh_classes": f"WITH {_MESSAGES}, i AS (SELECT conv_id, turn, min((conv_id, turn)) OVER (PARTITION BY slot0, slot1, slot2, slot3) AS id FROM m) SELECT conv_id, turn, id[1] AS class_conv, id[2] AS class_turn FROM i",
 }
 
 
@@ -204,11 +238,14 @@ def sketch_hll_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sketch_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordering customers that a filter of all customers admits: all of them."""
-    customers = table(spark, sf_dir, "customer")
-    bits, hashes = sketches.bloom_size(max(customers.count(), 1), 0.01)
-    built = sketches.bloom_build(customers, "c_custkey", bits, hashes)
-    return sketches.bloom_probe(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), "key", built, bits, hashes)
+    """A filter of every second customer, asked for all: how many were put in, how many of these it misses, and whether it admits at most three in a hundred of the others."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    inside = customers.where("key % 2 = 0")
+    bits, hashes = sketches.bloom_size(max(inside.count(), 1), 0.01)
+    admitted = sketches.bloom_probe(customers, "key", sketches.bloom_build(inside, "key", bits, hashes), bits, hashes).withColumn("admitted", F.lit(1))
+    asked = customers.join(admitted, "key", "left").withColumn("own", F.col("key") % 2 == 0)
+    own, other = F.col("own"), ~F.col("own")
+    return asked.agg(F.count_if(own).alias("n_inside"), F.count_if(own & F.col("admitted").isNull()).alias("missed"), (F.count_if(other & F.col("admitted").isNotNull()) <= 0.03 * F.count_if(other)).alias("few_false"))
 
 
 def sketch_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +264,7 @@ QUERIES |= {f.__name__: f for f in (sketch_hll, sketch_hll_merge, sketch_bloom,
 SQL |= {
     "sketch_hll": _hll_sql("SELECT o_custkey::VARCHAR AS word FROM orders"),
     "sketch_hll_merge": _hll_sql("SELECT c_custkey::VARCHAR AS word FROM customer UNION ALL SELECT (p_partkey + 1000000)::VARCHAR FROM part"),
-    "sketch_bloom": "SELECT DISTINCT o_custkey AS key FROM orders",
+    "sketch_bloom": "SELECT count(*) AS n_inside, 0 AS missed, true AS few_false FROM customer WHERE c_custkey % 2 = 0",
     "sketch_merkle": """WITH RECURSIVE r AS (SELECT list(sha256(text) ORDER BY doc_id) AS l, count(*) AS leaves FROM documents
         UNION ALL SELECT list_transform(range(1, len(l) + 1, 2), lambda i: CASE WHEN i < len(l) THEN sha256(l[i] || l[i + 1]) ELSE l[i] END), leaves FROM r WHERE len(l) > 1)
         SELECT l[1] AS root, leaves FROM r WHERE len(l) = 1""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,13 +28,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _search(name: str, query: object, sql: str, limit: int | None = LIMIT) -> None:
+#: Small sources in several languages with their chains of dependencies, as the tables hold no code: (id, title, body, chain, depth).
+SOURCES = [
+    (1, "a.rs", "pub fn run_all() {}\nstruct Runner;\nuse std::run;", "app>serde", 1), (2, "a.py", "import runner\nclass Runner:\n    def run(self): pass", "app>http>serde", 2),
+    (3, "a.ts", "export interface Run { }\nfunction run() {}", "app>x>y>serde", 4), (4, "b.txt", "nothing of the kind, run along", "app", 0), (5, "a.go", "func Run() {}\nimport \"run\"", "serde_json", 3), (6, "c.rs", "trait Stop {}\nfn halt() {}", "tokio", 1),
+]
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small sources as search documents."""
+    rows = spark.createDataFrame(SOURCES, "id long, title string, body string, chain string, depth int")
+    metadata = F.create_map(F.lit("dep_chain"), F.col("chain"), F.lit("dep_depth"), F.col("depth").cast("string"))
+    return rows.select("id", "title", "body", F.lit("source").alias("kind"), F.lit("inline").alias("source"), F.lit(None).cast("timestamp").alias("ts"), metadata.alias("metadata"))
+
+
+def _values(rows: list[tuple]) -> str:
+    """Rows as an SQL list of values."""
+    return ", ".join("(" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+def _search(name: str, query: object, sql: str, limit: int | None = LIMIT, among: Callable[[SparkSession, str], DataFrame] = documents) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = S.Search(documents(spark, sf_dir)).run(query, limit)
+        found = S.Search(among(spark, sf_dir)).run(query, limit)
         return found.select("id", "score", F.array_join("matched_on", ",").alias("matched_on"))
 
     QUERIES[name] = run
-    SQL[name] = f"WITH {DOCS} {sql}" + (f" ORDER BY score DESC, id LIMIT {limit}" if limit else "")
+    held = DOCS if among is documents else f"d AS (SELECT * FROM (VALUES {_values(SOURCES)}) t(id, title, body, chain, depth))"
+    SQL[name] = f"WITH {held} {sql}" + (f" ORDER BY score DESC, id LIMIT {limit}" if limit else "")
 
 
 def _count(column: str, term: str) -> str:
@@ -59,9 +80,10 @@ _search("search_filter", S.Filter(S.Keyword("and"), (("kind", "en"), ("score_abo
 _search("search_filter_metadata", S.Filter(S.Keyword("and"), (("metadata", "package", "pkg-en"), ("source", "src0"))), f"SELECT id, {_k['and'][1]} AS score, {_k['and'][2]} AS matched_on FROM d WHERE {_k['and'][0]} AND kind = 'en' AND source = 'src0'")
 for _construct, _marks in S.CONSTRUCTS.items():
     _any = " OR ".join(f"contains(lower(body), '{m}')" for m in _marks)
-    _search(f"search_structural_{_construct}", S.Structural(_construct, "th"), f"SELECT id, 1.0::DOUBLE AS score, 'structural' AS matched_on FROM d WHERE ({_any}) AND contains(lower(body), 'th')")
-_search("search_structural_call", S.Structural("call", "the"), "SELECT id, 1.0::DOUBLE AS score, 'structural' AS matched_on FROM d WHERE contains(lower(body), 'the(')")
-_search("search_structural_symbol", S.Structural("symbol", "th", "class"), "SELECT id, 1.0::DOUBLE AS score, 'structural' AS matched_on FROM d WHERE contains(lower(body), 'class') AND contains(lower(body), 'th')")
+    _search(f"search_structural_{_construct}", S.Structural(_construct, "run"), f"SELECT id, 1.0::DOUBLE AS score, 'structural' AS matched_on FROM d WHERE ({_any}) AND contains(lower(body), 'run')", among=sources)
+_search("search_structural_call", S.Structural("call", "run"), "SELECT id, 1.0::DOUBLE AS score, 'structural' AS matched_on FROM d WHERE contains(lower(body), 'run(')", among=sources)
+_search("search_structural_symbol", S.Structural("symbol", "run", "struct"), "SELECT id, 1.0::DOUBLE AS score, 'structural' AS matched_on FROM d WHERE contains(lower(body), 'struct') AND contains(lower(body), 'run')", among=sources)
+_search("search_transitive", S.Dependency("transitive", "serde", 3), "SELECT id, 1.0::DOUBLE AS score, 'dependency' AS matched_on FROM d WHERE contains(chain, 'serde') AND depth <= 3", among=sources)
 _search("search_graph_node", S.Node("The", "en"), "SELECT id, 1.0::DOUBLE AS score, 'graph' AS matched_on FROM d WHERE (contains(title, 'The') OR contains(body, 'The')) AND kind = 'en'")
 _search("search_dependents", S.Dependency("dependents", "src1"), "SELECT id, 1.0::DOUBLE AS score, 'dependency' AS matched_on FROM d WHERE contains(source, 'src1')")
 _search("search_dependencies", S.Dependency("dependencies", "pkg-fr"), "SELECT id, 1.0::DOUBLE AS score, 'dependency' AS matched_on FROM d WHERE kind = 'fr'")
@@ -126,9 +148,12 @@ def text_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("category").alias("label"), F.round("confidence", 9).alias("confidence"))
 
 
+_PHRASED = "concat(text, ' ', " + "CASE conv_id % 4 " + " ".join(f"WHEN {i} THEN '{' and '.join(list(T.PHRASES)[i::4])}'" for i in range(4)) + " END)"
+
+
 def text_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations with the fixed phrases replaced."""
-    found = T.translate(F.lower("text"))
+    """Conversations, each with some of the fixed phrases at its end, with the phrases replaced."""
+    found = T.translate(F.lower(F.expr(_PHRASED)))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(found["text"], 256).alias("sha"), F.round(found["confidence"], 9).alias("confidence"))
 
 
@@ -145,8 +170,8 @@ def text_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_bag_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word frequencies of every conversation message by its most frequent word."""
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return aitext.bag_of_words(rows, "id", T.alnum_words(F.col("text"))).select("id", "term", F.round("tf", 9).alias("tf"))
+    rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
+    return aitext.bag_of_words(rows, "id", T.alnum_words(F.col("text"))).select("id.conv_id", "id.turn", "term", F.round("tf", 9).alias("tf"))
 
 
 def text_code_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +189,7 @@ def _quoted(s: str) -> str:
 
 _scores = [(name, "(" + " + ".join(f"((length(t) - length(replace(t, '{k}', ''))) // {len(k)}) * {w}" for k, w in words.items()) + ") / n") for name, words in T.CATEGORIES.items()]
 _langs = [(name, "(" + " + ".join(f"contains(text, {_quoted(m)})::INT" for m in marks) + ")") for name, marks in code.LANGUAGES.items()]
-_translated, _hits = "lower(text)", []
+_translated, _hits = f"lower({_PHRASED})", []
 for _phrase, _other in T.PHRASES.items():
     _hits.append(f"contains({_translated}, '{_phrase}')::INT")
     _translated = f"replace({_translated}, '{_phrase}', '{_other}')"
@@ -182,9 +207,9 @@ SQL |= {
         r AS (SELECT w.doc_id, w.pos, sentence, row_number() OVER (PARTITION BY w.doc_id ORDER BY CASE WHEN len(words) > 0 THEN coalesce(total, 0)::DOUBLE / len(words) ELSE 0 END * (1 + (1 - w.pos::DOUBLE / n) * 0.5::DOUBLE) DESC, w.pos) AS rank
               FROM w LEFT JOIN t ON t.doc_id = w.doc_id AND t.pos = w.pos WHERE strlen(sentence) >= 20)
         SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary, count(*)::INT AS n_sentences FROM r WHERE rank <= 5 GROUP BY doc_id""",
-    "text_translate": f"SELECT conv_id, turn, sha256({_translated}) AS sha, round(({' + '.join(_hits)})::DOUBLE / greatest(len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')), 1), 9) AS confidence FROM conversations",
+    "text_translate": f"SELECT conv_id, turn, sha256({_translated}) AS sha, round(({' + '.join(_hits)})::DOUBLE / greatest(len(regexp_extract_all({_PHRASED}, '[^ \t\n\r\f\x0B]+')), 1), 9) AS confidence FROM conversations",
     "text_sentences": r"WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+$'), lambda x: regexp_replace(x, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')), lambda x: strlen(x) > 1) AS l FROM documents) SELECT doc_id, len(l) AS n_sentences, coalesce(list_sum(list_transform(l, lambda x: strlen(x))), 0)::BIGINT AS n_bytes FROM s",
-    "text_bag_of_words": r"WITH w AS (SELECT conv_id * 1000 + turn AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM conversations), c AS (SELECT id, term, count(*) AS n FROM w GROUP BY ALL) SELECT id, term, round(n / max(n) OVER (PARTITION BY id), 9) AS tf FROM c",
+    "text_bag_of_words": r"WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM conversations), c AS (SELECT conv_id, turn, term, count(*) AS n FROM w GROUP BY ALL) SELECT conv_id, turn, term, round(n / max(n) OVER (PARTITION BY conv_id, turn), 9) AS tf FROM c",
     "text_code_language": "WITH s AS (SELECT doc_id, " + ", ".join(f"{v} AS l_{n}" for n, v in _langs) + " FROM documents), b AS (SELECT *, greatest(" + ", ".join(f"l_{n}" for n, _ in _langs) + ") AS best FROM s) SELECT doc_id, CASE WHEN best = 0 THEN 'unknown' ELSE " + _case([(n, f"l_{n}") for n, _ in _langs], "best", "unknown") + " END AS language FROM b",
 }
 
@@ -218,14 +243,14 @@ def index_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_substring_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping occurrences of a string in every title."""
-    return documents(spark, sf_dir).select("id", T.overlapping(F.col("title"), "enen").cast("long").alias("n"))
+    """Overlapping occurrences of a string in every whole document."""
+    return documents(spark, sf_dir).select("id", T.overlapping(F.col("body"), "enen").cast("long").alias("n"))
 
 
 def index_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest short word that each word of the conversations begins with."""
-    words = table(spark, sf_dir, "conversations").select(F.explode(T.alnum_words(F.col("text"))).alias("word")).distinct()
-    return memory.longest_prefix(words.where(F.length("word") <= 4).withColumnRenamed("word", "term"), words)
+    """The longest word of the documents that each word of the conversations, with an ending, begins with."""
+    known, asked = (table(spark, sf_dir, t).select(F.explode(T.alnum_words(F.col("text"))).alias("word")).distinct() for t in ("documents", "conversations"))
+    return memory.longest_prefix(known.withColumnRenamed("word", "term"), asked.select(F.concat("word", F.lit("-x")).alias("word")))
 
 
 _WORDS = r"w AS (SELECT doc_id, unnest(l) AS term, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS l FROM documents))"
@@ -235,8 +260,9 @@ SQL |= {
     "index_tf_idf": f"WITH {_WORDS}, c AS (SELECT term, doc_id, count(*) AS tf FROM w GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY term) SELECT term, doc_id, df, round(tf * ln((SELECT count(*) FROM documents)::DOUBLE / df), 6) AS weight FROM c JOIN f USING (term)",
     "index_all_terms": f"WITH {_WORDS} SELECT doc_id FROM w WHERE term IN ('the', 'and', 'of') GROUP BY doc_id HAVING count(DISTINCT term) = 3",
     "index_top_terms": f"WITH {_WORDS}, c AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS rank FROM c) SELECT doc_id, rank, term, tf FROM r WHERE rank <= 3",
-    "index_substring_count": f"WITH {DOCS} SELECT id, len(list_filter(range(1, length(title) + 1), lambda i: substr(title, i, 4) = 'enen')) AS n FROM d",
-    "index_longest_prefix": r"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM conversations), p AS (SELECT word, unnest(list_transform(range(1, least(length(word), 4) + 1), lambda n: substr(word, 1, n))) AS prefix FROM w) SELECT p.word, arg_max(prefix, length(prefix)) AS prefix FROM p JOIN w x ON x.word = prefix AND length(x.word) <= 4 GROUP BY p.word",
+    # Overlapping "enen" are the runs of "en", one less than each run is long.
+    "index_substring_count": "SELECT doc_id AS id, coalesce(list_sum(list_transform(regexp_extract_all(text, '(?:en){2,}'), lambda x: length(x) // 2 - 1)), 0)::BIGINT AS n FROM documents",
+    "index_longest_prefix": r"WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) || '-x' AS word FROM conversations), p AS (SELECT word, unnest(list_transform(range(1, length(word) + 1), lambda n: substr(word, 1, n))) AS prefix FROM w) SELECT word, arg_max(prefix, length(prefix)) AS prefix FROM p JOIN t ON term = prefix GROUP BY word",
 }
 
 

@@ -243,6 +243,51 @@ def watch_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watchers.watched(polls, watchers.WATCHERS["package"], ["ts", "event_id"]).select("event_id", "change", "previous")
 
 
+def watch_cve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as polls of the customers' feeds: the parts of an order are the ids of its advisories, and only those never seen are new; urgent orders are failed polls."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("ids"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("subject"), F.col("o_orderdate").alias("ts"), (F.col("o_orderpriority") != "1-URGENT").alias("ok"))
+    polls = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
+    return watchers.advisories(polls, ["ts", "o_orderkey"]).select("o_orderkey", "change", F.size("fresh").cast("long").alias("n_fresh"))
+
+
+def watch_organization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of purchases and of errors, and of the users by their first event, at the end of every day and half an hour later."""
+    events = table(spark, sf_dir, "events").select("ts", "event_type", "user_id")
+    days = events.select(F.date_trunc("day", "ts").alias("d")).distinct()
+    at = days.select(F.explode(F.array(F.expr("d + interval 1 day"), F.expr("d + interval 1 day"), F.expr("d + interval 1 day 1 microsecond"))).alias("at"))
+    found = watchers.landscape(events.where("event_type = 'purchase'"), events.where("event_type = 'error'"), events.groupBy("user_id").agg(F.min("ts").alias("ts")), at)
+    return found.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+def watch_threat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as advisories by brand, events as changes, and users with many errors as snapshots with alerts."""
+    severity = F.when(F.col("p_size") >= 45, "critical").when(F.col("p_size") >= 35, "high").otherwise("low")
+    found = table(spark, sf_dir, "part").select(F.col("p_brand").alias("id"), severity.alias("severity"))
+    events = table(spark, sf_dir, "events")
+    changes = events.select(F.when(F.col("event_type") == "error", "poll_failed").otherwise("changed").alias("change"))
+    snapshots = events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("alerts_raised"))
+    return watchers.threats(found, changes, snapshots)
+
+
+QUERIES |= {f.__name__: f for f in (watch_cve, watch_organization, watch_threat)}
+SQL |= {
+    "watch_cve": """
+        WITH l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), p AS (SELECT o_orderkey, o_orderdate AS ts, o_custkey, o_orderpriority <> '1-URGENT' AS ok FROM orders),
+        f AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY ts, o_orderkey, o_custkey) = 1 AS fresh FROM l JOIN p ON o_orderkey = l_orderkey WHERE ok),
+        n AS (SELECT l_orderkey, count(*) FILTER (fresh) AS n FROM f GROUP BY 1)
+        SELECT o_orderkey, CASE WHEN NOT ok THEN 'feed_failed' WHEN coalesce(n, 0) > 0 THEN 'new_advisory' ELSE 'feed_polled' END AS change, CASE WHEN ok THEN coalesce(n, 0) ELSE 0 END AS n_fresh FROM p LEFT JOIN n ON l_orderkey = o_orderkey""",
+    "watch_organization": """
+        WITH d AS (SELECT DISTINCT date_trunc('day', ts) AS d FROM events), a AS (SELECT unnest([d + INTERVAL 1 DAY, d + INTERVAL 1 DAY + INTERVAL 1 MICROSECOND])::TIMESTAMP AS poll FROM d),
+        u AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1),
+        c AS (SELECT poll, (SELECT count(*) FROM events WHERE event_type = 'purchase' AND ts <= poll) AS entity_events, (SELECT count(*) FROM events WHERE event_type = 'error' AND ts <= poll) AS relationship_events, (SELECT count(*) FROM u WHERE ts <= poll) AS tracked FROM a),
+        b AS (SELECT *, lag((entity_events, relationship_events, tracked)) OVER (ORDER BY poll) AS before FROM c)
+        SELECT poll AS "at", entity_events, relationship_events, tracked, CASE WHEN before IS NULL THEN 'initial' WHEN before = (entity_events, relationship_events, tracked) THEN 'no_change' ELSE 'updated' END AS change FROM b""",
+    "watch_threat": """
+        SELECT p_brand AS subject, 'high_severity_cve' AS change, 1 AS n, CASE WHEN max(p_size) >= 45 THEN 'critical' ELSE 'high' END AS severity FROM part WHERE p_size >= 35 GROUP BY 1
+        UNION ALL SELECT 'service_availability', 'multiple_unreachable', count(*), 'medium' FROM events WHERE event_type = 'error'
+        UNION ALL SELECT 'system_health', 'system_alert', n, 'medium' FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1)""",
+}
 QUERIES |= {f.__name__: f for f in (window_tumbling, window_sliding, window_sessions, watch_package)}
 SQL |= {
     "window_tumbling": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",

@@ -226,3 +226,37 @@ def test_windows_in_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r.window_start.hour, r.n) for r in spark.table("hours").collect()) == [(0, 2), (1, 1), (5, 1)]
+
+
+def test_advisories_are_new_once_whatever_comes_between(spark, tmp_path):
+    polls = spark.createDataFrame([("f", 1, ["CVE-1"], True), ("f", 2, ["CVE-2"], True), ("f", 3, ["CVE-1"], True), ("f", 4, ["CVE-3"], False), ("f", 5, ["CVE-3", "CVE-3", None], True), ("g", 6, ["CVE-1"], True), ("g", 7, [], True), ("h", 8, None, True)], "subject string, n int, ids array<string>, ok boolean")
+    expected = [["CVE-1"], ["CVE-2"], [], [], ["CVE-3"], [], [], []]
+    rows = watchers.advisories(polls, ["n"]).orderBy("n").collect()
+    assert [r.fresh for r in rows] == expected
+    assert [r.change for r in rows] == ["new_advisory", "new_advisory", "feed_polled", "feed_failed", "new_advisory", "feed_polled", "feed_polled", "feed_polled"]
+    assert watchers.advisories(polls.limit(0), ["n"]).collect() == []
+    stream = polls.where("subject = 'f'").select("subject", F.timestamp_seconds("n").alias("ts"), "ids", "ok")
+    stream.write.parquet(str(tmp_path / "in"))
+    query = watchers.watch_advisories(spark.readStream.schema(stream.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("advisories").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert [r.fresh for r in spark.table("advisories").orderBy("ts").collect()] == expected[:5]
+
+
+def test_longest_prefixes_of_any_length_and_edge_rows(spark):
+    terms = spark.createDataFrame([("a" * 70,), ("aaa",), ("aaa",), (None,), ("",), ("b",)], "term string")
+    asked = spark.createDataFrame([("a" * 80,), ("aab",), (None,), ("",), ("bc",), ("bc",)], "word string")
+    assert {r.word: r.prefix for r in memory.longest_prefix(terms, asked).collect()} == {"a" * 80: "a" * 70, "aab": "", "": "", "bc": "b"}
+    assert memory.longest_prefix(terms.limit(0), asked).collect() == []
+
+
+def test_equal_prints_are_a_class_without_pairs(spark):
+    prints = spark.createDataFrame([(i, 7 if i < 500 else 6 if i < 600 else 15 << 40) for i in range(700)], "id long, simhash long")
+    assert [(r.a, r.b, r.distance) for r in knowledge.near_pairs(prints, "id").collect()] == [(0, 500, 1)]
+    assert {(r.id, r["class"], r.copies) for r in knowledge.near_classes(prints, "id").collect()} == {(i, 0 if i < 500 else 500 if i < 600 else 600, 500 if i < 500 else 100) for i in range(700)}
+    nearest = {r.id: (r.closest, r.distance) for r in knowledge.near_closest(prints, "id").collect()}
+    assert nearest[0] == (1, 0) and nearest[499] == (0, 0) and nearest[500] == (501, 0) and nearest[600] == (601, 0)
+    assert knowledge.near_pairs(prints.limit(0), "id").collect() == []
+    # more prints than four parts hold: other parts, the same pairs
+    few = knowledge.near_pairs(prints, "id", bucket=0).collect()
+    assert [(r.a, r.b, r.distance) for r in few] == [(0, 500, 1)]
