@@ -1,7 +1,16 @@
 """A corpus pipeline: toxicity, near-duplicates, benchmark decontamination, byte-level BPE.
 
 Each stage takes the documents that its predecessor kept; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``, and further columns that the input has.
+
+Defined cases: null and empty texts are no words, so the first stage scores them
+as texts without toxic words and the third keeps them; the second takes a null,
+an empty and a blank text for copies of one another and keeps the one with the
+smallest doc_id; the last encodes them to no ids. doc_ids should be unique: rows
+of one doc_id are scored and cleaned row by row, but are kept or dropped
+together as copies. Rows with a null doc_id are kept by the second stage. Equal
+texts keep the smallest doc_id. Empty tables give empty tables; without labels
+of both classes the first stage rejects by the share of toxic labels alone.
 """
 
 from __future__ import annotations
