@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import ids
 from tessella.processors import algorithms, code, files, formal, manifests, measures, pages, registry
+from tessella.queries.literals import MANIFESTS, SOURCES
 
 
 def test_pages(spark):
@@ -25,24 +26,6 @@ def test_pages(spark):
     assert [r[0] for r in urls.select(pages.admitted(F.col("url"), ["a.com"])).collect()] == [True, False, False, False, True]
 
 
-SOURCES = {
-    "a.rs": ("use std::io;\npub struct P;\nimpl P {\n    pub fn go(&self) { help() }\n}\nfn help() {}", {("struct", "P"), ("impl", "P"), ("function", "go"), ("function", "help")}, ["std::io"]),
-    "a.py": ("import os\nfrom re import x\nclass C:\n    def m(self):\n        f()\ndef f():\n    pass", {("class", "C"), ("method", "m"), ("function", "f")}, ["os", "re"]),
-    "a.go": ('package m\nimport (\n\t"fmt"\n)\nfunc (r T) Name() {}\nfunc Free() {}\ntype T struct {}', {("method", "Name"), ("function", "Free"), ("struct", "T")}, ["fmt"]),
-    "A.java": ("import java.util.List;\nimport org.x.Y;\npublic class A {\n  public int size() { return 0; }\n}", {("class", "A"), ("method", "size")}, ["org.x.Y"]),
-    "a.js": ("import x from 'y';\nconst z = require('w');\nexport function f() {}\nclass K {}\nconst g = (a) => a;", {("function", "f"), ("class", "K"), ("function", "g")}, ["y", "w"]),
-    "a.ts": ("export interface I { a: string }", {("interface", "I")}, []),
-    "a.c": ("#include <stdio.h>\nstruct S { int a; };\nint main(void) {\n return 0; }", {("struct", "S"), ("function", "main")}, ["stdio.h"]),
-    "a.cs": ("using System.IO;\nnamespace N {\npublic class C {\n public void M() {}\n}}", {("namespace", "N"), ("class", "C"), ("method", "M")}, ["System.IO"]),
-    "a.php": ("<?php\nuse A\\B;\nclass C {\npublic function m() {}\n}", {("class", "C"), ("function", "m")}, ["A\\B"]),
-    "a.kt": ("import a.b\ndata class D(val x: Int)\nfun f() {}\nobject O", {("class", "D"), ("function", "f"), ("object", "O")}, ["a.b"]),
-    "a.swift": ("import UIKit\nprotocol P {}\nstruct S {}\nfunc f() {}", {("protocol", "P"), ("struct", "S"), ("function", "f")}, ["UIKit"]),
-    "a.zig": ('const std = @import("std");\npub fn f() void {}\nconst S = struct {};', {("function", "f"), ("struct", "S")}, ["std"]),
-    "a.lua": ("local m = require('x')\nlocal function f() end\ng = function() end", {("function", "f"), ("function", "g")}, ["x"]),
-    "a.wasm": ("", set(), []),
-}
-
-
 @pytest.mark.parametrize("path", SOURCES)
 def test_sources(path):
     source, symbols, imports = SOURCES[path]
@@ -58,26 +41,6 @@ def test_flow_and_calls():
     assert code.detect("fn main() { let mut x = crate::y; }") == "rust" and code.detect("\x00") == "unknown"
 
 
-MANIFESTS = {
-    "Cargo.toml": ('[package]\nname = "p"\nversion = "1.0"\n[dependencies]\nserde = "1"\ntokio = { version = "2" }\n[dev-dependencies]\nx = "3"', {("serde", "1", "runtime"), ("tokio", "2", "runtime"), ("x", "3", "dev")}),
-    "package.json": ('{"name": "n", "dependencies": {"a": "^1"}, "peerDependencies": {"b": "2"}}', {("a", "^1", "runtime"), ("b", "2", "peer")}),
-    "requirements.txt": ("# c\nflask>=2.0 ; python_version > '3'\nnumpy\n-r other.txt", {("flask", ">=2.0", "runtime"), ("numpy", "*", "runtime")}),
-    "setup.py": ("setup(name='x', install_requires=['a==1', 'b'])", {("a", "==1", "runtime"), ("b", "*", "runtime")}),
-    "pyproject.toml": ('[project]\nname = "x"\ndependencies = ["a>1"]\n[project.optional-dependencies]\nt = ["b"]', {("a", ">1", "runtime"), ("b", "*", "optional")}),
-    "x.csproj": ('<Project><ItemGroup><PackageReference Include="A" Version="1.2" /></ItemGroup></Project>', {("A", "1.2", "runtime")}),
-    "packages.config": ('<packages><package id="B" version="2" /></packages>', {("B", "2", "runtime")}),
-    "go.mod": ("module m\ngo 1.20\nrequire a.b/c v1.0.0\nrequire (\n\td.e/f v2.0.0 // indirect\n)", {("a.b/c", "v1.0.0", "runtime"), ("d.e/f", "v2.0.0", "indirect")}),
-    "composer.json": ('{"name": "n", "require": {"a/b": "1"}, "require-dev": {"c/d": "2"}}', {("a/b", "1", "runtime"), ("c/d", "2", "dev")}),
-    "pom.xml": ("<project xmlns='u'><groupId>g</groupId><artifactId>a</artifactId><dependencies><dependency><groupId>x</groupId><artifactId>y</artifactId><version>1</version><scope>test</scope></dependency></dependencies></project>", {("x:y", "1", "dev")}),
-    "build.gradle": ("dependencies {\n implementation(\"g:a:1.0\")\n testImplementation 'h:b:2'\n}", {("g:a", "1.0", "runtime"), ("h:b", "2", "dev")}),
-    "PKGBUILD": ("pkgname=p\npkgver=1\ndepends=('glibc>=2' 'x')\nmakedepends=(cmake)", {("glibc", ">=2", "runtime"), ("x", "*", "runtime"), ("cmake", "*", "build")}),
-    "Dockerfile": ("FROM python:3.12 AS b\nFROM alpine\nRUN x", {("python", "3.12", "runtime"), ("alpine", "latest", "runtime")}),
-    "index.json": ('{"mediaType": "application/vnd.oci.image.index.v1+json", "manifests": [{"digest": "sha256:1", "platform": {"os": "linux", "architecture": "arm64"}}]}', {("sha256:1", "linux/arm64", "runtime")}),
-    "Packages": ("Package: p\nVersion: 1\nDepends: a (>= 2), b | c\n", {("a", ">= 2", "runtime"), ("b", "*", "runtime")}),
-    "query.sql": ("SELECT 1 FROM t", set()),
-}
-
-
 @pytest.mark.parametrize("name", MANIFESTS)
 def test_manifests(name):
     text, expected = MANIFESTS[name]
