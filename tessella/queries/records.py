@@ -280,10 +280,29 @@ def text_term_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length of the n-gram vectors of parts' names."""
-    from tessella.functions import json as J, vectors as V
+    """The n-gram vectors of parts' names, by component."""
+    from tessella.functions import json as J
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(J.ngram_embedding(F.col("p_name"))).alias("dim", "value"))
+    return rows.select("p_partkey", "dim", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+def text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FNV-1a of the first four bytes of parts' names."""
+    from tessella.functions import json as J
+
+    return table(spark, sf_dir, "part").select("p_partkey", J.fnv1a_hex(F.substring("p_name", 1, 4)).alias("fnv"))
+
+
+def _fnv(values: list[str]) -> str:
+    """FNV-1a over bytes given as SQL expressions."""
+    h = "14695981039346656037::UBIGINT"
+    for v in values:
+        h = f"((xor({h}, ({v})::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616)::UBIGINT"
+    return h
+
 
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(V.norm(J.ngram_embedding(F.col("p_name"))), 4).alias("norm"))
+_GRAMS = " UNION ALL ".join(f"SELECT p_partkey, ({_fnv([f'ascii(substr(p_name, i + {k}, 1))' for k in range(n)])} % 64)::INT AS dim FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name) - {n} + 2)) AS i FROM part)" for n in range(1, 5))
 
 
 def inventory_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,12 +341,13 @@ def inventory_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.provenance(rows).select("id", F.array_join("steps", ",").alias("steps"))
 
 
-QUERIES |= {f.__name__: f for f in (json_canonical, json_base64, text_term_cosine, text_embedding, inventory_crawl, inventory_health, inventory_timeline, inventory_provenance)}
+QUERIES |= {f.__name__: f for f in (json_canonical, json_base64, text_term_cosine, text_embedding, text_fingerprint, inventory_crawl, inventory_health, inventory_timeline, inventory_provenance)}
 SQL |= {
     "json_canonical": "SELECT event_id, replace(lower(props), ' ', '') AS canonical FROM events",
     "json_base64": "SELECT event_id, base64(encode(props)) AS coded, props AS back FROM events",
     "text_term_cosine": "WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS t, 1 AS a, 1 AS b FROM part UNION ALL SELECT p_partkey, unnest(string_split(p_type, ' ')), 0, 1 FROM part), c AS (SELECT p_partkey, t, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM w GROUP BY ALL) SELECT p_partkey, round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 9) AS cosine FROM c GROUP BY 1",
-    "text_embedding": "SELECT p_partkey, 1.0::DOUBLE AS norm FROM part",
+    "text_embedding": f"WITH g AS ({_GRAMS}), c AS (SELECT p_partkey, dim, count(*)::DOUBLE AS n FROM g GROUP BY ALL), s AS (SELECT p_partkey, sqrt(sum(n * n)) AS size FROM c GROUP BY 1), d AS (SELECT p_partkey, size, unnest(range(64))::INT AS dim FROM s) SELECT d.p_partkey, d.dim, round(coalesce(n, 0) / size, 4) AS value FROM d LEFT JOIN c ON c.p_partkey = d.p_partkey AND c.dim = d.dim",
+    "text_fingerprint": f"SELECT p_partkey, lower(lpad(to_hex({_fnv([f'ascii(substr(p_name, {k}, 1))' for k in range(1, 5)])}), 16, '0')) AS fnv FROM part",
     "inventory_crawl": "WITH p AS (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_suppkey = 1) SELECT 's1' AS url, 0 AS depth UNION ALL SELECT 'p' || p, 1 FROM p UNION ALL SELECT DISTINCT 's' || l_suppkey, 2 FROM lineitem WHERE l_partkey IN (SELECT p FROM p) AND l_suppkey <> 1",
     "inventory_health": "SELECT user_id AS agent, CASE WHEN date_diff('second', max(ts), TIMESTAMP '2024-01-31') > 86400 THEN 'silent' ELSE 'healthy' END AS state FROM events GROUP BY 1",
     "inventory_timeline": "SELECT event_id AS source_id, event_type AS kind FROM events WHERE event_type IN ('purchase', 'error') ORDER BY ts, event_id LIMIT 500",
