@@ -13,24 +13,30 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tessella.functions import text as T
 
 
+_PATTERNS = [(kind, re.compile(p), c) for kind, p, c in T.ENTITIES]
+
+
+def find_entities(text: str) -> Iterator[tuple[str, str, float, int, int]]:
+    """(text, kind, confidence, start, end) of matches of all patterns, in bytes; the kind is that of the first pattern that finds anything in the match."""
+    seen: dict[tuple[int, int, str], float] = {}
+    for kind, pattern, confidence in _PATTERNS:
+        for m in pattern.finditer(text):
+            at = (*m.span(), kind)
+            seen[at] = max(seen.get(at, 0.0), confidence)
+    for (a, b, _), confidence in sorted(seen.items()):
+        piece = text[a:b]
+        start = len(text[:a].encode())
+        yield piece, next((n for n, p, _ in _PATTERNS if p.search(piece)), "UNKNOWN"), confidence, start, start + len(piece.encode())
+
+
 def entities(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text, kind, confidence, start, end): matches of all patterns, in bytes; the kind is that of the first pattern that finds anything in the match."""
-    patterns = [(kind, re.compile(p), c) for kind, p, c in T.ENTITIES]
+    """(key, entity, kind, confidence, start, end) by ``find_entities``; null and empty texts have none, repeated rows give theirs again."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen: dict[tuple[int, int, str], float] = {}
-                for kind, pattern, confidence in patterns:
-                    for m in pattern.finditer(t or ""):
-                        at = (*m.span(), kind)
-                        seen[at] = max(seen.get(at, 0.0), confidence)
-                for (a, b, _), confidence in sorted(seen.items()):
-                    piece = t[a:b]
-                    kind = next((n for n, p, _ in patterns if p.search(piece)), "UNKNOWN")
-                    start = len(t[:a].encode())
-                    out.append((k, piece, kind, confidence, start, start + len(piece.encode())))
+                out += [(k, *e) for e in find_entities(t or "")]
             types = (batch.column(0).type, pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32())
             columns = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[key, "entity", "kind", "confidence", "start", "end"])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 #: Fixed extensions and schemes that a crawl skips.
 SKIP_EXTENSIONS = [".jpg", ".jpeg", ".png", ".gif", ".svg", ".ico", ".css", ".js", ".woff", ".woff2", ".ttf", ".mp4", ".mp3", ".pdf", ".zip", ".gz"]
 SKIP_PREFIXES = ["mailto:", "javascript:", "tel:", "#", "data:"]
-_RESOURCES = {"a": "href", "img": "src", "script": "src", "link": "href", "form": "action", "iframe": "src", "frame": "src"}
+RESOURCES = {"a": "href", "img": "src", "script": "src", "link": "href", "form": "action", "iframe": "src", "frame": "src"}
 _INLINE = frozenset("a abbr b bdi bdo cite code data dfn em i kbd mark q s samp small span strong sub sup time u var".split())
 _SILENT = frozenset(("script", "style", "head", "title", "noscript", "template"))
 
@@ -35,7 +35,7 @@ class PageReader(HTMLParser):
             self._heading = (tag, [])
         if tag == "meta" and (name := values.get("name") or values.get("property")):
             self.meta[re.sub(r"[^a-z0-9_]+", "_", name.lower())] = values.get("content") or ""
-        if tag in _RESOURCES and (target := values.get(_RESOURCES[tag])):
+        if tag in RESOURCES and (target := values.get(RESOURCES[tag])):
             self.resources.append((tag, target))
             if tag == "a" and not target.startswith("#"):
                 self.links.append(target)
@@ -120,3 +120,16 @@ def links(html: Column) -> Column:
     """Targets of anchors, without fragments of the page, by pattern and in the JVM."""
     found = F.regexp_extract_all(html, F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
     return F.filter(found, lambda x: (x != "") & ~x.startswith("#"))
+
+
+def resources(html: Column) -> dict[str, Column]:
+    """Targets of the tags that name a resource, by tag and in the JVM; empty targets are left out, null pages give null.
+
+    An attribute's value may not hold a ``<`` before the one asked for, so that unclosed tags end at the next tag.
+    """
+
+    def targets(tag: str, attribute: str) -> Column:
+        found = F.regexp_extract_all(html, F.lit(rf"(?i)<{tag}(?:\s[^<>]*?)?\s{attribute}\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
+        return F.filter(found, lambda x: x != "")
+
+    return {tag: targets(tag, attribute) for tag, attribute in RESOURCES.items()}

@@ -11,12 +11,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.functions import json as canonical, text as T
+from tessella.operators import aitext
 from tessella.processors import algorithms, code, files, formal, manifests, measures, pages
 
 Result = tuple[str, str, dict[str, str]]
@@ -167,11 +169,62 @@ def knowledge(data: bytes, meta: dict[str, str]) -> Iterator[Result]:
     yield "knowledge.fingerprint", hashlib.sha256(data).hexdigest(), {"canonical": "" if form is None else hashlib.sha256(form.encode()).hexdigest()}
 
 
-def entities(data: bytes, meta: dict[str, str]) -> Iterator[Result]:
-    text = _text(data)
-    for kind, pattern, confidence in T.ENTITIES:
-        for m in re.finditer(pattern, text):
-            yield "entity", m[0], {"kind": kind, "confidence": str(confidence), "start": str(len(text[:m.start()].encode()))}
+#: Fixed names of the text models that there are, with what they do.
+MODELS = {
+    "ner-rules-v1": "entities", "extractive-summarizer-v1": "summaries", "keyword-classifier-v1": "classification",
+    "bow-embeddings-v1": "embeddings", "forward-chainer-v1": "reasoning", "phrase-translator-v1": "translation",
+}
+
+
+def _entities(text: str, meta: dict[str, str]) -> Iterator[Result]:
+    for piece, kind, confidence, start, _ in aitext.find_entities(text):
+        yield "entity", piece, {"kind": kind, "confidence": str(confidence), "start": str(start)}
+
+
+def _summary(text: str, meta: dict[str, str]) -> Iterator[Result]:
+    best = aitext.best_sentences(text, int(meta.get("max_sentences", 5)), int(meta.get("min_sentence_length", 20)))
+    yield "ai.summary", " ".join(best), {"summary_sentences": str(len(best))}
+
+
+def _category(text: str, meta: dict[str, str]) -> Iterator[Result]:
+    low = text.lower()
+    n = max(len(re.findall(r"[^ \t\n\r\f\x0b]+", text)), 1)
+    scores = {name: sum(low.count(k) * w for k, w in keywords.items()) / n for name, keywords in T.CATEGORIES.items()}
+    best = max(scores, key=scores.__getitem__)
+    known = scores[best] >= T.CATEGORY_THRESHOLD
+    yield "ai.classification", best if known else "unknown", {"confidence": f"{scores[best] if known else 0.0:.4f}"}
+
+
+def _embedding(text: str, meta: dict[str, str]) -> Iterator[Result]:
+    least = int(meta.get("min_term_length", 2))
+    counts = Counter(w for w in re.findall(r"[^\W_]+", text.lower()) if len(w.encode()) >= least)
+    most = max(counts.values(), default=1)
+    yield "ai.embeddings", json.dumps({w: c / most for w, c in sorted(counts.items())}, ensure_ascii=False), {"dimension": str(len(counts)), "method": "bow"}
+
+
+def _translation(text: str, meta: dict[str, str]) -> Iterator[Result]:
+    target, out, hits = meta.get("target_language", "en"), text, 0
+    for phrase, other in T.PHRASES.items() if target == "es" else ():
+        hits += phrase in out
+        out = out.replace(phrase, other)
+    n = max(len(re.findall(r"[^ \t\n\r\f\x0b]+", text)), 1)
+    yield "ai.translation", out, {"confidence": f"{hits / n:.4f}", "target_language": target}
+
+
+def _models(text: str, meta: dict[str, str]) -> Iterator[Result]:
+    for name, task in MODELS.items():
+        yield "ai.model", name, {"task": task}
+
+
+ACTIONS: dict[str, Callable[[str, dict[str, str]], Iterator[Result]]] = {"ner": _entities, "summarize": _summary, "classify": _category, "embed": _embedding, "translate": _translation, "models": _models}
+
+
+def ai_text(data: bytes, meta: dict[str, str]) -> Iterator[Result]:
+    """The action that the metadata name, entities without one. Reasoning is over tables of facts: ``operators.reasoning``."""
+    action = meta.get("action", "ner")
+    if action not in ACTIONS:
+        raise ValueError(f"unknown action: {action}")
+    yield from ACTIONS[action](_text(data), meta)
 
 
 def _json(kind: str, function: Callable[[str], object]) -> Processor:
@@ -188,7 +241,7 @@ PROCESSORS: dict[str, tuple[tuple[str, ...], Processor]] = {
     "images": (("image/",), image), "video": (("video/",), video), "pdf": (("application/pdf",), pdf), "office": (("application/vnd.openxmlformats",), office), "containers": (("application/x-dockerfile", "text/x-dockerfile", "application/vnd.oci"), containers),
     "network": (("application/vnd.tcpdump.pcap",), network), "repositories": (("application/x-git",), git), "graph_theory": (("application/x-graph",), _json("graph.measures", formal.graph_measures)), "probability": (("application/x-probability",), probability),
     "information_theory": (("application/x-information",), information), "set_theory": (("application/x-set",), _json("set.measures", formal.set_measures)), "vector_spaces": (("application/x-vector",), vector), "temporal_algebra": (("application/x-temporal",), temporal),
-    "algorithm_engine": (("application/x-algorithm",), algorithms.process), "knowledge": (("application/x-knowledge",), knowledge), "ai_runtime": (("application/x-ai-text",), entities),
+    "algorithm_engine": (("application/x-algorithm",), algorithms.process), "knowledge": (("application/x-knowledge",), knowledge), "ai_runtime": (("application/x-ai-runtime", "application/x-ai-text"), ai_text),
     "category_theory": (("application/x-category",), _json("category.structure", formal.category)), "optimization": (("application/x-optimization",), _json("optimization.problem", formal.optimisation)),
 }
 _SCHEMA = "id string, processor string, kind string, value string, metadata map<string,string>"

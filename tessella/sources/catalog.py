@@ -34,6 +34,27 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.col("content").alias("data"), F.base64("content").alias("base64"))
 
 
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, at = _located(spark, path)
+    return system.exists(at)
+
+
+def write_file(spark: SparkSession, path: str, data: bytes, overwrite: bool = True) -> str:
+    """Write bytes that the driver holds as one file of any file system that Spark reads, and return its path."""
+    system, at = _located(spark, path)
+    out = system.create(at, overwrite)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path
+
+
 def standard(spark: SparkSession) -> Drivers:
     """Drivers for Spark's file formats, tables and SQL databases."""
     out = Drivers()
@@ -49,6 +70,11 @@ def kv_load(table: DataFrame, key: str) -> DataFrame:
     return table.where(F.col("key") == key)
 
 
+def kv_exists(table: DataFrame, key: str) -> DataFrame:
+    """(exists): one row."""
+    return kv_load(table, key).limit(1).agg((F.count("*") > 0).alias("exists"))
+
+
 def kv_list(table: DataFrame, prefix: str) -> DataFrame:
     return table.where(F.col("key").startswith(prefix)).select("key").orderBy("key")
 
