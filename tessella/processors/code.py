@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, functions as F
 
@@ -136,33 +137,122 @@ def imports(source: str, lang: str) -> Iterator[str]:
                 break
 
 
-def control_flow(body: str) -> tuple[list[str], list[tuple[int, int]]]:
-    """Blocks and jumps of a function's body, by the beginnings of its lines."""
-    blocks, jumps, before, loops = ["entry"], [], 0, []
+_STATEMENTS = [
+    ("else if", re.compile(r"(?:else\s+if|elif)\b")), ("else", re.compile(r"else\b")), ("if", re.compile(r"if\b")),
+    ("loop", re.compile(r"(?:for|while|loop)\b")), ("switch", re.compile(r"(?:match|switch)\b")),
+    ("arm", re.compile(r"(?:case|default)\b|[^=\"']*=>")), ("exit", re.compile(r"(?:return|raise|throw)\b")),
+    ("break", re.compile(r"break\b")), ("continue", re.compile(r"continue\b")),
+]
+_INLINE = re.compile(r"\b(return|raise|throw|break|continue)\b")
+_ENDLESS = re.compile(r"loop\b|while\s*\(?\s*(?:true|True|1)\b")
+
+
+@dataclass
+class _Statement:
+    kind: str
+    line: str
+    inner: list[_Statement] = field(default_factory=list)
+
+
+def _statements(body: str) -> list[_Statement]:
+    """The tree of a body's statements, nested by braces, or by indentation where there are none."""
+    braces = "{" in body
+    depth, root = 0, _Statement("root", "")
+    open_ones = [(-1, root)]
     for line in body.splitlines():
-        s = line.strip()
-        if s.startswith(("if ", "if(", "else if ", "elif ", "} else if ", "match ", "switch")):
-            blocks += ["conditional", "branch"]
-            jumps += [(before, len(blocks) - 2), (len(blocks) - 2, len(blocks) - 1)]
-            if s.startswith(("if ", "if(")):
-                jumps.append((len(blocks) - 2, before))
-            before = len(blocks) - 1
-        elif s.startswith(("else", "} else")):
-            blocks.append("branch")
-            jumps.append((before, len(blocks) - 1))
-            before = len(blocks) - 1
-        elif s.startswith(("for ", "for(", "while ", "while(", "loop")):
-            blocks += ["loop", "branch"]
-            jumps += [(before, len(blocks) - 2), (len(blocks) - 2, len(blocks) - 1), (len(blocks) - 1, len(blocks) - 2)]
-            before = len(blocks) - 1
-            loops.append(before)
-        elif s.startswith("return"):
-            blocks.append("exit")
-            jumps.append((before, len(blocks) - 1))
-    if blocks[-1] != "exit":
-        blocks.append("exit")
-        jumps.append((before, len(blocks) - 1))
-    return blocks, jumps
+        text = line.strip()
+        closing = len(text) - len(text.lstrip("} "))
+        own = text[closing:]
+        level = depth - text[:closing].count("}") if braces else len(line) - len(line.lstrip())
+        if braces:
+            depth += text.count("{") - text.count("}")
+        if not own or own == "{":
+            continue
+        kind = next((k for k, p in _STATEMENTS if p.match(own)), "plain")
+        while open_ones[-1][0] >= level and len(open_ones) > 1:
+            open_ones.pop()
+        node = _Statement(kind, own)
+        open_ones[-1][1].inner.append(node)
+        open_ones.append((level, node))
+    return root.inner
+
+
+def control_flow(body: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """Blocks, the entry first and the exit last, and jumps of a function's body.
+
+    A condition jumps to its branch and past it; branches meet in whatever
+    follows. A loop's branch jumps back to its head, break behind it, continue to
+    the head; returns and errors raised go to the exit. A choice has a branch for
+    each arm, and jumps past them unless an arm takes the rest. What cannot be
+    reached has blocks without jumps to them. An empty body is entry and exit.
+    """
+    blocks, jumps, leaving = ["entry"], {}, []
+
+    def block(kind: str, before: list[int]) -> int:
+        blocks.append(kind)
+        jumps.update(((b, len(blocks) - 1), None) for b in before)
+        return len(blocks) - 1
+
+    def inside(node: _Statement, head: int, loop: tuple[int, list[int]] | None) -> list[int]:
+        """The ends of a statement's branch."""
+        found = _INLINE.search(node.line)
+        own = node.inner or ([_Statement("exit" if found[1] not in ("break", "continue") else found[1], "")] if found else [])
+        return walk(own, [block("branch", [head])], loop)
+
+    def walk(nodes: list[_Statement], at: list[int], loop: tuple[int, list[int]] | None) -> list[int]:
+        past: list[int] = []  # ends of the branches of the choice that is being read
+        head = None
+        for node in nodes:
+            if node.kind in ("else if", "else") and head is not None:
+                if node.kind == "else":
+                    past, head = past + inside(node, head, loop), None
+                else:
+                    head = block("conditional", [head])
+                    past = past + inside(node, head, loop)
+                at = past + ([] if head is None else [head])
+                continue
+            past, head = [], None
+            if node.kind in ("if", "else if"):
+                head = block("conditional", at)
+                past = inside(node, head, loop)
+                at = [*past, head]
+            elif node.kind == "switch":
+                choice = block("conditional", at)
+                arms = _arms(node.inner)
+                at = [e for arm in arms for e in inside(arm, choice, loop)]
+                if not any(re.match(r"default\b|(?:case\s+)?_\s*(?:=>|:)", arm.line) for arm in arms):
+                    at.append(choice)
+            elif node.kind == "loop":
+                top, breaks = block("loop", at), []
+                jumps.update(((e, top), None) for e in inside(node, top, (top, breaks)))
+                at = breaks + ([] if _ENDLESS.match(node.line) else [top])
+            elif node.kind == "exit":
+                leaving.extend(at)
+                at = []
+            elif node.kind == "break" and loop:
+                loop[1].extend(at)
+                at = []
+            elif node.kind == "continue" and loop:
+                jumps.update(((e, loop[0]), None) for e in at)
+                at = []
+            elif node.inner:
+                at = walk(node.inner, at, loop)
+        return at
+
+    ends = walk(_statements(body), [0], None)
+    block("exit", list(dict.fromkeys(leaving + ends)))
+    return blocks, list(jumps)
+
+
+def _arms(nodes: list[_Statement]) -> list[_Statement]:
+    """A choice's arms, with the statements that follow on their own level."""
+    arms: list[_Statement] = []
+    for node in nodes:
+        if node.kind == "arm":
+            arms.append(_Statement("arm", node.line, list(node.inner)))
+        elif arms:
+            arms[-1].inner.append(node)
+    return arms
 
 
 def cyclomatic(blocks: list[str], jumps: list[tuple[int, int]]) -> int:

@@ -118,3 +118,23 @@ def test_ids(spark):
     row = spark.createDataFrame([(1469918176385, 12345)], "t long, n long").select(ids.ulid(F.col("t"), F.col("n")).alias("u"))
     found = row.select("u", ids.ulid_millis(F.col("u")), ids.is_ulid(F.col("u")), ids.is_ulid(F.lit("x"))).first()
     assert found[0].startswith("01ARYZ6S41") and tuple(found[1:]) == (1469918176385, True, False)
+
+
+@pytest.mark.parametrize(("body", "jumps"), [
+    ("", [("entry", "exit")]),
+    ("x = 1\nreturn x", [("entry", "exit")]),
+    ("if a {\n b\n}\nc", [("entry", "conditional"), ("conditional", "branch"), ("branch", "exit"), ("conditional", "exit")]),
+    ("if a:\n    return 1\nelse:\n    b\nc", [("entry", "conditional"), ("conditional", "branch"), ("conditional", "branch"), ("branch", "exit"), ("branch", "exit")]),
+    ("while a {\n if b {\n  break;\n }\n c\n}", [("entry", "loop"), ("loop", "branch"), ("branch", "conditional"), ("conditional", "branch"), ("conditional", "loop"), ("branch", "exit"), ("loop", "exit")]),
+    ("for a in b:\n    if c: continue\n    d", [("entry", "loop"), ("loop", "branch"), ("branch", "conditional"), ("conditional", "branch"), ("branch", "loop"), ("conditional", "loop"), ("loop", "exit")]),
+    ("loop {\n a\n}", [("entry", "loop"), ("loop", "branch"), ("branch", "loop")]),
+    ("match a {\n 1 => b,\n _ => c,\n}", [("entry", "conditional"), ("conditional", "branch"), ("conditional", "branch"), ("branch", "exit"), ("branch", "exit")]),
+    ("if a {\n} else if b {\n} else {\n}", [("entry", "conditional"), ("conditional", "branch"), ("conditional", "conditional"), ("conditional", "branch"), ("conditional", "branch"), ("branch", "exit"), ("branch", "exit"), ("branch", "exit")]),
+])
+def test_jumps_of_control_flow(body, jumps):
+    blocks, found = code.control_flow(body)
+    assert sorted((blocks[a], blocks[b]) for a, b in found) == sorted(jumps)
+
+
+def test_complexity_counts_decisions():
+    assert [code.cyclomatic(*code.control_flow(b)) for b in ("a", "if a {\n b\n}\nfor c {\n d\n}", "if a:\n  b\nelif c:\n  d\nelse:\n  e")] == [1, 3, 3]
