@@ -89,25 +89,44 @@ def process_page_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", each).select("page_id", "r.tag", F.size("r.targets").cast("long").alias("n"), F.array_join("r.targets", " ").alias("targets"))
 
 
-def _acted(spark: SparkSession, sf_dir: str, name: str, action: str, **meta: str) -> DataFrame:
+#: Texts with words of the categories and phrases, of which the tables hold few: id, text, category, Spanish, confidence.
+TEXTS = [
+    (-1, "The api code has an api function.", "technical", "The api code has an api function.", "0.0000"), (-2, "market growth and revenue", "business", "market growth and revenue", "0.0000"),
+    (-3, "a clinical study of a hypothesis", "science", "a clinical study of a hypothesis", "0.0000"), (-4, "zero-day exploit after a breach", "security", "zero-day exploit after a breach", "0.0000"),
+    (-5, "hello network, hello file", "unknown", "hola red, hola archivo", "0.7500"), (-6, "", "unknown", "", "0.0000"), (-7, None, "unknown", "", "0.0000"),
+]
+
+
+def _acted(rows: DataFrame, action: str, **meta: str) -> DataFrame:
+    """What the text processor's action derives from rows (doc_id, text)."""
     values = [x for pair in {"action": action, **meta}.items() for x in pair]
-    rows = table(spark, sf_dir, name).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("data"), F.lit("application/x-ai-runtime").alias("content_type"), F.create_map(*map(F.lit, values)).alias("metadata"))
-    return processors.process(rows, ["ai_runtime"])
+    own = rows.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("data"), F.lit("application/x-ai-runtime").alias("content_type"), F.create_map(*map(F.lit, values)).alias("metadata"))
+    return processors.process(own, ["ai_runtime"]).withColumn("id", F.col("id").cast("long"))
+
+
+def _texts(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([t[:2] for t in TEXTS], "doc_id long, text string")
 
 
 def process_ai_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through the text processor's summaries; texts without a sentence have an empty one."""
-    found = _acted(spark, sf_dir, "documents", "summarize")
-    return found.where("value <> ''").select(F.col("id").cast("long").alias("doc_id"), F.col("value").alias("summary"), F.col("metadata")["summary_sentences"].cast("int").alias("n_sentences"))
+    found = _acted(table(spark, sf_dir, "documents"), "summarize")
+    return found.where("value <> ''").select(F.col("id").alias("doc_id"), F.col("value").alias("summary"), F.col("metadata")["summary_sentences"].cast("int").alias("n_sentences"))
 
 
 def process_ai_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents through the text processor's classification."""
-    found = _acted(spark, sf_dir, "documents", "classify")
-    return found.select(F.col("id").cast("long").alias("id"), F.lit("report").alias("class"), F.col("value").alias("category"))
+    """Documents and a few texts with words of the categories through the text processor's classification."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").union(_texts(spark))
+    return _acted(rows, "classify").select("id", F.lit("report").alias("class"), F.col("value").alias("category"))
+
+
+def process_ai_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few texts with known phrases through the text processor's translation."""
+    found = _acted(_texts(spark), "translate", target_language="es")
+    return found.select("id", F.col("value").alias("spanish"), F.col("metadata")["confidence"].alias("confidence"))
 
 
-QUERIES |= {f.__name__: f for f in (dsl_traverse, dsl_summarize, dsl_similar, search_index, process_page_resources, process_ai_summaries, process_ai_classes)}
+QUERIES |= {f.__name__: f for f in (dsl_traverse, dsl_summarize, dsl_similar, search_index, process_page_resources, process_ai_summaries, process_ai_classes, process_ai_translations)}
 _ASKED = "(VALUES ('red', 1), ('plate', 2), ('economy', 1)) a(term, v)"
 _TARGETS = " UNION ALL ".join(rf"""SELECT page_id, '{tag}' AS tag, list_filter(regexp_extract_all(html, '(?i)<{tag}(?:\s[^<>]*?)?\s{attribute}\s*=\s*["'']([^"'']*)["'']', 1), lambda x: x <> '') AS l FROM pages""" for tag, attribute in pages.RESOURCES.items())
 SQL |= {
@@ -117,5 +136,6 @@ SQL |= {
     "search_index": f"WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN 'license' ELSE split_part(text, chr(10), 1) END AS title, text AS body FROM documents), m AS (SELECT id, {searching._keyword('license')[1]} AS score FROM d WHERE {searching._keyword('license')[0]}) SELECT id, score, count(*) OVER () AS total_count FROM m ORDER BY score DESC, id LIMIT 50",
     "process_page_resources": f"SELECT page_id, tag, len(l) AS n, array_to_string(l, ' ') AS targets FROM ({_TARGETS})",
     "process_ai_summaries": searching.SQL["text_summaries"],
-    "process_ai_classes": searching.SQL["dsl_classify"],
+    "process_ai_classes": f"SELECT * FROM ({searching.SQL['dsl_classify']}) UNION ALL SELECT id, 'report', category FROM (VALUES {searching._values([(t[0], t[2]) for t in TEXTS])}) t(id, category)",
+    "process_ai_translations": f"SELECT * FROM (VALUES {searching._values([(t[0], t[3], t[4]) for t in TEXTS])}) t(id, spanish, confidence)",
 }
