@@ -15,8 +15,8 @@ only where the tables and coefficients show that they hold.
 The transform works in whole numbers, in doubles that hold them exactly, so
 equal images give equal tensors whatever they are batched with.
 
-Defined cases: a null or empty text is a payload of 64 zero bytes; texts of
-64 * n bytes get 64 more; repeated rows are treated alike.
+Defined cases: a null or empty text is a payload of 64 zero bytes; a text of a
+positive multiple of 64 bytes is its own payload; repeated rows are treated alike.
 """
 
 from __future__ import annotations
@@ -569,9 +569,9 @@ def feature(tensor: np.ndarray) -> str:
 
 
 def payload(text: str | None) -> bytes:
-    """A text in UTF-8 with zero bytes up to a positive multiple of 64 that is larger."""
+    """A text in UTF-8 with zero bytes up to a positive multiple of 64."""
     raw = (text or "").encode()
-    return raw + bytes(BLOCK - len(raw) % BLOCK)
+    return raw + bytes(-len(raw) % BLOCK) or bytes(BLOCK)
 
 
 def store_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

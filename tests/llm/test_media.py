@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 
 import numpy as np
 import pytest
 
-from tessella.llm import media
+from tessella.llm import media, queries
 
 
 class Plain:
@@ -238,3 +239,14 @@ def test_tensors_are_columns(make_docs):
         assert len(r.rgb) == r.height * r.width * 3
         whole = media.rgb(media.decode(bytes(r.media)))
         assert zlib.crc32(bytes(r.rgb)) == zlib.crc32(whole.tobytes())
+
+
+def test_payloads_are_filled_up_to_a_multiple_and_no_further(spark, make_docs, tmp_path):
+    texts = [None, "", "x" * 63, "x" * 64, "\u00e9" * 32, "x" * 65, "y" * 384, "z" * 385]
+    make_docs(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op3_media(spark, str(tmp_path)).collect()}
+    assert [found[i].payload_bytes for i in range(8)] == [64, 64, 64, 64, 64, 128, 384, 448]
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = raw.ljust(found[i].payload_bytes, b"\0")
+        assert (found[i].n_bytes, found[i].payload_sha256, found[i].tail_crc32) == (len(raw), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
