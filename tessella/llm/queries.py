@@ -55,9 +55,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message of conversations that quote, without its quotations, with the message that it answers and its place among the replies.
 
-    The table's messages hold no quotations, so ``quotes.quoting`` puts them there: each turn quotes an earlier one, with what that one quotes.
+    The table's messages hold no quotations, so ``quotes.quoting`` puts them there: each turn quotes an earlier one, with what that one quotes. Every row of the table is a message.
     """
-    found = quotes.linked(quotes.quoting(_table(spark, sf_dir, "conversations")))
+    found = quotes.linked(quotes.quoting(_table(spark, sf_dir, "conversations"), every=True))
     return found.select("conv_id", "turn", "role", "parent", "linked", "quoted_passages", "thread", "reply", "depth", F.col("own").alias("text"))
 
 

@@ -219,15 +219,21 @@ def ordered(linked: DataFrame, *, conversation: str = "conv_id") -> DataFrame:
     return linked.orderBy(conversation, "thread", "thread_number", "reply")
 
 
-def quoting(messages: DataFrame) -> DataFrame:
-    """Messages (conv_id, turn, role, text) as a mail thread would hold them: turn t > 0 quotes the message of turn t / 2, if it has text, which quotes the one before it in turn."""
-    rows = messages.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), F.col("role"))).alias("m")).select("conv_id", "turn", "m.text", "m.role")
-    rows = written(rows, "quotes")
+def quoting(messages: DataFrame, *, every: bool = False) -> DataFrame:
+    """Messages (conv_id, turn, role, text) as a mail thread would hold them: turn t > 0 quotes the message of turn t / 2, if it has text, which quotes the one before it in turn.
 
-    def quoted(of: DataFrame) -> DataFrame:
+    The first message of a turn, by text, is the one that is quoted. There is a
+    message for each turn, or with ``every`` for each row: further rows of a turn
+    quote as the first does, and rows without a conversation or turn quote nothing.
+    """
+    first = messages.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), F.col("role"))).alias("m")).select("conv_id", "turn", "m.text", "m.role")
+    first = written(first, "quotes")
+
+    def quoted(rows: DataFrame, of: DataFrame) -> DataFrame:
         above = of.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("text").alias("above"))
         lines = F.regexp_replace("above", "(?m)^", "> ")
         text = F.when((F.col("turn") > 0) & (F.length("above") > 0), F.concat(F.lit("On that day, someone wrote:\n"), lines, F.lit("\n\n"), F.col("text"))).otherwise(F.col("text"))
         return rows.join(above, (F.col("conv_id") == F.col("c")) & (F.expr("turn div 2") == F.col("t")), "left").select("conv_id", "turn", "role", text.alias("text"))
 
-    return quoted(written(quoted(rows), "quotes"))
+    rows = messages.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), "role") if every else first
+    return quoted(rows, written(quoted(first, first), "quotes"))

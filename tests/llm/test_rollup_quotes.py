@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tessella.llm import quotes, rollup
+from tessella.llm import queries, quotes, rollup
 from tessella.llm.bpe import load_ranks
 from tessella.llm.store import fresh_path
 
@@ -184,3 +184,12 @@ def test_counts_are_those_of_the_libraries(spark, make_docs, corpus):
     ranks = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(paths["key"]), special_tokens={})
     assert {r.doc_id: (r.a, r.key) for r in found.collect()} == {i: (len(library.encode(t or "", add_special_tokens=False).ids), len(ranks.encode_ordinary(t or ""))) for i, t in enumerate(corpus)}
     assert rollup.counted(make_docs([]), paths, public_tokenizers.PATTERN).collect() == []
+
+
+def test_every_row_of_conversations_is_a_message(spark, tmp_path):
+    rows = [(1, 0, "user", "The question."), (1, 1, "a", "First answer."), (1, 1, "b", "Other answer."), (1, 1, "b", "Other answer."), (1, 2, "user", "Thanks."), (1, 2, "user", None), (None, 0, "x", "Lost."), (None, 1, "x", "Lost."), (1, None, "x", "Late."), (None, None, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = queries.op8_quotes(spark, str(tmp_path)).collect()
+    assert Counter((r.conv_id, r.turn, r.role, r.text) for r in found) == Counter((c, t, role, text or "") for c, t, role, text in rows)
+    assert sorted((r.turn, r.text, r.parent, r.depth) for r in found if r.conv_id == 1 and r.turn is not None) == [(0, "The question.", None, 0), (1, "First answer.", 0, 1), (1, "Other answer.", 0, 1), (1, "Other answer.", 0, 1), (2, "", 1, 2), (2, "Thanks.", 1, 2)]
+    assert all(r.parent is None for r in found if r.conv_id is None or r.turn is None)
