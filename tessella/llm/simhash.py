@@ -27,6 +27,7 @@ null keys aside; only the named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessella.llm.store import written
+from tessella.llm.store import forget, kept, written
 from tessella.llm.workers import release
 
 SEED = 42
@@ -274,7 +275,7 @@ def links(prints: DataFrame, *, budget: int = 4, spanning: bool = False, tree_me
     # At most 100,000 trees are this large, so their list may be broadcast.
     large = max(tree_rows, count * comb(parts, budget) // 100_000)
     sizes = rows.groupBy("forest", "tree").count().where(F.col("count") > large).withColumn("chunks", F.ceil(F.col("count") / tree_rows).cast("int")).drop("count")
-    hot = written(sizes, "simhash-trees")
+    hot = kept(sizes, "simhash-trees")
     if hot.isEmpty():
         units = rows.select("forest", "tree", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("chunk"), "fp", "node")
     else:
@@ -296,18 +297,20 @@ def connected(edges: DataFrame) -> DataFrame:
     part before they are shuffled; both sides of the join are plain tables, so
     adaptive execution can split the partition of a node with many neighbours.
     """
-    table = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "star")
+    table = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "star")
     state = None
     while True:
         # large star: the larger neighbours of a node point to its smallest one
         both = table.union(table.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("least")), "star")
+        least = kept(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("least")), "star")
         large = both.join(least, both.a == least.node).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        table = written(large.distinct(), "star")
+        before, table = (table, least), kept(large.distinct(), "star")
+        forget(*before)
         # small star: a node and its smaller neighbours point to the smallest of them
-        least = written(table.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), "least"), "star")
+        least = kept(table.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), "least"), "star")
         down = table.join(least, table.a == least.node).where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        table = written(down.union(least.select(F.col("node").alias("a"), F.col("least").alias("b"))).distinct(), "star")
+        before, table = (table, least), kept(down.union(least.select(F.col("node").alias("a"), F.col("least").alias("b"))).distinct(), "star")
+        forget(*before)
         now = table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             nodes = table.select(F.col("a").alias("node"), F.col("b").alias("label"))
@@ -350,10 +353,42 @@ def _shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
 
 
+def _parity(grams: np.ndarray) -> bytes:
+    """For each place of a bit field, by the low bits of a shingle's hash, whether an odd number of the set's shingles falls there; one to two bits a shingle."""
+    width = max(64, 1 << len(grams).bit_length())
+    odd = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(one: bytes, two: bytes) -> int:
+    """At least so many shingles are in only one of two sets: a shingle of both changes no place in which their fields differ."""
+    x, y = int.from_bytes(one, "little"), int.from_bytes(two, "little")
+    wide, width = 8 * max(len(one), len(two)), 8 * min(len(one), len(two))
+    while wide > width:  # the lower of the two has nothing to fold
+        wide >>= 1
+        mask = (1 << wide) - 1
+        x, y = (x >> wide ^ x & mask), (y >> wide ^ y & mask)
+    return (x ^ y).bit_count()
+
+
+def _close(pairs: DataFrame, fields: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that may have a similarity of ``least`` by their parity fields, so that only these take their whole sets along. fields: rows (node, size, field)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy()) * (1 - least) / (1 + least) + 1e-6
+            keep = [_apart(x.as_py(), y.as_py()) <= m for x, y, m in zip(batch.column(3), batch.column(5), most.tolist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    one = pairs.join(fields.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("field").alias("x")), "a")
+    two = one.join(fields.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("field").alias("y")), "b")
+    return two.select("a", "b", "n", "x", "m", "y").mapInArrow(compare, "a long, b long")
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs (a, b) whose texts' shingle sets have a Jaccard similarity of ``least`` or more. texts: rows (node, text) of all their nodes."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, _TEXTS):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_shingles(t.as_py(), shingle).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "grams"])
         release()
@@ -368,10 +403,12 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
         release()
 
-    grams = written(texts.select("node", "text").mapInArrow(cut, "node long, grams binary"), "simhash")
+    grams = kept(texts.select("node", "text").mapInArrow(sets, "node long, grams binary"), "simhash")
     one = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
     two = one.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    found = kept(two.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "simhash")
+    forget(grams)
+    return found
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -391,12 +428,12 @@ def _common(own: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     count = own.count()
     share = max(1, count // _SAMPLE)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(_shingles(text.as_py(), shingle).view(np.int64))], names=["gram"])
 
-    sample = own.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).select("text").mapInArrow(cut, "gram long")
+    sample = own.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).select("text").mapInArrow(each, "gram long")
     found = sample.groupBy("gram").agg(F.count("*").cast("int").alias("n")).where("n > 1").orderBy(F.desc("n"), "gram").limit(_COMMON).toArrow()
     grams, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
     order = np.argsort(grams)
@@ -506,26 +543,24 @@ def _cross(least: float, whole: bool):
 
 
 def _spread(prefixes: DataFrame) -> DataFrame:
-    """Rows (node, size, prefix) to rows (gram, size, place, node), one for each shingle of a prefix."""
+    """Rows (node, label, size, prefix) to rows (gram, label, size, place, node), one for each shingle of a prefix."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, _TEXTS):
-            node, size, prefix = batch.columns
+            node, label, size, prefix = batch.columns
             grams = [np.frombuffer(v.as_py(), np.int64) for v in prefix]
             n = np.array([len(g) for g in grams])
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            columns = [np.concatenate(grams), np.repeat(size.to_numpy(), n), place.astype(np.int32), np.repeat(node.to_numpy(), n)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "size", "place", "node"])
+            columns = [np.concatenate(grams), np.repeat(label.to_numpy(), n), np.repeat(size.to_numpy(), n), place.astype(np.int32), np.repeat(node.to_numpy(), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "label", "size", "place", "node"])
 
-    return prefixes.select("node", "size", "prefix").mapInArrow(spread, "gram long, size int, place int, node long")
+    return prefixes.select("node", "label", "size", "prefix").mapInArrow(spread, "gram long, label long, size int, place int, node long")
 
 
-def _unlinked(rows: DataFrame, labels: DataFrame, least: float, whole: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b), a < b, of nodes of different labels that may have a similarity of ``least``, and the rows of grams that have more such pairs. rows: (gram, size, place, node); labels: (member, label)."""
-    known = rows.join(labels, rows.node == labels.member, "left").select("gram", F.coalesce("label", "node").alias("label"), "size", "place", "node")
-    dealt = known.repartition("gram").sortWithinPartitions("gram", "label")
-    found = written(dealt.mapInArrow(_cross(least, whole), "a long, b long, gram long, size int, place int"), "simhash")
-    return found.where("b is not null").select("a", "b").distinct(), found.where("b is null").select("gram", "size", "place", F.col("a").alias("node"))
+def _unlinked(rows: DataFrame, least: float, whole: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of different labels that may have a similarity of ``least``, and as (a, gram, size, place) the rows of grams that have more such pairs. rows: (gram, label, size, place, node)."""
+    dealt = rows.repartition("gram").sortWithinPartitions("gram", "label")
+    return kept(dealt.mapInArrow(_cross(least, whole), "a long, b long, gram long, size int, place int"), "simhash")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 6) -> DataFrame:
@@ -552,57 +587,71 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             grams = [_shingles(t, shingle) for t in texts]
             sizes = pa.array([len(g) for g in grams], pa.int32())
             prefixes = pa.array([_prefix(g, common.value, similarity).tobytes() for g in grams], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *prints, sizes, prefixes], names=["key", "digest", *columns, "size", "prefix"])
+            fields = pa.array([_parity(g) for g in grams], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *prints, sizes, prefixes, fields], names=["key", "digest", *columns, "size", "prefix", "field"])
         release()
 
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(_common(own, shingle))
-    signed = written(own.mapInArrow(sign, "key long, digest binary, " + ", ".join(f"{c} long" for c in columns) + ", size int, prefix binary"), "simhash")
-    classes = written(signed.groupBy("digest").agg(F.min("key").alias("node"), *(F.min(c).alias(c) for c in columns), F.count("*").alias("n")), "simhash")
-    pairs = None
-    for c in columns:
-        found = links(classes.select("node", F.col(c).alias("fp")), budget=budget, spanning=True)
-        pairs = found if pairs is None else pairs.union(found)
+    signed = kept(own.mapInArrow(sign, "key long, digest binary, " + ", ".join(f"{c} long" for c in columns) + ", size int, prefix binary, field binary"), "simhash")
+    classes = kept(signed.groupBy("digest").agg(F.min("key").alias("node"), *(F.min(c).alias(c) for c in columns), F.count("*").alias("n")), "simhash")
+    # One kind of fingerprint after the other, as each takes many rows for a text.
+    proposed = [kept(links(classes.select("node", F.col(c).alias("fp")), budget=budget, spanning=True), "simhash") for c in columns]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "simhash")
-        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash")
+        near = kept(_close(pairs, signed.select(F.col("key").alias("node"), "size", "field"), similarity), "simhash")
+        nodes = kept(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash")
         texts = own.join(nodes, own.key == nodes.node, "left_semi").select(F.col("key").alias("node"), "text")
         # Sets of long texts are large, so few pairs go to a worker at once.
         conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = conf.get(name)
         conf.set(name, str(_VERIFY))
         try:
-            return written(_similar(pairs, texts, shingle, similarity), "simhash")
+            found = _similar(near, texts, shingle, similarity)
         finally:
             conf.set(name, before)
-
-    similar = verified(pairs.distinct())
-    joined = written(connected(similar).withColumnRenamed("node", "member"), "simhash")
-    prefixes = signed.join(classes.select("node"), signed.key == classes.node, "left_semi").select(F.col("key").alias("node"), "size", "prefix")
-    labels, rows, tried, last = joined, _spread(prefixes), None, False
+        forget(near, nodes)
+        return found
+
+    pairs = kept(reduce(DataFrame.union, proposed).distinct(), "simhash")
+    forget(*proposed)
+    similar = verified(pairs)
+    forget(pairs)
+    labels = kept(connected(similar).withColumnRenamed("node", "member"), "simhash")
+    # Labels join the texts, not the many rows of their prefixes.
+    known = classes.join(labels, classes.node == labels.member, "left").select("node", F.coalesce("label", "node").alias("label"))
+    rows = _spread(signed.join(known, signed.key == known.node))
+    met, tried, last = None, None, False
     while True:
-        pairs, rows = _unlinked(rows, labels, similarity, last)
+        before, met = met, _unlinked(rows, similarity, last)
+        if before is not None:
+            forget(before)
+        pairs = met.where("b is not null").select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "simhash")
-        tried = pairs if tried is None else written(tried.union(pairs), "simhash")
+        pairs = kept(pairs, "simhash")
+        tried = pairs if tried is None else kept(tried.union(pairs), "simhash")
         more = verified(pairs)
         joins = not more.isEmpty()
         if joins:
             similar = similar.union(more)
-            labels = written(connected(similar).withColumnRenamed("node", "member"), "simhash")
-        if last or rows.isEmpty():
+            labels = kept(connected(similar).withColumnRenamed("node", "member"), "simhash")
+        left = met.where("b is null").select("gram", "size", "place", F.col("a").alias("node"))
+        if last or left.isEmpty():
             break
         last = not joins
-    grouped = written(classes.join(labels, classes.node == labels.member, "left").where("n > 1 or label is not null").select(F.col("digest").alias("of"), F.coalesce("label", "node").alias("component")), "simhash")
-    return signed.join(grouped, signed.digest == grouped.of).select(F.col("key").alias(key), "component")
+        rows = left.join(labels, left.node == labels.member, "left").select("gram", F.coalesce("label", "node").alias("label"), "size", "place", "node")
+    forget(met)
+    grouped = kept(classes.join(labels, classes.node == labels.member, "left").where("n > 1 or label is not null").select(F.col("digest").alias("of"), F.coalesce("label", "node").alias("component")), "simhash")
+    found = kept(signed.join(grouped, signed.digest == grouped.of).select(F.col("key").alias(key), "component"), "simhash")
+    forget(signed, classes, grouped)
+    return found
 
 
 def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents less all but the one with the smallest key of each component of ``near_duplicates``, all columns kept."""
     found = near_duplicates(docs, key=key, text=text, **options)
-    gone = written(found.where(F.col(key) != F.col("component")).select(key), "simhash")
+    gone = kept(found.where(F.col(key) != F.col("component")).select(key), "simhash")
     return docs.join(gone, key, "left_anti").select(*docs.columns)
 
 

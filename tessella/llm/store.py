@@ -62,7 +62,29 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, kind)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored = path
+    return found
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def kept(df: DataFrame, kind: str) -> DataFrame:
+    """As ``written``; shuffle files of the write go when it ends, not when the driver happens to collect its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return written(df, kind)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` or ``kept`` returned and nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table._stored)
 
 
 _CELLS = 4096

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 
 from tessella.llm import simhash
+from tessella.llm.store import shared_dir
 
 
 def plain_print(text, shingle=4):
@@ -151,3 +153,30 @@ def test_block_edits_of_just_similar_texts_are_found(make_docs, kind):
     assert len(near) == 60
     assert sum(a in found and found[a] == found.get(b) for a, b in near) == 60
     assert {i: found.get(i, i) for i in range(len(texts))} == {i: expected[i] for i in range(len(texts))}
+
+
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=300))
+@settings(max_examples=60, deadline=None)
+def test_parity_fields_never_call_sets_further_apart_than_they_are(both, one, two):
+    one, two = one | both, two | both
+    fields = [simhash._parity(np.array(sorted(s), np.uint64)) for s in (one, two)]
+    assert simhash._apart(*fields) <= len(one ^ two) and simhash._apart(fields[0], fields[0]) == 0
+
+
+def test_near_duplicates_leave_no_shuffle_files_and_few_tables(spark, make_docs, corpus):
+    rng = random.Random(3)
+    texts = [*corpus, *(" ".join(rng.choices("abcdefgh", k=60)) for _ in range(200))]
+    shuffles = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folder = Path(shared_dir(spark)) / "tessella"
+
+    def there():
+        files = shuffles.getAllFiles()
+        return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size())), len(list(folder.glob("simhash-[0-9a-f]*")))
+
+    docs = make_docs(texts).cache()
+    docs.count()
+    before = there()
+    found = simhash.near_duplicates(docs)
+    after = there()
+    assert found.count() > 1
+    assert after[0] - before[0] < 30 and after[1] - before[1] <= 8
