@@ -101,8 +101,7 @@ _REFINE = Huffman.flat([r << 4 for r in range(15)], 4)
 
 def _stuffed(raw: np.ndarray) -> bytes:
     """Entropy-coded bytes with a zero after each 0xFF."""
-    full = np.flatnonzero(raw == 0xFF)
-    return (np.insert(raw, full + 1, 0) if len(full) else raw).tobytes()
+    return raw.tobytes().replace(b"\xff", b"\xff\x00")
 
 
 def _bits_of(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -289,8 +288,12 @@ def _extend(value: int, size: int) -> int:
 
 
 def _unstuffed(raw: np.ndarray) -> np.ndarray:
-    after = np.flatnonzero(raw[:-1] == 0xFF) + 1
-    return np.delete(raw, after) if len(after) else raw
+    full = raw[:-1] == 0xFF
+    if not full.any():
+        return raw
+    keep = np.ones(len(raw), bool)
+    np.logical_not(full, out=keep[1:])
+    return raw[keep]
 
 
 def decode(data: bytes) -> Image:
@@ -457,7 +460,7 @@ def _first_ac(bits: _Bits, blocks: np.ndarray, table: Huffman, low: int, high: i
     if _short_cuts and table.symbols == b"\x08" and table.counts[0] == 1 and len(bits.raw) >= -(-9 * band * len(blocks) // 8):
         # The only code is a zero bit for "no zeros before, 8 bits follow", so a coefficient takes nine bits.
         values = _of_nine(bits.raw, band * len(blocks)).astype(np.int16)
-        values = np.where(values < 128, values - 255, values)
+        values -= (values < 128) * np.int16(255)
         blocks[:, low:high + 1] = values.reshape(-1, band) << al
         return
     run = 0
@@ -518,12 +521,12 @@ def _correct(bits: _Bits, part: np.ndarray, there: np.ndarray, step: int) -> Non
     """One correction bit for each coefficient that is not zero, in order."""
     if _short_cuts and there.all() and part.flags.c_contiguous:
         found = bits.array(part.size).reshape(part.shape)
-        part += np.where(part > 0, step, -step).astype(np.int16) * found
+        part += ((part >> 15) | 1) * (found * np.int16(step))  # -1 or 1 by sign
         return
     n = int(there.sum())
     if n:
         own = part[there]
-        part[there] = own + np.where(own > 0, step, -step).astype(np.int16) * bits.array(n)
+        part[there] = own + ((own >> 15) | 1) * (bits.array(n) * np.int16(step))
 
 
 def planes(image: Image) -> list[np.ndarray]:
