@@ -7,7 +7,10 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.functions import text as T
@@ -98,42 +101,170 @@ def bag_of_words(rows: DataFrame, key: str, words: Column) -> DataFrame:
     return counts.join(largest, key).select(key, "term", (F.col("n") / F.col("largest")).alias("tf"))
 
 
+_QUERIES, _VECTORS = 512, 2048  # queries and vectors of a tile, compared at once
+_PAIRS = 1 << 16  # pairs scored at once
+_NUMBERS = 1 << 22  # components of a block of queries
+_KEPT = 1 << 22  # vectors kept for a block of queries
+_LAST = np.iinfo(np.int64).max  # a null id
+_NULL, _NAN = -2.0, 2.0  # scores outside of those of cosines, where these rank
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, rows_at_once: int = 100_000) -> DataFrame:
-    """(query_id, id, score, rank): the k vectors with the largest cosine to each query, exactly.
+    """(query_id, id, score, rank): the k vectors with the largest cosine to each query, exactly; ties go by id.
+
+    Queries are broadcast in blocks of about rows_at_once at most. A task holds tiles of
+    a block against tiles of its vectors and keeps k vectors for each query of the
+    block, so its memory grows with neither table. A product of matrices leaves
+    few pairs of a tile; these are scored one component after the other and
+    rounded to 12 digits, so equal vectors have equal scores wherever they stand.
 
-    ``queries`` is a stated set, broadcast after a check of its size; each task
-    keeps its own k best before the shuffle.
+    Defined cases: a vector without length has the cosine 0; a null vector, an
+    empty one and one with a null component have the score null, ranked last; one
+    with a NaN or infinite component has the score NaN, ranked first.
     """
-    import numpy as np
+    spark = queries.sparkSession
+    schema = "query_id long, id long, score double"
+    asked, others = (df.select(F.col("id").cast("long").alias("id"), "embedding") for df in (queries, vectors))
+    parts = -(-asked.count() // max(1, min(rows_at_once, _KEPT // k))) if k > 0 else 0
+    found = None
+    if parts:
+        rows = asked.repartition(parts).mapInArrow(_packed, "width int, ids binary, there binary, numbers binary").toLocalIterator()
+        for block in _blocks(rows, rows_at_once):
+            one = others.mapInArrow(_best(spark.sparkContext.broadcast(block), k), schema)
+            found = one if found is None else found.union(one)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("id"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    if queries.count() > rows_at_once:
-        raise ValueError(f"more than {rows_at_once} queries at once")
-    asked = queries.select("id", "embedding").collect()
-    held = queries.sparkSession.sparkContext.broadcast(([r[0] for r in asked], np.array([r[1] for r in asked], np.float64)))
 
-    def unit(m: np.ndarray) -> np.ndarray:
-        size = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, which rows have a vector, and the vectors as rows, of doubles."""
+    ids = pc.fill_null(batch.column(0), _LAST).to_numpy()
+    column = batch.column(1)
+    flat = column.flatten()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    widths = np.unique(sizes[sizes > 0])
+    if len(widths) > 1:
+        raise ValueError(f"vectors of {widths[0]} and of {widths[-1]} components")
+    out = np.zeros((len(ids), widths[0] if len(widths) else 0))
+    out[sizes > 0] = flat.to_numpy(zero_copy_only=False).reshape(-1, out.shape[1]) if len(widths) else 0
+    there = sizes > 0
+    if flat.null_count:
+        there[np.repeat(np.arange(len(ids)), sizes)[pc.is_null(flat).to_numpy(zero_copy_only=False)]] = False
+    out[~there] = 0
+    return ids, there, out
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of many queries each, as bytes."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, _VECTORS):
+            ids, there, numbers = _read(whole.slice(at, _VECTORS))
+            yield pa.RecordBatch.from_arrays([pa.array([numbers.shape[1]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, there, numbers))], names=["width", "ids", "there", "numbers"])
+
+
+def _blocks(rows: Iterator, rows_at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Packed queries in blocks (ids, which have a vector, vectors)."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        widths = sorted({x.shape[1] for _, _, x in held} - {0})
+        if len(widths) > 1:
+            raise ValueError(f"vectors of {widths[0]} and of {widths[-1]} components")
+        width = widths[0] if widths else 0
+        return np.concatenate([i for i, _, _ in held]), np.concatenate([t for _, t, _ in held]), np.concatenate([x if x.shape[1] else np.zeros((len(x), width)) for _, _, x in held])
+
+    for row in rows:
+        ids = np.frombuffer(row.ids, np.int64)
+        one = ids, np.frombuffer(row.there, bool), np.frombuffer(row.numbers).reshape(len(ids), row.width)
+        n = len(ids) + sum(len(i) for i, _, _ in held)
+        if held and (n > rows_at_once or n * row.width > _NUMBERS):
+            yield block()
+            held.clear()
+        held.append(one)
+    if held:
+        yield block()
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, summed from the first component to the last."""
+    total = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        total += a[:, i] * b[:, i]
+    return total
+
+
+class _Vectors:
+    """Vectors with their ids and lengths; of those that have no cosine the unit vector is 0."""
+
+    def __init__(self, ids: np.ndarray, there: np.ndarray, numbers: np.ndarray):
+        self.ids, self.there, self.numbers = ids, there, numbers
+        with np.errstate(all="ignore"):
+            self.squares = _dots(numbers, numbers)
+            self.odd = there & ~np.isfinite(self.squares)
+            sized = (self.squares > 0) & ~self.odd
+            self.unit = np.divide(numbers, np.sqrt(self.squares)[:, None], out=np.zeros_like(numbers), where=sized[:, None])
+
+    def scores(self, row: np.ndarray, other: _Vectors, col: np.ndarray) -> np.ndarray:
+        """Cosines of pairs, to 12 digits."""
+        scale = np.sqrt(self.squares[row] * other.squares[col])
+        cosine = np.clip(np.divide(_dots(self.numbers[row], other.numbers[col]), scale, out=np.zeros(len(row)), where=scale > 0), -1, 1)
+        return np.copysign(np.floor(np.abs(cosine) * 1e12 + 0.5) / 1e12, cosine) + 0.0
+
+
+def _improve(asked: _Vectors, low: int, others: _Vectors, scores: np.ndarray, found: np.ndarray) -> None:
+    """Puts into scores and found, the best so far of each query from low on, what is better in a tile."""
+    k, part = scores.shape[1], slice(low, low + _QUERIES)
+    near = asked.unit[part] @ others.unit.T
+    near[:, others.odd] = _NAN
+    near[asked.odd[part]] = _NAN
+    near[:, ~others.there] = _NULL
+    near[~asked.there[part]] = _NULL
+    slack = 1e-15 * (asked.unit.shape[1] + 8)  # of the product; rounding moves scores by half of 1e-12
+    least, last = scores[part, -1], found[part, -1]
+    floor = least
+    if k < near.shape[1] and (least == -np.inf).any():
+        floor = np.maximum(least, np.partition(near, -k, axis=1)[:, -k] - slack - 0.5e-12)
+    row, col = np.nonzero(near >= (floor - slack - 0.5e-12)[:, None])
+    value = near[row, col]
+    better = (value > least[row] - slack + 0.5e-12) | (others.ids[col] < last[row])
+    row, col, value = row[better], col[better], value[better]
+    if not len(row):
+        return
+    for at in range(0, len(row), _PAIRS):
+        own = at + np.flatnonzero(np.abs(value[at : at + _PAIRS]) < 1.5)
+        value[own] = asked.scores(low + row[own], others, col[own])
+    rows = np.unique(row)
+    every = np.concatenate([row, np.repeat(rows, k)])
+    value = np.concatenate([value, scores[low + rows].reshape(-1)])
+    ids = np.concatenate([others.ids[col], found[low + rows].reshape(-1)])
+    order = np.lexsort((ids, -value, every))
+    first = order[np.searchsorted(every[order], rows)[:, None] + np.arange(k)]
+    scores[low + rows], found[low + rows] = value[first], ids[first]
+
+
+def _best(held: Broadcast, k: int):
+    """Rows (id, embedding) to (query_id, id, score), the k best of a task for each query of a block."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = held.value
-        if not names:
-            return
-        matrix = unit(matrix)
-        scores = np.empty((len(names), 0))
-        ids = np.empty((len(names), 0), np.int64)
-        for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(own):
-                continue
-            values = unit(np.array(batch.column(1).to_pylist(), np.float64))
-            scores = np.concatenate([scores, np.round(matrix @ values.T, 12)], axis=1)
-            ids = np.concatenate([ids, np.broadcast_to(own, (len(names), len(own)))], axis=1)
-            order = np.lexsort((ids, -scores), axis=1)[:, :k]
-            scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-        n = ids.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), n)), pa.array(ids.reshape(-1)), pa.array(scores.reshape(-1))], names=["query_id", "id", "score"])
-
-    found = vectors.select(F.col("id").cast("long"), "embedding").mapInArrow(best, "query_id long, id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        asked = _Vectors(*held.value)
+        scores, found = np.full((len(asked.ids), k), -np.inf), np.full((len(asked.ids), k), _LAST)
+        for whole in batches:
+            for at in range(0, whole.num_rows, _VECTORS):
+                ids, there, numbers = _read(whole.slice(at, _VECTORS))
+                widths = numbers.shape[1], asked.numbers.shape[1]
+                if 0 in widths:
+                    numbers = np.zeros((len(ids), widths[1]))
+                elif widths[0] != widths[1]:
+                    raise ValueError(f"vectors of {widths[0]} and of {widths[1]} components")
+                others = _Vectors(ids, there, numbers)
+                for low in range(0, len(asked.ids), _QUERIES):
+                    _improve(asked, low, others, scores, found)
+        at, scores, found = np.flatnonzero(scores > -np.inf), scores.reshape(-1), found.reshape(-1)
+        for low in range(0, len(at), _PAIRS):
+            own = at[low : low + _PAIRS]
+            query, ids, value = asked.ids[own // k], found[own], scores[own]
+            yield pa.RecordBatch.from_arrays([pa.array(query, mask=query == _LAST), pa.array(ids, mask=ids == _LAST), pa.array(np.where(value == _NAN, np.nan, value), mask=value == _NULL)], names=["query_id", "id", "score"])
+
+    return best

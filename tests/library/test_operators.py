@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
+import tracemalloc
 from datetime import datetime, timedelta
 
 import pytest
@@ -184,6 +187,60 @@ def test_vectors_and_hashes(spark):
     assert aitext.nearest(vectors, vectors, 9).count() == 4
 
 
+def _brute(vectors, queries, k):
+    """(query_id, rank, id, score) by the rule of similar_vectors' SQL, where a vector without length has the cosine 0."""
+    rows = []
+    for q, a in queries:
+        own = []
+        for i, b in vectors:
+            score = None
+            if a is not None and b is not None:
+                dot, scale = sum(x * y for x, y in zip(a, b, strict=True)), math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+                score = round(dot / scale, 12) if scale else 0.0
+            own.append((score is None, 0.0 if score is None else -score, i is None, i or 0, score))
+        rows += [(q, rank, None if none else i, score) for rank, (_, _, none, i, score) in enumerate(sorted(own, key=lambda r: r[:4])[:k], 1)]
+    return sorted(rows, key=lambda r: r[:2])
+
+
+def test_nearest_takes_all_queries_in_blocks_and_breaks_ties_by_id(spark):
+    schema = "id long, embedding array<float>"
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randrange(-3, 4)) for _ in range(3)]) for i in range(297)] + [(297, None), (298, [0.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0])]
+    rng.shuffle(rows)
+    vectors = spark.createDataFrame(rows, schema).repartition(3)
+    asked = [(i, v) for i, v in rows if i is not None and i % 9 == 0]
+    assert (297, None) in asked
+    for k, at_once in ((5, 7), (400, 100_000)):
+        found = aitext.nearest(vectors, vectors.where("id % 9 = 0"), k, rows_at_once=at_once)
+        assert sorted(map(tuple, found.select("query_id", "rank", "id", "score").collect()), key=lambda r: r[:2]) == _brute(rows, asked, k)
+    many = [(i, v) for i in range(2_200) if (v := rng.choice(rows)[1]) is not None]
+    found = aitext.nearest(spark.createDataFrame(many, schema).coalesce(1), spark.createDataFrame(many[::4], schema), 3)
+    assert sorted(map(tuple, found.select("query_id", "rank", "id", "score").collect())) == _brute(many, many[::4], 3)
+    assert aitext.nearest(vectors, vectors.where("id < 0"), 5).collect() == [] and aitext.nearest(vectors.where("id < 0"), vectors, 5).collect() == []
+    assert len({r.id for r in aitext.nearest(vectors, vectors, 5).where("query_id = 297").collect()} & set(range(5))) == 5
+    with pytest.raises(Exception, match="components"):
+        aitext.nearest(spark.createDataFrame([(1, [1.0])], schema), vectors, 5).collect()
+    odd = spark.createDataFrame([(1, [1.0, math.nan]), (2, [1.0, 0.0]), (3, [1.0, None])], schema)
+    assert [(r.id, r.score is None or math.isnan(r.score)) for r in aitext.nearest(odd, odd.where("id = 2"), 3).orderBy("rank").collect()] == [(1, True), (2, False), (3, True)]
+
+
+def test_nearest_holds_no_matrix_of_all_queries_by_a_batch(spark, monkeypatch):
+    def table(n):
+        return spark.range(n).select("id", F.array(*(F.sin(F.col("id") * (i + 1)).cast("float") for i in range(8))).alias("embedding"))
+
+    seen, frame = [], type(spark.range(1))
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, run=frame.mapInArrow, **b: (seen.append(f), run(self, f, *a, **b))[1])
+    aitext.nearest(table(10_000), table(3_000), 5)
+    batch = table(10_000).toArrow().combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in seen[-1](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 15_000 and peak < 3_000 * 10_000 * 8 / 2
+
+
 def test_streams(spark, tmp_path):
     schema = "id long, aggregate_id string, aggregate_type string, event_type string, version long, data string, timestamp timestamp"
     source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
