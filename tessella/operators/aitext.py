@@ -187,29 +187,38 @@ def _blocks(rows: Iterator, rows_at_once: int) -> Iterator[tuple[np.ndarray, np.
         yield block()
 
 
-def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Products of rows, summed from the first component to the last."""
-    total = np.zeros(len(a))
-    for i in range(a.shape[1]):
-        total += a[:, i] * b[:, i]
-    return total
+def _without_copies(ids: np.ndarray, there: np.ndarray, numbers: np.ndarray, k: int) -> np.ndarray:
+    """Places of the vectors without those that have k copies of smaller ids; as copies tie, these are among no query's best."""
+    total = numbers.sum(axis=1)
+    order = np.lexsort((ids, there, total))
+    same = (total[order[1:]] == total[order[:-1]]) & (there[order[1:]] == there[order[:-1]])
+    at = np.flatnonzero(same)
+    same[at] = (numbers[order[at + 1]] == numbers[order[at]]).all(axis=1)
+    place = np.arange(len(order))
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), place, 0))
+    return order[place - first < k]
 
 
 class _Vectors:
     """Vectors with their ids and lengths; of those that have no cosine the unit vector is 0."""
 
     def __init__(self, ids: np.ndarray, there: np.ndarray, numbers: np.ndarray):
-        self.ids, self.there, self.numbers = ids, there, numbers
+        self.ids, self.there, self.columns = ids, there, np.ascontiguousarray(numbers.T)
+        self.squares = np.zeros(len(ids))
         with np.errstate(all="ignore"):
-            self.squares = _dots(numbers, numbers)
+            for x in self.columns:
+                self.squares += x * x
             self.odd = there & ~np.isfinite(self.squares)
             sized = (self.squares > 0) & ~self.odd
             self.unit = np.divide(numbers, np.sqrt(self.squares)[:, None], out=np.zeros_like(numbers), where=sized[:, None])
 
     def scores(self, row: np.ndarray, other: _Vectors, col: np.ndarray) -> np.ndarray:
-        """Cosines of pairs, to 12 digits."""
+        """Cosines of pairs, to 12 digits; products are summed from the first component to the last."""
+        total = np.zeros(len(row))
+        for x, y in zip(self.columns, other.columns, strict=True):
+            total += x[row] * y[col]
         scale = np.sqrt(self.squares[row] * other.squares[col])
-        cosine = np.clip(np.divide(_dots(self.numbers[row], other.numbers[col]), scale, out=np.zeros(len(row)), where=scale > 0), -1, 1)
+        cosine = np.clip(np.divide(total, scale, out=np.zeros(len(row)), where=scale > 0), -1, 1)
         return np.copysign(np.floor(np.abs(cosine) * 1e12 + 0.5) / 1e12, cosine) + 0.0
 
 
@@ -253,12 +262,13 @@ def _best(held: Broadcast, k: int):
         for whole in batches:
             for at in range(0, whole.num_rows, _VECTORS):
                 ids, there, numbers = _read(whole.slice(at, _VECTORS))
-                widths = numbers.shape[1], asked.numbers.shape[1]
+                widths = numbers.shape[1], asked.unit.shape[1]
                 if 0 in widths:
                     numbers = np.zeros((len(ids), widths[1]))
                 elif widths[0] != widths[1]:
                     raise ValueError(f"vectors of {widths[0]} and of {widths[1]} components")
-                others = _Vectors(ids, there, numbers)
+                few = _without_copies(ids, there, numbers, k)
+                others = _Vectors(ids[few], there[few], numbers[few])
                 for low in range(0, len(asked.ids), _QUERIES):
                     _improve(asked, low, others, scores, found)
         at, scores, found = np.flatnonzero(scores > -np.inf), scores.reshape(-1), found.reshape(-1)
